@@ -86,15 +86,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of about ``most`` text bytes; one longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``most`` text bytes; one longer text is a part of its own, and no part has more than ``rows`` rows."""
     if not batch.num_rows:
         return
     _, at = text_bytes(batch.column(batch.schema.get_field_index(text)))
     first = 0
     while first < batch.num_rows:
         end = int(np.searchsorted(at, at[first] + most, "right")) - 1
-        end = min(max(end, first + 1), batch.num_rows, first + 4096)
+        end = min(max(end, first + 1), batch.num_rows, first + rows)
         yield batch.slice(first, end - first)
         first = end
 
