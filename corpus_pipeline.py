@@ -1,22 +1,30 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: five stages, each applied to all that the one before kept."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebook.llm import _store, decontamination, minhash_dedup
+from tidebook.llm import _store, decontamination, language_id, minhash_dedup, packing, pii
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tokens of packed sequences cannot be had in SQL.
+#: Model-based stages and tokens cannot be had in SQL.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or far from every language of the corpus, go. Languages are learnt from all
+    documents outside the held-out fold."""
+    model = language_id.fit(docs.where(~language_id.held_out()).select("lang", "text"))
+    return language_id.identify(docs, model).where("NOT rejected").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near duplicates stays; so do rows without an id."""
-    dropped = minhash_dedup.minhash_components(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id")
+    dropped = minhash_dedup.minhash_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND NOT kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -25,13 +33,29 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts are replaced by their sanitised form, and n_chars follows."""
+    clean = pii.sanitise(docs)
+    return clean.withColumns({"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: a row per piece, with its place."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontaminate),
+    ("pii", sanitise),
+    ("packing", pack),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    _store.shared_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

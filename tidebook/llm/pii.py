@@ -140,9 +140,8 @@ def sanitise(docs: DataFrame, p: Params | None = None) -> DataFrame:
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
         keyed = keyed.withColumn("_re", pattern).withColumn("_m", F.when(F.col("terms").isNotNull(), F.expr("regexp_extract_all(text, _re, 0)")))
         keyed = keyed.withColumn("_p", F.when(F.size("_m") > 0, F.expr("split(text, _re, -1)")))
-        keyed = keyed.withColumn("_kinds", F.map_from_entries(F.array_distinct(F.transform("terms", lambda t: F.struct(t["term"], t["kind"])))) if False else F.col("terms"))
-        kind = "IF(exists(_kinds, t -> t.term = lower(_m[i]) AND t.kind = 'removed'), 'removed', 'generalised')"
-        rank = "IF(exists(_kinds, t -> t.term = lower(_m[i]) AND t.kind = 'removed'), 5, 4)"
+        kind = "IF(exists(terms, t -> t.term = lower(_m[i]) AND t.kind = 'removed'), 'removed', 'generalised')"
+        rank = "IF(exists(terms, t -> t.term = lower(_m[i]) AND t.kind = 'removed'), 5, 4)"
         more = F.when(F.size("_m") > 0, _spans("_m", "_p", kind, rank)).otherwise(none)
         marked = keyed.withColumn("more", more).withColumn("more", F.expr("filter(more, m -> NOT exists(base, b -> b.start < m.stop AND m.start < b.stop))"))
     marked = marked.withColumn("spans", F.array_sort(F.concat("base", "more")))
