@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import zstandard
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from tidebook.workers import reachable
@@ -31,7 +31,7 @@ KINDS = {1: "frame", 2: "snapshot", 3: "metadata", 4: "drop"}
 LONGEST = 16 << 20
 SUFFIX = ".msr.zst"
 
-SCHEMA = "file string, idx bigint, kind string, received_at bigint, payload binary, dropped bigint"
+SCHEMA = "file string, file_no bigint, idx bigint, kind string, received_at bigint, payload binary, dropped bigint"
 
 
 class CorruptRecording(ValueError):
@@ -91,16 +91,10 @@ class _File(InputPartition):
 
 
 class RecordingReader(DataSourceReader):
-    """One partition per file, in path order. ``mode`` PERMISSIVE keeps the records before a break; FAILFAST refuses the file."""
+    """One partition per file, in path order. ``mode`` PERMISSIVE keeps the records before a break; FAILFAST refuses the file. ``kind`` reads records of one kind only."""
 
     def __init__(self, options: dict) -> None:
-        self.path, self.mode, self.kind = options["path"], options.get("mode", "FAILFAST").upper(), None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("kind",):
-                self.kind = f.value
-            yield f
+        self.path, self.mode, self.kind = options["path"], options.get("mode", "FAILFAST").upper(), options.get("kind")
 
     def partitions(self) -> list[InputPartition]:
         at = self.path.removeprefix("file://")
@@ -121,7 +115,7 @@ class RecordingReader(DataSourceReader):
                         return
                     raise
                 if self.kind in (None, kind):
-                    yield partition.path, idx, kind, received_at, payload, struct.unpack("<Q", payload)[0] if kind == "drop" else None
+                    yield partition.path, partition.number, idx, kind, received_at, payload, struct.unpack("<Q", payload)[0] if kind == "drop" else None
                 idx += 1
 
 
@@ -183,9 +177,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordingSource)
 
 
-def read(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+def read(spark: SparkSession, path: str, mode: str = "FAILFAST", kind: str | None = None) -> DataFrame:
+    """Records of a file, a folder or a pattern; of one kind only where it is given."""
     register(spark)
-    return spark.read.format("msr").option("mode", mode).load(path)
+    options = {"mode": mode} | ({"kind": kind} if kind else {})
+    return spark.read.format("msr").options(**options).load(path)
 
 
 def hour_of(received_at: Column) -> Column:

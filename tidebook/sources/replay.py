@@ -29,23 +29,21 @@ class Replay:
 
 def arrival(records: DataFrame) -> DataFrame:
     """records with ``arrival``: files in the order of their names, then records as they lie in the file."""
-    files = records.select("file").distinct()
-    first = files.withColumn("_file", F.row_number().over(Window.orderBy("file")) - 1)  # a row per file
-    return records.join(F.broadcast(first), "file").withColumn("arrival", F.col("_file").cast("bigint") * (1 << 40) + F.col("idx")).drop("_file")
+    return records.withColumn("arrival", F.col("file_no") * (1 << 40) + F.col("idx"))
 
 
 def open_replay(spark: SparkSession, path: str, mode: str = "FAILFAST") -> Replay:
     """The first metadata holds for all files; a second one is not read."""
-    rows = arrival(recording.read(spark, path, mode))
-    meta = rows.where("kind = 'metadata'").orderBy("arrival").limit(1)
+    rows = lambda kind: arrival(recording.read(spark, path, mode, kind))
+    meta = rows("metadata").orderBy("arrival").limit(1)
     if meta.isEmpty():
         raise NoMetadata(path)
     body = meta.select(F.col("payload").cast("string").alias("body"))
-    snap = rows.where("kind = 'snapshot'").select("arrival", "received_at", F.from_json(F.col("payload").cast("string"), SNAPSHOT).alias("s"))
+    snap = rows("snapshot").select("arrival", "received_at", F.from_json(F.col("payload").cast("string"), SNAPSHOT).alias("s"))
     pairs = lambda side: F.transform(f"s.{side}", lambda x: F.struct(x["Price"].alias("price"), x["Qty"].alias("qty")))
     snapshots = snap.select("arrival", "received_at", F.col("s.Symbol").alias("symbol"), F.col("s.LastID").alias("last_id"), pairs("Bids").alias("bids"), pairs("Asks").alias("asks"), F.col("s.Truncated").alias("truncated"))
-    frames = rows.where("kind = 'frame'").select("arrival", "received_at", F.col("payload").cast("string").alias("data"))
-    dropped = rows.where("kind = 'drop'").agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]
+    frames = rows("frame").select("arrival", "received_at", F.col("payload").cast("string").alias("data"))
+    dropped = rows("drop").agg(F.coalesce(F.sum("dropped"), F.lit(0))).first()[0]
     return Replay(frames, snapshots, parse_instruments(body), int(dropped))
 
 
