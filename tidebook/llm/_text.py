@@ -122,12 +122,8 @@ def _hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(buf: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes (of the lower-cased bytes) of all words, and the offsets of each text's words.
-
-    Long inputs are hashed in segments that end between words, so that memory
-    follows the segment and not the text."""
-    starts, ends = word_spans(buf, at, word)
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the lower-cased bytes of ascending, disjoint spans."""
     hashes = np.empty(len(starts), dtype=np.uint64)
     first = 0
     while first < len(starts):
@@ -135,7 +131,16 @@ def words(buf: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray
         last = max(int(np.searchsorted(ends, base + SEGMENT, "right")), first + 1)
         hashes[first:last] = _hash_spans(buf[base : ends[last - 1]], starts[first:last] - base, ends[first:last] - base)
         first = last
-    return starts, ends, hashes, np.searchsorted(starts, at)
+    return hashes
+
+
+def words(buf: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes (of the lower-cased bytes) of all words, and the offsets of each text's words.
+
+    Long inputs are hashed in segments that end between words, so that memory
+    follows the segment and not the text."""
+    starts, ends = word_spans(buf, at, word)
+    return starts, ends, hash_spans(buf, starts, ends), np.searchsorted(starts, at)
 
 
 def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

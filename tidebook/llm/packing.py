@@ -9,10 +9,12 @@ last merge.  A bin carries its members, so no join puts the rounds together.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +43,11 @@ class Params:
     fan_in: int = 8
     block: int = 50_000
     keep_ids: bool = False
-    cache_words: int = 400_000
+    cache_words: int = 300_000
 
 
 @lru_cache(maxsize=4)
 def _tokenizer(name: str):
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -55,48 +55,120 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes are ASCII letters, and which are marks that may follow the letters of a plain word."""
+    letters, marks = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+    letters[65:91] = letters[97:123] = True
+    marks[[ord(c) for c in ".,;:!?|*#$%&"]] = True
+    return letters, marks
+
+
+_LETTER, _MARK = _tables()
+
+
 class WordEncoder:
     """Ids of whole texts, word by word.
 
-    The vocabulary's tokens never span white space, so a text's ids are those
-    of its words one after the other.  Words are remembered while they fit in
-    ``cache_words``; what is forgotten is only encoded again."""
+    The vocabulary's tokens never span white space, and in a word of letters
+    with marks behind them it splits before the marks and nowhere else.  So a
+    batch is cut into such spans, equal spans are found by their hashes, and
+    only spans not met before are encoded: letters and marks many in one call,
+    told apart by the tokens that end a word.  Spans are remembered while they
+    fit in ``most``; what is forgotten is encoded again."""
+
+    LONGEST = 64
 
-    SEPARATOR = "<|startoftext|>"
+    def __init__(self, name: str, most: int) -> None:
+        self.tokenizer, self.most = _tokenizer(name), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
 
-    def __init__(self, name: str, cache_words: int) -> None:
-        self.tokenizer, self.most = _tokenizer(name), cache_words
-        self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
-        self.known: dict[bytes, bytes] = {}
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pool = np.zeros(1 << 16, dtype="<u4")
+        self.at = np.zeros(1 << 14, dtype=np.int64)  # where the ids of the nth span begin; its end is the next one's begin
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode many words at once, told apart by a special token that none of them holds."""
-        for first in range(0, len(words), 2000):
-            group = words[first : first + 2000]
-            ids = self._ids(f" {self.SEPARATOR} ".join([w.decode() for w in group]))
-            cuts = np.flatnonzero(ids == self.separator)
-            if len(cuts) == len(group) - 1:
-                starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-                self.known.update((w, ids[s:e].tobytes()) for w, s, e in zip(group, starts, ends, strict=True))
+    def _remember(self, hashes: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.known), len(hashes)
+        while len(self.at) < n + m + 1:
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        while len(self.pool) < self.at[n] + len(ids):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.at[n] : self.at[n] + len(ids)] = ids
+        self.at[n + 1 : n + m + 1] = self.at[n] + np.cumsum(sizes)
+        self.known.update(zip(hashes, range(n, n + m), strict=True))
+
+    def _learn(self, hashes: list[int], spans: list[bytes], plain: np.ndarray) -> None:
+        simple, odd = np.flatnonzero(plain), np.flatnonzero(~plain)
+        for first in range(0, len(simple), 4000):
+            group = simple[first : first + 4000].tolist()
+            text = b"\n".join([spans[k] for k in group]).decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                self._remember([hashes[k] for k in group], ids, np.diff(stops, prepend=0))
             else:
-                self.known.update((w, self._ids(w.decode()).tobytes()) for w in group)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        missing = words - self.known.keys()
-        if len(self.known) + len(missing) > self.most:
-            self.known, missing = {}, words
-        plain = {w for w in missing if b"<|" not in w and len(w) <= 64}
-        self._learn(list(plain))
-        known = self.known
-        if odd := missing - plain:
-            known = known | {w: self._ids(w.decode()).tobytes() for w in odd}
-        return [b"".join(map(known.__getitem__, one)) for one in split]
+                odd = np.concatenate([odd, simple[first : first + 4000]])
+        if len(odd):
+            each = [self._ids(spans[k].decode()) for k in odd.tolist()]
+            self._remember([hashes[k] for k in odd.tolist()], np.concatenate(each), np.array([len(x) for x in each]))
+
+    def _spans(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of spans, whether each is letters or marks of a plain word, and the offsets of each text's spans."""
+        starts, ends = _text.word_spans(buf, at, _text.space_words())
+        stop = ends.copy()
+        going = np.arange(len(ends))
+        for _ in range(16):
+            going = going[(stop[going] > starts[going]) & _MARK[buf[np.maximum(stop[going] - 1, 0)]]]
+            if not len(going):
+                break
+            stop[going] -= 1
+        # Letters of two bytes from U+00C0 to U+00FF, but the two signs among them.
+        lead, after = buf == 0xC3, (buf >= 0x80) & (buf <= 0xBF) & (buf != 0x97) & (buf != 0xB7)
+        pair = lead[:-1] & after[1:] if len(buf) else lead
+        letter = _LETTER[buf]
+        letter[:-1] |= pair
+        letter[1:] |= pair
+        other = np.concatenate([[0], np.cumsum(~letter)])
+        plain = (stop > starts) & (other[stop] == other[starts]) & (ends - starts <= self.LONGEST)
+        stop = np.where(plain, stop, ends)
+        two = stop < ends
+        count = 1 + two
+        first = np.concatenate([[0], np.cumsum(count)])
+        begin, end = np.repeat(starts, count), np.repeat(ends, count)
+        end[first[:-1]] = stop
+        begin[first[1:][two] - 1] = stop[two]
+        return begin, end, np.repeat(plain, count), first[np.searchsorted(starts, at)]
+
+    def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes and offsets), and the offsets of each text's ids."""
+        n, raw = len(at) - 1, buf.tobytes()
+        if b"<|" in raw:  # special tokens are told apart by case
+            each = [self._ids(raw[at[i] : at[i + 1]].decode()) for i in range(n)]
+            return np.concatenate([*each, np.zeros(0, "<u4")]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        starts, ends, plain, spans_at = self._spans(buf, at)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(n + 1, np.int64)
+        unique, where, inverse = np.unique(_text.hash_spans(buf, starts, ends), return_index=True, return_inverse=True)
+        keys = unique.tolist()
+        if len(self.known) + len(keys) > self.most:
+            self._forget()
+        number = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            own = where[fresh]
+            lower = _text.LOWER[buf].tobytes()
+            self._learn([keys[k] for k in fresh.tolist()], [lower[s:e] for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)], plain[own])
+            number[fresh] = np.fromiter(map(self.known.__getitem__, [keys[k] for k in fresh.tolist()]), np.int64, len(fresh))
+        spot = number[inverse]
+        begin, size = self.at[spot], self.at[spot + 1] - self.at[spot]
+        before = np.concatenate([[0], np.cumsum(size)])
+        return self.pool[np.repeat(begin - before[:-1], size) + np.arange(before[-1])], before[spans_at]
 
 
 @lru_cache(maxsize=2)
@@ -167,14 +239,13 @@ def _pieces(docs: DataFrame, p: Params, least: int) -> DataFrame:
 
         for batch in batches:
             for part in _text.slices(batch):
-                buf, at = _text.text_bytes(part.column(1))
-                raw = buf.tobytes()
-                texts = [raw[at[i] : at[i + 1]] for i in range(part.num_rows)]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), 4 * p.size)):
-                        one = ids[s : s + 4 * p.size]
-                        held.append((doc, k, s // 4, len(one) // 4, zlib.crc32(one), 0, one if p.keep_ids else None))
+                ids, at = encoder.encode(*_text.text_bytes(part.column(1)))
+                raw = ids.tobytes()
+                for k, doc in enumerate(part.column(0).to_pylist()):
+                    one = raw[4 * at[k] : 4 * at[k + 1]] + end
+                    for number, s in enumerate(range(0, len(one), 4 * p.size)):
+                        piece = one[s : s + 4 * p.size]
+                        held.append((doc, number, s // 4, len(piece) // 4, zlib.crc32(piece), 0, piece if p.keep_ids else None))
                 if len(held) >= p.block:
                     yield from packed()
         yield from packed()
