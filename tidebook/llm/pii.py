@@ -95,22 +95,29 @@ def _terms(docs: DataFrame, p: Params) -> DataFrame | None:
     met = held.select("k1", "k2", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.array_distinct(F.regexp_extract_all(near, F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0))).alias("words"))
     met = _store.save(met, "contexts")
     pairs = met.select("k1", "k2", "entity", F.explode("words").alias("term")).distinct()
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= p.support)
-    joint = _store.save(joint, "joint")
+    pairs = _store.save(pairs, "near-words")
+    every = docs.select(F.lower(text).alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
+    texts = float(every.select("k1", "k2").distinct().count())
+    entities = met.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    near_entities = pairs.select("k1", "k2", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= p.support).join(entities, "entity")
+
+    def disclosing(rows: DataFrame, column: str) -> DataFrame:
+        share = F.log2(F.lit(texts) / F.col("with_entity"))
+        gain = F.log2(F.lit(texts) * F.col("both") / (F.col("with_entity") * F.col(column)))
+        return rows.withColumn("disclosure", F.when(share > 0, gain / share).otherwise(F.lit(0.0))).where(F.col("disclosure") >= p.generalise)
+
+    # Texts with a word are at least those with it near an entity: what falls short by that count falls short by the whole one.
+    joint = _store.save(disclosing(joint.join(near_entities, "term"), "with_term").select("entity", "term", "both", "with_entity"), "joint")
     terms = joint.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
-        _store.drop(met, joint)
+        _store.drop(met, pairs, joint)
         return None
-    every = docs.select(F.lower(text).alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
     words = every.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0)))).alias("term"))
     words = words.join(F.broadcast(terms) if n_terms <= p.broadcast_rows else terms, "term", "left_semi")
     alone = words.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    entities = met.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    texts = every.select("k1", "k2").distinct().count()
-    share = F.log2(F.lit(float(texts)) / F.col("with_entity"))
-    gain = F.log2(F.lit(float(texts)) * F.col("both") / (F.col("with_entity") * F.col("with_term")))
-    scored = joint.join(alone, "term").join(entities, "entity").withColumn("disclosure", F.when(share > 0, gain / share).otherwise(F.lit(0.0))).where(F.col("disclosure") >= p.generalise)
+    scored = disclosing(joint.join(alone, "term"), "with_term")
     scored = _store.save(scored.select("entity", "term", F.when(F.col("disclosure") >= p.remove, "removed").otherwise("generalised").alias("kind")), "disclosing")
     here = met.select("k1", "k2", "entity").distinct().join(scored, "entity")
     return _store.save(here.groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "kind")).alias("terms")), "terms")
@@ -127,8 +134,10 @@ def sanitise(docs: DataFrame, p: Params | None = None) -> DataFrame:
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("base", "spans", "clean")]
-    found = find_entities(docs.select(*own))
-    terms = _terms(find_entities(docs.select("text")), p)
+    text = F.col("text").cast("string").alias("text")
+    numbered = [F.col(c).alias(f"c{k}") for k, c in enumerate(own) if c != "text"]
+    found = find_entities(docs.select(*numbered, text))
+    terms = _terms(find_entities(docs.select(text)), p)
     none = F.array().cast(f"array<{SPAN}>")
     if terms is None:
         marked = found.withColumn("more", none)
@@ -150,7 +159,7 @@ def sanitise(docs: DataFrame, p: Params | None = None) -> DataFrame:
     clean = f"""CASE WHEN size(spans) = 0 THEN text ELSE concat(
         array_join(transform(spans, (s, i) -> concat(substr(text, {before} + 1, greatest(s.start - {before}, 0)), {tag})), ''),
         substr(text, array_max(transform(spans, x -> x.stop)) + 1)) END"""
-    return marked.withColumn("clean", F.expr(clean)).select(*own, "base", "spans", "clean")
+    return marked.withColumn("clean", F.expr(clean)).select(*[F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(own)], "base", "spans", "clean")
 
 
 def _joined(column: str) -> Column:
