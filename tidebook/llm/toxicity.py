@@ -36,9 +36,9 @@ IDENTITY_TERMS = (
 
 @dataclass(frozen=True)
 class Params:
-    """sample: labelled rows learnt from at most, chosen by a hash of the id. features: kept, by the
-    strength of their association with the label. pairs: counterfactual pairs at most.
-    penalty: weight of the squared score change."""
+    """sample: labelled rows learnt from at most, chosen by a hash of the id. features: kept, those that
+    speak most clearly for the label (what speaks against it must not outvote an insult). pairs: counterfactual pairs at most.
+    penalty: weight of the squared score change. cut: score at which the two labels part."""
 
     sample: int = 40_000
     hash_bits: int = 20
@@ -47,8 +47,9 @@ class Params:
     least_count: int = 3
     pairs: int = 20_000
     penalty: float = 20.0
-    shrink: float = 0.02
-    steps: int = 150
+    shrink: float = 0.01
+    steps: int = 300
+    cut: float = 0.6
     prefixes: tuple[int, ...] = (4, 5, 6, 8)
     identity: tuple[tuple[str, ...], ...] = field(default=IDENTITY_TERMS)
 
@@ -156,6 +157,19 @@ def _optimise(x: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray,
     return w, bias
 
 
+def _shift(margins: np.ndarray, y: np.ndarray, p: Params) -> float:
+    """What to add to margins so that the cut with the least balanced error on them scores ``cut``; amid equal cuts the middle."""
+    order = np.argsort(margins)
+    m, t = margins[order], y[order]
+    missed = np.concatenate([[0], np.cumsum(t)]) / t.sum()
+    alarms = 1 - np.concatenate([[0], np.cumsum(1 - t)]) / (1 - t).sum()
+    error = missed + alarms
+    edges = np.concatenate([[m[0] - 1], (m[1:] + m[:-1]) / 2, [m[-1] + 1]])
+    error[1:-1][m[1:] == m[:-1]] = np.inf
+    best = int(error.argmin())
+    return float(np.log(p.cut / (1 - p.cut)) - edges[best])
+
+
 def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
     """Learn from texts of docs and labels (doc_id, y); without both classes the score is a constant."""
     p = p or Params()
@@ -166,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((pos + 1) / (neg + 1))))
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     z = (F.log(a / b) - np.log(pos / neg).item()) / F.sqrt(1 / a + 1 / b)
-    strong = _counts(rows, p).where(F.col("pos") + F.col("neg") >= p.least_count).withColumn("z", F.abs(z)).where(F.col("z") >= p.least_z)
+    strong = _counts(rows, p).where(F.col("pos") + F.col("neg") >= p.least_count).withColumn("z", z).where(F.col("z") >= p.least_z)
     chosen = np.sort(np.array([r["bin"] for r in strong.orderBy(F.desc("z"), "bin").limit(p.features).select("bin").collect()], dtype=np.int64))
     if p.identity:
         terms, _ = bins_of(pa.array([" ".join(t for row in p.identity for t in row)]), p)
@@ -178,9 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
         if len(pairs) < p.pairs:
             v = np.frombuffer(raw, dtype=np.uint16)
             pairs.append((v[1 : 1 + v[0]], v[1 + v[0] :]))
-    w, bias = _optimise([np.frombuffer(r["x"], dtype=np.uint16) for r in seen], np.array([float(r["y"] > 0) for r in seen]), pairs, len(chosen), p)
+    x, y = [np.frombuffer(r["x"], dtype=np.uint16) for r in seen], np.array([float(r["y"] > 0) for r in seen])
+    w, bias = _optimise(x, y, pairs, len(chosen), p)
+    margins = bias + np.bincount(np.repeat(np.arange(len(x)), [len(v) for v in x]), w[np.concatenate(x).astype(np.int64)], len(x))
     _store.drop(rows)
-    return Model(chosen, w, bias)
+    return Model(chosen, w, bias + _shift(margins, y, p))
 
 
 def score(docs: DataFrame, model: Model, p: Params | None = None) -> DataFrame:
