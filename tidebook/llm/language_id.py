@@ -28,7 +28,7 @@ class Params:
     centroids: int = 4
     sample: int = 500
     iterations: int = 12
-    reject: float = 0.1
+    reject: float = 0.05
     seed: int = 3
 
 
@@ -136,6 +136,7 @@ def _clusters(x: np.ndarray, p: Params) -> np.ndarray:
 def fit(docs: DataFrame, p: Params | None = None) -> Model | None:
     """Learn from text and lang of docs; None where there is nothing to learn from."""
     p = p or Params()
+    _store.shared_dir(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = _frequencies(rows, p)
     if not n:
