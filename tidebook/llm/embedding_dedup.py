@@ -14,14 +14,14 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import _store, _text
+from tidebook.llm._groups import close_pairs, labels, map_groups
 from tidebook.llm.components import connected_components
-from tidebook.llm.minhash_dedup import _blocked, least_labels
+from tidebook.llm.minhash_dedup import _blocked
 
 
 @dataclass(frozen=True)
@@ -94,23 +94,28 @@ def _prepared(vectors: DataFrame, p: Params) -> DataFrame:
 def _block_links(rows: DataFrame, p: Params) -> DataFrame:
     """For each block pair of a bucket: links of its vectors first found in this table, weighted by copies, and a spanning edge."""
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, blk, copies, table = pdf["doc_id"].to_numpy(), pdf["blk"].to_numpy(), pdf["copies"].to_numpy(), int(pdf["tab"].iloc[0])
-        u = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float64).reshape(len(ids), -1)
-        codes = np.frombuffer(b"".join(pdf["codes"]), dtype=np.uint32).reshape(len(ids), -1)
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        x, y = np.nonzero(np.triu(u @ u.T >= p.threshold, 1))
-        ok = (same | (blk[x] != blk[y])) & ~(codes[x, :table] == codes[y, :table]).any(axis=1)
+    def work(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        ids, blk, copies, table, i, j, dim = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "blk", "copies", "tab", "i", "j", "dim"))
+        codes = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("codes")).to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+        unit = batch.column(batch.schema.get_field_index("unit")).to_pylist()
+        u = np.zeros((len(ids), dim.max()))
+        for d in np.unique(dim):
+            own = np.flatnonzero(dim == d)
+            u[own, :d] = np.frombuffer(b"".join([unit[k] for k in own]), dtype=np.float64).reshape(-1, d)
+        found = [(x[hit], y[hit]) for x, y in close_pairs(at) if (hit := np.einsum("ij,ij->i", u[x], u[y]) >= p.threshold).any()]
+        for g in np.flatnonzero(np.diff(at) > 64):
+            own = u[at[g] : at[g + 1]]
+            x, y = np.nonzero(np.triu(own @ own.T >= p.threshold, 1))
+            found.append((x + at[g], y + at[g]))
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        earlier = (codes[x] == codes[y]) & (np.arange(codes.shape[1]) < table[x][:, None])
+        ok = ((i[x] == j[x]) | (blk[x] != blk[y])) & ~earlier.any(axis=1)
         x, y = x[ok], y[ok]
-        if not len(x):
-            return pd.DataFrame({"doc_id": ids[:0], "links": copies[:0], "root": ids[:0]})
         links = np.bincount(x, copies[y], len(ids)) + np.bincount(y, copies[x], len(ids))
-        at = np.searchsorted(x, np.arange(len(ids) + 1))
-        label = least_labels(len(ids), lambda i: y[at[i] : at[i + 1]])
         keep = links > 0
-        return pd.DataFrame({"doc_id": ids[keep], "links": links[keep].astype(np.int64), "root": ids[label[keep]]})
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep].astype(np.int64)), pa.array(ids[labels(len(ids), x, y)[keep]])], ["doc_id", "links", "root"])
 
-    return rows.groupBy("key", "i", "j").applyInPandas(block, "doc_id long, links long, root long")
+    return map_groups(rows, ["key", "i", "j"], work, "doc_id long, links long, root long")
 
 
 def embedding_components(vectors: DataFrame, p: Params | None = None) -> DataFrame:
@@ -133,7 +138,7 @@ def embedding_components(vectors: DataFrame, p: Params | None = None) -> DataFra
     slim = nodes.select("doc_id", F.inline(code))
     buckets = slim.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / p.block).alias("blocks"))
     met = slim.join(buckets, "key").join(nodes, "doc_id")
-    found = _store.save(_block_links(_blocked(met.select("key", "tab", "doc_id", "unit", "codes", "copies", "blocks"), "key", "blocks"), p), "vector-links")
+    found = _store.save(_block_links(_blocked(met.select("key", "tab", "doc_id", "dim", "unit", "codes", "copies", "blocks"), "key", "blocks"), p), "vector-links")
     parts = connected_components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "vector-components")
     counts = found.groupBy(F.col("doc_id").alias("rep")).agg(F.sum("links").alias("links"))
     classes = reps.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
