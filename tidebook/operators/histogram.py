@@ -66,6 +66,15 @@ def quantile(hist: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
     return first.select(*keys, value.alias("value"))
 
 
+def summary(values: DataFrame, column: str, bounds: Sequence[int], shares: dict[str, float]) -> DataFrame:
+    """One row: n, mean, and a quantile for each named share."""
+    hist = buckets(values, column, bounds)
+    out = totals(values, column).select("n", "mean")
+    for name, q in shares.items():
+        out = out.join(F.broadcast(quantile(hist, q).select(F.col("value").alias(name))))  # one row each
+    return out
+
+
 def seconds_label(ns: int) -> str:
     """A bound in seconds, as the shortest decimal."""
     return f"{ns / 1e9:.12g}"

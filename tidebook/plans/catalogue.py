@@ -193,6 +193,16 @@ def hist_quantile_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+@registered
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reports at its end: events, whole events a second, and percentiles of the time between a symbol's events."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    seen = feed.events(spark, sf_dir).agg(F.count("*").alias("events"), (F.max(us) - F.min(us)).alias("_us"))
+    rate = F.when(F.col("_us") > 0, F.expr("events * 1000000 div _us")).otherwise(F.lit(0).cast("bigint"))
+    quantiles = histogram.summary(_gaps(spark, sf_dir), "ns", histogram.TICK_TO_BOOK, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return seen.select("events", rate.alias("per_second")).join(F.broadcast(quantiles))
+
+
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.decode(feed.frames(spark, sf_dir), feed.instruments(spark))
 

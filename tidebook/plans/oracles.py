@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidebook.operators.histogram import DECODE, RESYNC
+from tidebook.operators.histogram import DECODE, RESYNC, TICK_TO_BOOK
 from tidebook.plans.catalogue import CAPACITY, CUT, SHOWN
 
 _LEVELS = """lv AS (SELECT user_id % 8 AS symbol, event_id AS arrival, CASE WHEN event_type IN ('view', 'click') THEN 'B' ELSE 'A' END AS side,
@@ -89,6 +89,14 @@ ORACLES: dict[str, str] = {
     "hist_mean": f"WITH {_GAPS} SELECT symbol, count(*) FILTER (ns >= 0) AS n, CAST(coalesce(sum(ns) FILTER (ns >= 0), 0) AS BIGINT) AS total, count(*) FILTER (ns < 0) AS negative, CAST(CASE WHEN count(*) FILTER (ns >= 0) > 0 THEN sum(ns) FILTER (ns >= 0) // count(*) FILTER (ns >= 0) ELSE 0 END AS BIGINT) AS mean FROM ga GROUP BY symbol",
     "hist_quantile_ns": f"""WITH {_HIST}, {_QUANTILE} SELECT symbol, q, CAST(CASE WHEN total = 0 THEN 0 WHEN le IS NULL THEN largest WHEN n = 0 THEN le
         ELSE lower + floor((le - lower) * ((share * total - (cumulative - n)) / n)) END AS BIGINT) AS value FROM fr""",
+    "run_summary": f"""WITH {_GAPS}, {_histogram('ga', TICK_TO_BOOK, '')}, qs(q, share) AS (VALUES ('p50', CAST(0.5 AS DOUBLE)), ('p95', 0.95), ('p99', 0.99)),
+        hx AS (SELECT *, sum(n) OVER () AS total, coalesce(lag(le) OVER (ORDER BY bucket), 0) AS lower, max(le) OVER () AS largest FROM hs),
+        fr AS (SELECT * FROM hx, qs WHERE cumulative >= share * total OR le IS NULL QUALIFY row_number() OVER (PARTITION BY q ORDER BY bucket) = 1),
+        v AS (SELECT q, CAST(CASE WHEN total = 0 THEN 0 WHEN le IS NULL THEN largest WHEN n = 0 THEN le ELSE lower + floor((le - lower) * ((share * total - (cumulative - n)) / n)) END AS BIGINT) AS value FROM fr),
+        t AS (SELECT count(*) AS n, CAST(sum(ns) // count(*) AS BIGINT) AS mean FROM ga WHERE ns >= 0),
+        e AS (SELECT count(*) AS events, max(epoch_us(ts)) - min(epoch_us(ts)) AS us FROM events)
+        SELECT events, CAST(CASE WHEN us > 0 THEN events * 1000000 // us ELSE 0 END AS BIGINT) AS per_second, n, mean,
+        (SELECT value FROM v WHERE q = 'p50') AS p50, (SELECT value FROM v WHERE q = 'p95') AS p95, (SELECT value FROM v WHERE q = 'p99') AS p99 FROM e, t""",
     "decode_events": f"""WITH {_DECODED} SELECT arrival, CASE WHEN ok THEN CASE WHEN is_trade THEN 'trade' ELSE 'delta' END END AS kind, CASE WHEN ok THEN concat('S', k, '-USDT') END AS symbol,
         CASE WHEN ok THEN us // 1000 * 1000000 END AS exchange_time, CASE WHEN ok AND is_trade THEN user_id % 2 <> 0 END AS is_buy,
         CASE WHEN ok AND is_trade THEN price END AS price, CASE WHEN ok AND is_trade THEN qty END AS qty,
