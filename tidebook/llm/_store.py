@@ -8,13 +8,24 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows and bytes of an Arrow batch at most: what a Python worker and its JVM hold at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 _WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new temporary one only where none is set (as in tests)."""
+    """The folder named in spark.checkpoint.dir; a new temporary one only where none is set (as in tests).
+
+    Arrow batches larger than BATCH are made that small from here on: the
+    defaults let a batch of long texts outgrow a small executor."""
     sc = spark.sparkContext
+    for key, most in BATCH.items():
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
     sc.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
@@ -39,6 +50,11 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, most: int = 300_000) -> DataFrame:
+    """df (of a few narrow columns), to be broadcast if it has at most ``most`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def drop(*tables: DataFrame | str) -> None:
     """Delete tables of save() that nothing reads any more."""
     for table in tables:

@@ -20,12 +20,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import _store, _text
+from tidebook.llm._groups import close_pairs, labels, map_groups
 from tidebook.llm.components import connected_components
 
 #: Chance that two different minima share leading zeros and the first r mantissa bits, times 2**r.
@@ -146,7 +146,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                     yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_store.small(ids), "doc_id", "left_semi")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -169,69 +169,61 @@ def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
         .withColumn("i", F.least("blk", "other"))
         .withColumn("j", F.greatest("blk", "other"))
         .drop("other", blocks)
-        .repartition(key, "i", "j")
     )
 
 
-def least_labels(n: int, neighbours) -> np.ndarray:
-    """Component labels of 0..n-1; neighbours(i) gives the indices linked with i and larger than it."""
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(n):
-        for j in neighbours(i):
-            a, b = find(i), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return np.array([find(i) for i in range(n)], dtype=np.int64)
-
-
 def _families(rows: DataFrame, p: Params) -> DataFrame:
     """Edges (a, b) that join members of a bucket whose registers make a link between components plausible."""
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comp, n, blk = pdf["doc_id"].to_numpy(), pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(), pdf["blk"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["regs"]), dtype=np.uint16).reshape(-1, p.registers)
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-
-        def near(i: int) -> np.ndarray:
-            rest = slice(i + 1, None)
-            some = np.flatnonzero((comp[rest] != comp[i]) & (same | (blk[rest] != blk[i]))) + i + 1
-            return some[_plausible(x[i], x[some], n[i], n[some], p)] if len(some) else some
-
-        label = least_labels(len(ids), near)
+    def work(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        ids, comp, n, blk, i, j = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "comp", "n_shingles", "blk", "i", "j"))
+        regs = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("regs")).to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
+        found = []
+
+        def consider(x: np.ndarray, y: np.ndarray) -> None:
+            ok = (comp[x] != comp[y]) & ((i[x] == j[x]) | (blk[x] != blk[y]))
+            x, y = x[ok], y[ok]
+            for first in range(0, len(x), 8192):
+                s, t = x[first : first + 8192], y[first : first + 8192]
+                near = _plausible(regs[s], regs[t], n[s], n[t], p)
+                found.append((s[near], t[near]))
+
+        for x, y in close_pairs(at):
+            consider(x, y)
+        for g in np.flatnonzero(np.diff(at) > 64):
+            for k in range(at[g], at[g + 1] - 1):
+                rest = np.arange(k + 1, at[g + 1])
+                consider(np.full(len(rest), k), rest)
+        x, y = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        label = labels(len(ids), x, y)
         keep = label != np.arange(len(ids))
-        return pd.DataFrame({"a": ids[keep], "b": ids[label[keep]]})
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[label[keep]])], ["a", "b"])
 
-    return rows.groupBy("key", "i", "j").applyInPandas(block, "a long, b long")
+    return map_groups(rows, ["key", "i", "j"], work, "a long, b long")
 
 
 def _family_links(rows: DataFrame, p: Params) -> DataFrame:
     """Spanning links between components inside families, confirmed on full sets."""
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, blk = pdf["doc_id"].to_numpy(), pdf["blk"].to_numpy()
-        _, group = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
-        sets, at = sets_of(pa.array(pdf["text"], pa.string()), p)
-        n, x = np.diff(at), registers_of(sets, at, p)
-        same, root, out = pdf["i"].iloc[0] == pdf["j"].iloc[0], np.arange(group.max() + 1), []
-        for i in range(len(ids)):
-            some = np.flatnonzero((root[group[i + 1 :]] != root[group[i]]) & (same | (blk[i + 1 :] != blk[i]))) + i + 1
-            if len(some):
-                some = some[_plausible(x[i], x[some], n[i], n[some], p)]
-            for j in some:
-                r, s = root[group[i]], root[group[j]]
-                if r != s and _linked(sets[at[i] : at[i + 1]], sets[at[j] : at[j + 1]], p):
-                    root[root == max(r, s)] = min(r, s)
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("family", "i", "j").applyInPandas(block, "a long, b long")
+    def work(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        ids, comp, blk, i, j = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "comp", "blk", "i", "j"))
+        sets, bound = sets_of(batch.column(batch.schema.get_field_index("text")), p)
+        n, regs, out = np.diff(bound), registers_of(sets, bound, p), []
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            _, group = np.unique(comp[lo:hi], return_inverse=True)
+            root = np.arange(group.max() + 1)
+            for k in range(lo, hi):
+                rest = np.arange(k + 1, hi)
+                rest = rest[(root[group[rest - lo]] != root[group[k - lo]]) & ((i[k] == j[k]) | (blk[rest] != blk[k]))]
+                for m in rest[_plausible(regs[k], regs[rest], n[k], n[rest], p)] if len(rest) else ():
+                    r, s = root[group[k - lo]], root[group[m - lo]]
+                    if r != s and _linked(sets[bound[k] : bound[k + 1]], sets[bound[m] : bound[m + 1]], p):
+                        root[root == max(r, s)] = min(r, s)
+                        out.append((ids[k], ids[m]))
+        a, b = (np.array([x[c] for x in out], dtype=np.int64) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return map_groups(rows, ["family", "i", "j"], work, "a long, b long", 512)
 
 
 def minhash_components(docs: DataFrame, p: Params | None = None) -> DataFrame:
@@ -267,7 +259,7 @@ def minhash_components(docs: DataFrame, p: Params | None = None) -> DataFrame:
     if edges.take(1):
         family = connected_components(edges, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         sized = family.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(sized, "doc_id").dropDuplicates(["doc_id"])
+        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_store.small(sized), "doc_id").dropDuplicates(["doc_id"])
         texts = _store.save(texts, "family-texts")
         blocks = texts.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum(F.octet_length("text")) / p.block_bytes)).alias("blocks"))
         more = _store.save(_family_links(_blocked(texts.join(blocks, "family"), "family", "blocks"), p), "more")
