@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm import _store, decontamination, language_id, minhash_dedup, packing, pii
@@ -15,28 +15,44 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """docs under numbered names but for the text, so that no name of theirs meets a name an operator adds."""
+    return docs.select(*[F.col(c).alias("text" if c == "text" else f"c{k}") for k, c in enumerate(docs.columns)])
+
+
+def _named(carried: DataFrame, docs: DataFrame, **values: Column) -> DataFrame:
+    """Back to the columns of docs, with other values for some."""
+    own = {c: F.col("text" if c == "text" else f"c{k}") for k, c in enumerate(docs.columns)}
+    return carried.select(*[values.get(c, v).alias(c) for c, v in own.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or far from every language of the corpus, go. Languages are learnt from all
     documents outside the held-out fold."""
     model = language_id.fit(docs.where(~language_id.held_out()).select("lang", "text"))
-    return language_id.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    return _named(language_id.identify(_carried(docs), model).where("NOT rejected"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates stays; so do rows without an id."""
-    dropped = minhash_dedup.minhash_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document, the smallest doc_id, of each group of near duplicates stays; so do rows without an id.
+    Of rows that repeat an id and its text one stays."""
+    dropped = minhash_dedup.minhash_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    left = docs.join(_store.small(_store.save(dropped, "dropped")), "doc_id", "left_anti").select(*docs.columns)
+    many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not many.take(1):
+        return left
+    once, more = left.join(many, "doc_id", "left_anti"), left.join(many, "doc_id", "left_semi")
+    return once.select(*docs.columns).unionByName(more.dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _named(decontamination.remove_contaminated(_carried(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are replaced by their sanitised form, and n_chars follows."""
-    clean = pii.sanitise(docs)
-    return clean.withColumns({"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
+    return _named(pii.sanitise(_carried(docs)), docs, text=F.col("clean"), n_chars=F.length("clean").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
