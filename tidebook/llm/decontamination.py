@@ -31,7 +31,7 @@ class Params:
 
     window: int = 10
     shingle: int = 5
-    block_windows: int = 400_000
+    block_windows: int = 100_000
 
 
 def _words(column: pa.Array):
@@ -153,10 +153,9 @@ def _counts(docs: DataFrame, block, p: Params) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(block.value.tokens), dtype=np.int64)
-    for r in rows:
-        out[r["token"]] = r["n"]
+    out[rows["token"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
