@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,28 +14,47 @@ def _column(x: Column | str | int) -> Column:
     return F.lit(x) if isinstance(x, int) else F.col(x) if isinstance(x, str) else x
 
 
-def parse_fixed(text: Column | str, decimals: Column | str | int) -> Column:
+def _inline(value: Column, body: Callable[[Column], Column]) -> Column:
+    return body(value)
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: lambdas are interpreted, and nothing else shares what they repeat."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def parse_fixed(text: Column | str, decimals: Column | str | int, in_lambda: bool = False) -> Column:
     """STRUCT<value BIGINT, error STRING>: one of the two is null (both for a null text).
 
     Digits beyond ``decimals`` must be zeros, and that is tested before the
-    digits' syntax; missing ones are filled with zeros; either part may be empty."""
+    digits' syntax; missing ones are filled with zeros; either part may be
+    empty.  ``in_lambda`` gives a form that is quick inside array functions."""
     s, d = _column(text), _column(decimals)
-    negative = F.startswith(s, F.lit("-"))
-    rest = F.when(negative, F.substr(s, F.lit(2))).otherwise(s)
-    dot = F.instr(rest, F.lit("."))
-    whole = F.when(dot > 0, F.substr(rest, F.lit(1), dot - 1)).otherwise(rest)
-    fraction = F.when(dot > 0, F.substr(rest, dot + 1)).otherwise(F.lit(""))
-    beyond = (F.length(fraction) > d) & F.substr(fraction, d + 1).rlike("[^0]")
-    digits = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), F.rpad(F.substr(fraction, F.lit(1), d), d, F.lit("0")))
-    signed = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), digits)
-    value = signed.try_cast("bigint")
-    error = (
-        F.when((s == "") | (s == "-"), F.lit(SYNTAX))
-        .when(beyond, F.lit(TOO_MANY_DECIMALS))
-        .when(~digits.rlike(r"\A[0-9]+\z"), F.lit(SYNTAX))
-        .when(s.isNotNull() & value.isNull(), F.lit(OVERFLOW))
-    )
-    return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
+    let = _bound if in_lambda else _inline
+
+    def signed(rest: Column) -> Column:
+        return let(F.instr(rest, F.lit(".")), lambda dot: parts(rest, dot))
+
+    def parts(rest: Column, dot: Column) -> Column:
+        whole = F.when(dot > 0, F.substr(rest, F.lit(1), dot - 1)).otherwise(rest)
+        fraction = F.when(dot > 0, F.substr(rest, dot + 1)).otherwise(F.lit(""))
+        return let(fraction, lambda f: assembled(F.when(whole == "", F.lit("0")).otherwise(whole), f))
+
+    def assembled(whole: Column, fraction: Column) -> Column:
+        beyond = (F.length(fraction) > d) & (F.rtrim(F.substr(fraction, d + 1), F.lit("0")) != "")
+        return let(F.concat(whole, F.rpad(F.substr(fraction, F.lit(1), d), d, F.lit("0"))), lambda digits: checked(beyond, digits))
+
+    def checked(beyond: Column, digits: Column) -> Column:
+        value = F.concat(F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit("")), digits).try_cast("bigint")
+        return let(value, lambda v: result(beyond, digits, v))
+
+    def result(beyond: Column, digits: Column, value: Column) -> Column:
+        # Only digits are left when all of them are taken away.
+        wrong = (digits == "") | (F.translate(digits, "0123456789", "") != "")
+        error = F.when((s == "") | (s == "-"), F.lit(SYNTAX)).when(beyond, F.lit(TOO_MANY_DECIMALS)).when(wrong, F.lit(SYNTAX)).when(s.isNotNull() & value.isNull(), F.lit(OVERFLOW))
+        return let(error, lambda e: F.struct(F.when(e.isNull(), value).alias("value"), e.alias("error")))
+
+    return let(F.when(F.startswith(s, F.lit("-")), F.substr(s, F.lit(2))).otherwise(s), signed)
 
 
 def format_fixed(value: Column | str, decimals: Column | str | int) -> Column:

@@ -1,8 +1,9 @@
 """Raw frames to typed events, snapshots and instruments.
 
 JSON keys differ by case alone (e/E, u/U, m/M), so fields are taken with
-get_json_object, which is exact about case; only the arrays of the matching
-kind are parsed.  Errors are values of ``decode_error``, never exceptions.
+json_tuple, which is exact about case and reads a frame once; only the arrays
+of the matching kind are parsed.  Errors are values of ``decode_error``, never
+exceptions.
 """
 
 from __future__ import annotations
@@ -22,22 +23,27 @@ def payload(data: Column) -> Column:
     return F.coalesce(F.get_json_object(data, "$.data"), data)
 
 
+def _kind(event: Column) -> Column:
+    return F.when(event == "aggTrade", TRADE).when(event == "depthUpdate", DELTA)
+
+
 def frame_kind(data: Column) -> Column:
     """trade, delta, or null for anything else."""
-    kind = F.get_json_object(payload(data), "$.e")
-    return F.when(kind == "aggTrade", TRADE).when(kind == "depthUpdate", DELTA)
+    return _kind(F.get_json_object(payload(data), "$.e"))
 
 
 def _levels(json: Column, price_decimals: Column, qty_decimals: Column) -> Column:
     """ARRAY<STRUCT<price, qty, error>> from [[price, qty], ..]."""
     pairs = F.from_json(json, LEVELS)
 
-    def level(pair: Column) -> Column:
-        price, qty = parse_fixed(F.get(pair, 0), price_decimals), parse_fixed(F.get(pair, 1), qty_decimals)
-        lacking = F.when(F.size(pair) < 2, F.lit("syntax"))
-        return F.struct(price["value"].alias("price"), qty["value"].alias("qty"), F.coalesce(lacking, price["error"], qty["error"]).alias("error"))
+    def both(pair: Column) -> Column:
+        return F.struct(F.size(pair).alias("n"), parse_fixed(F.get(pair, 0), price_decimals, True).alias("p"), parse_fixed(F.get(pair, 1), qty_decimals, True).alias("q"))
+
+    def level(x: Column) -> Column:
+        lacking = F.when(x["n"] < 2, F.lit("syntax"))
+        return F.struct(x["p"]["value"].alias("price"), x["q"]["value"].alias("qty"), F.coalesce(lacking, x["p"]["error"], x["q"]["error"]).alias("error"))
 
-    return F.transform(pairs, level)
+    return F.transform(F.transform(pairs, both), level)
 
 
 def _clean(levels: Column) -> Column:
@@ -49,10 +55,12 @@ def decode(frames: DataFrame, instruments: DataFrame) -> DataFrame:
 
     instruments (raw, symbol, price_decimals, qty_decimals) is a small dimension
     that Spark broadcasts by its size.  One bad level refuses the whole frame."""
-    j = payload(F.col("data"))
-    kind = frame_kind(F.col("data"))
-    field = lambda name: F.get_json_object("_j", f"$.{name}")
-    out = frames.withColumns({"_j": j, "kind": kind}).withColumn("raw", F.when(F.col("kind").isNotNull(), field("s")))
+    own = {c: f"c{k}" for k, c in enumerate(frames.columns) if c != "data"}
+    fields = ["e", "E", "s", "p", "q", "m", "U", "u", "b", "a"]
+    names = {f: f"f{k}" for k, f in enumerate(fields)}
+    out = frames.select(*[F.col(c).alias(a) for c, a in own.items()], "data", F.json_tuple(payload(F.col("data")), *fields).alias(*names.values()))
+    field = lambda name: F.col(names[name])
+    out = out.withColumn("kind", _kind(field("e"))).withColumn("raw", F.when(F.col("kind").isNotNull(), field("s")))
     out = out.join(instruments.select("raw", "symbol", "price_decimals", "qty_decimals"), "raw", "left")
     trade, delta = F.col("kind") == TRADE, F.col("kind") == DELTA
     price, qty = parse_fixed(field("p"), F.col("price_decimals")), parse_fixed(field("q"), F.col("qty_decimals"))
@@ -81,8 +89,8 @@ def decode(frames: DataFrame, instruments: DataFrame) -> DataFrame:
     good = F.col("decode_error").isNull()
     shown = {"price": F.col("_price.value"), "qty": F.col("_qty.value"), "bids": _clean(F.col("_bids")), "asks": _clean(F.col("_asks"))}
     out = out.withColumns({k: F.when(good, v) for k, v in shown.items()})
-    keep = [c for c in frames.columns if c != "raw"]
-    return out.select(*keep, *[F.when(good, F.col(c)).alias(c) for c in ("kind", "symbol", "exchange_time")], *[F.when(good, F.col(c)).alias(c) for c in ("is_buy", "first_id", "last_id")], "price", "qty", "bids", "asks", "decode_error")
+    keep = [F.col(own.get(c, c)).alias(c) for c in frames.columns]
+    return out.select(*keep, *[F.when(good, F.col(c)).alias(c) for c in ("kind", "symbol", "exchange_time", "is_buy", "first_id", "last_id")], "price", "qty", "bids", "asks", "decode_error")
 
 
 def parse_depth(bodies: DataFrame, instruments: DataFrame) -> DataFrame:
