@@ -21,12 +21,13 @@ from tidebook.llm import _store, _text
 
 @dataclass(frozen=True)
 class Params:
-    """dims: hashed n-grams. centroids: per language. sample: texts per language that k-means sees
-    at most (document frequencies come from all of them). reject: cosine below which a text is rejected."""
+    """dims: hashed n-grams. centroids: per language. sample, sample_total: texts per language and in all
+    that k-means sees at most (document frequencies come from all texts). reject: cosine below which a text is rejected."""
 
     dims: int = 4096
     centroids: int = 4
     sample: int = 500
+    sample_total: int = 20_000
     iterations: int = 12
     reject: float = 0.05
     seed: int = 3
@@ -105,8 +106,9 @@ def _frequencies(docs: DataFrame, p: Params) -> tuple[np.ndarray, int]:
 def _sample(docs: DataFrame, p: Params) -> list:
     """Counts of at most about ``sample`` texts of each language, chosen by a hash of text."""
     sizes = docs.groupBy("lang").count()
-    share = F.least(F.lit(1.0), p.sample / F.col("count"))
-    chosen = docs.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "lang").where((F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(1 << 20)) / (1 << 20)) < share)
+    n = sizes.count()
+    share = F.least(F.lit(1.0), min(p.sample, p.sample_total / max(n, 1)) / F.col("count"))
+    chosen = docs.join(F.broadcast(sizes) if n <= 10_000 else sizes, "lang").where((F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(1 << 20)) / (1 << 20)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
