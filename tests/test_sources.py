@@ -181,3 +181,22 @@ def test_bars_stream_with_watermark(spark, tmp_path):
     query = sinks.bars(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), late="10 minutes").writeStream.outputMode("append").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert sorted(r["open"] for r in out) == [100, 102]
+
+
+def test_recording_by_spark_and_replay_to_a_dump(spark, tmp_path):
+    from tidebook.plans.replay import run
+
+    frames = [(HOUR + k * 60_000_000_000 * 7, _delta(k + 1, k + 1, f'[["{k + 1}.00","{k % 3}.00000"]]')) for k in range(20)] + [(HOUR + 1, "junk")]
+    snaps = [(HOUR, "BTC-USDT", 4, [(50, 7)], [(900, 1)], None), (HOUR, "USDT-TRY", 1, [], [], True)]
+    rows = recording.frame_records(spark.createDataFrame(frames, "received_at bigint, data string").repartition(5))
+    pair = "array<struct<price: bigint, qty: bigint>>"
+    kept = recording.snapshot_records(spark.createDataFrame(snaps, f"received_at bigint, symbol string, last_id bigint, bids {pair}, asks {pair}, truncated boolean"))
+    recording.record(rows.unionByName(kept), str(tmp_path), META)
+    assert len(list(tmp_path.glob("*.msr.zst"))) == 3
+    got = run(spark, str(tmp_path), repeat=2)
+    assert (got.frames, got.decode_errors, got.dropped) == (21, 1, 0)
+    lines = got.dump.splitlines()
+    bids = [f"B {100 * (k + 1)} {100000 * (k % 3)}" for k in reversed(range(4, 20)) if k % 3]
+    assert lines[1:] == [f"symbol BTC-USDT live=true last_id=20 crossed=true bids={len(bids) + 1} asks=1", *bids, "B 50 7", "A 900 1", "symbol USDT-TRY live=true last_id=1 crossed=false bids=0 asks=0"]
+    with pytest.raises(ValueError, match="metadata"):
+        recording.record(rows, str(tmp_path), "")

@@ -72,6 +72,13 @@ def view(book: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     return out.withColumn("crossed", F.coalesce(F.col("bid_price") >= F.col("ask_price"), F.lit(False)))
 
 
+def tracked_view(rows: DataFrame) -> DataFrame:
+    """The view of a tracker's books (symbol, live, last_id, side, price, qty; a row without a level for an empty book)."""
+    position = [F.first("live").alias("live"), F.first("last_id").alias("last_id")]
+    counts = [F.count_if(F.col("side") == BID).alias("bids"), F.count_if(F.col("side") == ASK).alias("asks")]
+    return rows.groupBy("symbol").agg(*position, *_side_best(), *counts).withColumn("crossed", F.coalesce(F.col("bid_price") >= F.col("ask_price"), F.lit(False)))
+
+
 class UnknownSymbol(LookupError):
     """No book of that symbol exists; asking for it creates none."""
 

@@ -177,7 +177,7 @@ class TrackerProcessor(StatefulProcessor):
                     yield Row(symbol=key[0], arrival=row["arrival"], status=status, live=tracker.live, last_id=tracker.last)
         self.state.update((pickle.dumps(desk),))
         if self.levels:
-            for side, price, qty in tracker.levels():
+            for side, price, qty in list(tracker.levels()) or [(None, None, None)]:
                 yield Row(symbol=key[0], live=tracker.live, last_id=tracker.last, side=side, price=price, qty=qty)
 
     def close(self) -> None:
@@ -188,7 +188,7 @@ def track(events: DataFrame, levels: bool = False, capacity: int = BUFFER) -> Da
     """Run a tracker per symbol over events (EVENT_SCHEMA), batch or stream.
 
     Returns a row per status, or with ``levels`` each symbol's book as it
-    stands after the rows at hand."""
+    stands after the rows at hand; an empty book is a row without a level."""
     reachable(events.sparkSession)
     _ = events.sparkSession.streams.active  # starts the coordinator of state stores, which a batch needs too
     return events.groupBy("symbol").transformWithState(TrackerProcessor(levels, capacity), outputStructType=VIEW_SCHEMA if levels else OUTPUT_SCHEMA, outputMode="Append" if not levels else "Update", timeMode="None")

@@ -373,7 +373,7 @@ def tracker_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def tracker_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracker.track(_tracker_rows(spark, sf_dir), levels=True, capacity=1 << 30).select("symbol", "side", "price", "qty")
+    return tracker.track(_tracker_rows(spark, sf_dir), levels=True, capacity=1 << 30).where("side IS NOT NULL").select("symbol", "side", "price", "qty")
 
 
 @registered

@@ -192,3 +192,26 @@ def hour_of(received_at: Column) -> Column:
 def snapshot_payload(symbol: str, last_id: int, bids: list, asks: list, truncated: bool) -> bytes:
     side = lambda levels: [{"Price": p, "Qty": q} for p, q in levels]
     return json.dumps({"Symbol": symbol, "LastID": last_id, "Bids": side(bids), "Asks": side(asks), "Truncated": truncated}, separators=(",", ":")).encode()
+
+
+def frame_records(frames: DataFrame) -> DataFrame:
+    """frames (received_at, data) as records."""
+    return frames.select(F.lit("frame").alias("kind"), "received_at", F.col("data").cast("binary").alias("payload"))
+
+
+def snapshot_records(snapshots: DataFrame) -> DataFrame:
+    """snapshots (received_at, symbol, last_id, bids, asks, truncated) as records that a replay serves again."""
+    side = lambda c: F.transform(c, lambda x: F.struct(x["price"].alias("Price"), x["qty"].alias("Qty")))
+    body = F.to_json(F.struct(F.col("symbol").alias("Symbol"), F.col("last_id").alias("LastID"), side("bids").alias("Bids"), side("asks").alias("Asks"), F.coalesce("truncated", F.lit(False)).alias("Truncated")))
+    return snapshots.select(F.lit("snapshot").alias("kind"), "received_at", body.cast("binary").alias("payload"))
+
+
+def record(records: DataFrame, folder: str, metadata: str) -> None:
+    """Write records to hourly files in order of receive time; every file begins with the metadata.
+
+    Rows are dealt by hour, so an hour is one file whatever the partitions were."""
+    if not metadata or len(metadata.encode()) > LONGEST:
+        raise ValueError("a recording needs metadata of at most 16 MiB")
+    register(records.sparkSession)
+    hours = records.withColumn("_hour", hour_of(F.col("received_at"))).repartition("_hour").sortWithinPartitions("_hour", "received_at").drop("_hour")
+    hours.write.format("msr").option("metadata", metadata).mode("append").save(folder)
