@@ -194,3 +194,18 @@ def test_dump_is_equal_whatever_the_partitions(spark):
     (text,) = texts
     lines = text.splitlines()
     assert lines[1] == "symbol A-B live=true last_id=5 crossed=true bids=19 asks=19" and lines[2] == "B 19 6" and lines[21] == "A 1 2" and text.endswith("\n")
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_asof_join_equals_a_scan(spark, block):
+    from tidebook.operators.asof import asof_join
+
+    rng = random.Random(11)
+    left = [(rng.choice("XY"), k, k * 10) for k in range(0, 200, 3)]
+    right = [(rng.choice("XYZ"), k, k + 1) for k in range(40, 200, 4)]
+    got = asof_join(spark.createDataFrame(left, "symbol string, arrival bigint, v bigint"), spark.createDataFrame(right, "symbol string, arrival bigint, w bigint"), ["w"], block).collect()
+    want = {}
+    for s, k, v in left:
+        seen = [(a, w) for z, a, w in right if z == s and a < k]
+        want[s, k, v] = max(seen, default=(None, None))
+    assert {(r["symbol"], r["arrival"], r["v"]): (r["matched_arrival"], r["w"]) for r in got} == want and len(got) == len(left)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import symbols as S
 from tidebook.functions.fixed import format_fixed, notional, parse_fixed
-from tidebook.operators import book, compare, decode, histogram, sequence, tracker
+from tidebook.operators import asof, book, compare, decode, histogram, sequence, tracker
 from tidebook.sources import feed, recording, replay
 from tidebook.streaming import fanout, sinks
 
@@ -392,3 +392,12 @@ def ohlcv_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feed.events(spark, sf_dir).where("event_type = 'purchase'").select((F.col("user_id") % 8).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("arrival"), F.round(F.col("value") * 100).cast("bigint").alias("price"), (F.col("user_id") + 1).alias("qty"))
     out = sinks.bars(rows)
     return out.select("symbol", F.expr("unix_micros(window.start) div 3600000000").alias("hour"), "open", "high", "low", "close", "volume", "trades")
+
+
+@registered
+def asof_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with the latest bid level of its symbol before it."""
+    rows = feed.levels(spark, sf_dir)
+    bids = rows.where("side = 'B'").select("symbol", "arrival", F.col("price").alias("bid_price"), F.col("qty").alias("bid_qty"))
+    trades = feed.events(spark, sf_dir).where("event_type = 'purchase'").select((F.col("user_id") % 8).alias("symbol"), F.col("event_id").alias("arrival"), F.round(F.col("value") * 100).cast("bigint").alias("price"))
+    return asof.asof_join(trades, bids, ["bid_price", "bid_qty"], block=1000)

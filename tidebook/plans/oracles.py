@@ -148,4 +148,7 @@ ORACLES: dict[str, str] = {
         SELECT CAST(symbol AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY symbol ORDER BY section, spot) AS number, line FROM li""",
     "ohlcv_hourly": """SELECT user_id % 8 AS symbol, epoch_us(ts) // 3600000000 AS hour, arg_min(p, event_id) AS open, max(p) AS high, min(p) AS low, arg_max(p, event_id) AS close, CAST(sum(user_id + 1) AS BIGINT) AS volume, count(*) AS trades
         FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS p FROM events WHERE event_type = 'purchase') GROUP BY ALL""",
+    "asof_quotes": f"""WITH {_LEVELS}, tr AS (SELECT symbol, arrival, CAST(round(value * 100) AS BIGINT) AS price FROM lv JOIN events ON event_id = arrival WHERE lv.event_type = 'purchase'),
+        bi AS (SELECT symbol, arrival, price, qty FROM lv WHERE side = 'B')
+        SELECT tr.symbol, tr.arrival, tr.price, bi.arrival AS matched_arrival, bi.price AS bid_price, bi.qty AS bid_qty FROM tr ASOF LEFT JOIN bi ON tr.symbol = bi.symbol AND tr.arrival > bi.arrival""",
 }
