@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value of 64-bit FNV-1a: its offset in two halves.
 FNV_OFFSET_HIGH, FNV_OFFSET_LOW = 0xCBF29CE4, 0x84222325
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _MS, _US = 1_000_000, 1_000
-#: Fixed bounds of the three latency families.
+#: Bounds of the three latency families, in nanoseconds.
 TICK_TO_BOOK = tuple(x * _MS for x in (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000))
 DECODE = tuple(x * _US for x in (1, 2, 5, 10, 25, 50, 100, 250, 500, 1000, 5000))
 RESYNC = tuple(x * _MS for x in (10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000))

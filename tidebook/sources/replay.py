@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.operators.decode import decode, parse_instruments
 from tidebook.sources import recording
 
+#: Fixed field names of a recorded snapshot.
 SNAPSHOT = "Symbol string, LastID bigint, Bids array<struct<Price: bigint, Qty: bigint>>, Asks array<struct<Price: bigint, Qty: bigint>>, Truncated boolean"
 
 

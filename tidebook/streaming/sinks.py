@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidebook.functions.fixed import format_fixed
 
 PREFIX = "tidebook"
-#: Counter families and their help, in the order in which they are shown.
+#: Names of the counter families, in the order in which they are shown, and their help.
 FAMILIES = {
     "frames": "Frames received.",
     "decode_errors": "Frames that could not be decoded.",
