@@ -315,6 +315,19 @@ def test_hot_group_is_split_and_small_groups_are_not(spark):
     assert len(of.pop("hot " * 50)) > 3 and all(len(s) == 1 for s in of.values())
 
 
+def test_many_small_rows_of_one_text_do_not_share_a_range(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 3 = 0, '', concat('text ', id, repeat(' word', 60))) AS text")
+    out = sharding.shard_by_bytes(docs, sharding.Params(least_ranges=48))
+    got = out.collect()
+    size = Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == 6000 and max(size.values()) < 1.05 * sum(size.values()) / 24
+    slim = docs.selectExpr("doc_id", "8L + length(text) AS size", "xxhash64(text) AS h", "doc_id AS u", "IF(text = '', xxhash64(doc_id, 17), 0L) AS t")
+    cuts = sharding._splitters(sharding._drawn(slim.withColumn("range", F.lit(0)), F.lit(0.01), 1), 48)
+    assert sharding._ranged(slim, cuts).groupBy("range").count().agg(F.max("count")).first()[0] < 3000
+
+
 def test_sharding_is_native_and_takes_nothing(corpus, nothing):
     assert sharding.sharding_digest(nothing).count() == 0
     out = sharding.sharding_digest(corpus)

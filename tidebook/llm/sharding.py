@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm import _store
@@ -22,9 +22,9 @@ from tidebook.llm import _store
 class Params:
     """shards: count. rows_per_range, least_ranges, most_ranges: how finely keys are cut.
 
-    samples: expected draws per range. overfull: times the mean size from which
-    a range is cut again, at most ``rounds`` times. whole: a group of equal
-    texts up to this share of a shard stays in one shard."""
+    samples: expected draws per range. overfull: times the mean size, in bytes or
+    rows, from which a range is cut again, at most ``rounds`` times. whole: a group of equal
+    texts up to this share of a shard, in bytes and (beyond many_rows) in rows, stays in one shard."""
 
     shards: int = 24
     rows_per_range: int = 50_000
@@ -34,6 +34,7 @@ class Params:
     overfull: float = 4.0
     rounds: int = 2
     whole: float = 0.02
+    many_rows: int = 1000
 
 
 def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -52,12 +53,11 @@ def _splitters(sample: list, ranges: int) -> list[tuple[int, int]]:
     return out
 
 
-def _drawn(rows: DataFrame, total: int, draws: int, seed: int) -> list:
-    """About ``draws`` keys, each drawn with a chance in proportion to its size; a row beyond the share of one draw counts for several."""
-    rate = draws / max(total, 1)
-    chance = F.col("size") * F.lit(rate)
-    picked = rows.where(F.pmod(F.xxhash64("h", "t", "doc_id", F.lit(seed)), F.lit(1 << 30)) < chance * (1 << 30))
-    return picked.select("h", "t", F.greatest(chance, F.lit(1.0)).alias("w")).collect()
+def _drawn(rows: DataFrame, rate: Column, seed: int) -> list:
+    """Keys, each drawn with a chance of its size times the rate; a row beyond one draw counts for several."""
+    chance = F.col("size") * rate
+    picked = rows.where(F.pmod(F.xxhash64("h", "u", F.lit(seed)), F.lit(1 << 30)) < chance * (1 << 30))
+    return picked.select("range", "h", "t", F.greatest(chance, F.lit(1.0)).alias("w")).collect()
 
 
 def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
@@ -85,35 +85,39 @@ def shard_by_bytes(docs: DataFrame, p: Params | None = None) -> DataFrame:
     p = p or Params()
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    slim = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("u"))
     slim = _store.save(slim, "sizes")
     total, n = slim.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
 
-    limit = p.whole * total / p.shards  # so that at most shards / whole groups are large
-    large = slim.groupBy("h").agg(F.sum("size").alias("group_size")).where(F.col("group_size") > limit).select("h", F.lit(True).alias("large"))
+    # Groups beyond this share of bytes or of rows are large; there are at most 2 * shards / whole of them.
+    share = p.whole / p.shards
+    large = slim.groupBy("h").agg(F.sum("size").alias("b"), F.count("*").alias("m")).where((F.col("b") > share * total) | (F.col("m") > max(p.many_rows, share * n))).select("h", F.lit(True).alias("large"))
     large = _literal(spark, [r.asDict() for r in large.collect()], "h: bigint, large: boolean")
     rows = slim.join(F.broadcast(large), "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    rows = rows.withColumn("t", F.when(F.col("large"), F.xxhash64("doc_id", F.lit(17))).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("t", F.when(F.col("large"), F.xxhash64("doc_id", "u", F.lit(17))).otherwise(F.lit(0).cast("long")))
 
     ranges = min(p.most_ranges, max(p.least_ranges, -(-n // p.rows_per_range)))
-    cuts = _splitters(_drawn(rows, total, ranges * p.samples, 1), ranges)
+    cuts = _splitters(_drawn(rows.withColumn("range", F.lit(0)), F.lit(ranges * p.samples / max(total, 1)), 1), ranges)
     for again in range(p.rounds + 1):
         placed = _ranged(rows, cuts)
         sums = {r["range"]: (r["bytes"], r["n"]) for r in placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-        full = {k: b for k, (b, m) in sums.items() if m > 1 and b > p.overfull * total / ranges}
+        # Ranges are overfull in bytes or in rows; each is cut into as many pieces as it holds shares of a range.
+        pieces = {k: int(ranges * max(b / total, m / n)) for k, (b, m) in sums.items() if m > 1}
+        full = {k: c for k, c in pieces.items() if c >= p.overfull}
         if not full or again == p.rounds:
             break
-        own = _literal(spark, [{"range": k} for k in full], "range: int")
-        part = placed.join(F.broadcast(own), "range")
-        more = _drawn(part, sum(full.values()), 2 * p.samples * -(-ranges * sum(full.values()) // total), 2 + again)
-        cuts = sorted({*cuts, *_splitters(more, 1 + -(-ranges * sum(full.values()) // total))})
+        own = _literal(spark, [{"range": k, "rate": 2 * p.samples * c / sums[k][0]} for k, c in full.items()], "range: int, rate: double")
+        drawn = _drawn(placed.join(F.broadcast(own), "range"), F.col("rate"), 2 + again)
+        for k, c in full.items():
+            cuts += _splitters([r for r in drawn if r["range"] == k], c + 1)
+        cuts = sorted(set(cuts))
 
     offsets, done_bytes, done_rows = [], 0, 0
     for k in sorted(sums):
         offsets.append({"range": k, "bytes_before": done_bytes, "rows_before": done_rows})
         done_bytes, done_rows = done_bytes + sums[k][0], done_rows + sums[k][1]
     placed = placed.join(F.broadcast(_literal(spark, offsets, "range: int, bytes_before: bigint, rows_before: bigint")), "range")
-    order = "PARTITION BY range ORDER BY h, t, doc_id, size"
+    order = "PARTITION BY range ORDER BY h, t, doc_id, u"
     placed = placed.withColumns({"seen": F.expr(f"sum(size) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size"), "place": F.expr(f"row_number() OVER ({order})")})
     unit = "PARTITION BY range, h, IF(large, place, 0)"
     placed = placed.withColumn("middle", F.expr(f"2 * (bytes_before + min(seen) OVER ({unit})) + sum(size) OVER ({unit})"))
