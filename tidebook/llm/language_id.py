@@ -104,11 +104,11 @@ def _frequencies(docs: DataFrame, p: Params) -> tuple[np.ndarray, int]:
 
 
 def _sample(docs: DataFrame, p: Params) -> list:
-    """Counts of at most about ``sample`` texts of each language, chosen by a hash of text."""
+    """Counts of at most about ``sample`` texts of each language, chosen by a hash of the row's place, so that copies are drawn apart."""
     sizes = docs.groupBy("lang").count()
     n = sizes.count()
     share = F.least(F.lit(1.0), min(p.sample, p.sample_total / max(n, 1)) / F.col("count"))
-    chosen = docs.join(F.broadcast(sizes) if n <= 10_000 else sizes, "lang").where((F.pmod(F.xxhash64("text", F.lit(p.seed)), F.lit(1 << 20)) / (1 << 20)) < share)
+    chosen = docs.join(F.broadcast(sizes) if n <= 10_000 else sizes, "lang").where((F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(p.seed)), F.lit(1 << 20)) / (1 << 20)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
