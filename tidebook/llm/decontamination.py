@@ -162,7 +162,8 @@ def _counts(docs: DataFrame, block, p: Params) -> np.ndarray:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, p: Params | None = None) -> DataFrame:
     """docs with n_words, hit_runs (disjoint runs of hit words: first, last) and hit_items (sorted item ids) added.
 
-    Null and empty texts have no words.  Items without an id or without words
+    Null and empty texts have no words; of equally rare shingles of a window the
+    first is probed.  Items without an id or without words
     are ignored; equal item ids name one item.  Columns of docs pass through;
     those with the three added names are replaced.  Rows are kept one for one."""
     p = p or Params()

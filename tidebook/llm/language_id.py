@@ -163,7 +163,8 @@ def identify(docs: DataFrame, model: Model | None, p: Params | None = None) -> D
     """docs with lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected added.
 
     A text that is null or has no letter is `und` with score 0 and rejected; so
-    is every text where no model could be learnt.  Columns of docs pass through,
+    is every text where no model could be learnt.  Of equally near languages
+    the first by name holds; a very long text is counted in segments.  Columns of docs pass through,
     rows one for one; those with the three added names are replaced."""
     p = p or Params()
     added = ["lang_pred", "score", "rejected"]

@@ -296,6 +296,7 @@ def pack(docs: DataFrame, p: Params | None = None) -> DataFrame:
     A document is its ids and one end id; null and empty texts are the end id
     alone.  Only documents longer than a sequence are cut, at its multiples.
     Repeated rows are packed as often as they occur and a null doc_id is kept.
+    Pieces of equal length are packed in the order in which they come.
     Only doc_id and text are read; an empty table gives no rows."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
