@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LARGEST = 2**63 - 1
 SYNTAX, TOO_MANY_DECIMALS, OVERFLOW = "syntax", "too_many_decimals", "overflow"
 
 
@@ -71,4 +72,5 @@ def format_fixed(value: Column | str, decimals: Column | str | int) -> Column:
 def notional(price: Column | str, qty: Column | str) -> Column:
     """price * qty, or null where it overflows or an input is negative."""
     p, q = _column(price), _column(qty)
-    return F.when((p >= 0) & (q >= 0), F.try_multiply(p, q))
+    fits = p <= F.call_function("div", F.lit(LARGEST), q)  # asked before multiplying: a failed multiplication costs an exception
+    return F.when((p < 0) | (q < 0), F.lit(None).cast("bigint")).when(q == 0, F.lit(0).cast("bigint")).when(fits, p * q)
