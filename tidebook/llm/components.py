@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     """Rows (node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Null ends and loops are ignored; an empty table gives an empty one.  Each
-    step only holds minima per node (combined before the shuffle), so a node
-    with very many edges is no large group, and joins on it can be split."""
+    step aggregates minima per node, combined before the shuffle.  The edges of
+    one node still meet in one task of the join with its minimum, two ids each."""
     now = _store.save(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         label,
