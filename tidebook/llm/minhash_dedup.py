@@ -6,11 +6,11 @@ mantissa bits after the leading one.  Bands of registers propose candidates, a
 collision-corrected Jaccard estimate from the registers drops most wrong ones,
 and the rest is confirmed on the full shingle sets.
 
-Large groups stay linear in what is moved.  Documents with equal sets are one
-node.  In each band bucket all members are first compared with the smallest id
+No step emits the pairs of a group.  Documents with equal sets are one node.  In each band bucket all members are first compared with the smallest id
 only.  Buckets that still hold several components are then compared member by
 member, inside blocks of bounded size, and families of estimated neighbours
-are confirmed block by block; tasks emit spanning links, never all pairs.
+are confirmed block by block; tasks emit spanning links only.  A family of more
+than one block is read once per block pair, so it costs time in its square.
 """
 
 from __future__ import annotations
