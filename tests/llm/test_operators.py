@@ -180,6 +180,18 @@ def test_disclosing_words_go_where_the_entity_is_named(spark):
     assert 0.8 <= math.log2(n * 4 / (4 * 5)) / math.log2(n / 4) < 0.97 and kinds["zanzibar"] == "generalised" and kinds["met"] == "removed"
 
 
+def test_words_far_from_the_entity_disclose_it(spark):
+    between = " ".join(f"common{k}" for k in range(30))
+    texts = [f"quillon opens {between} and bob@x.org closes" for _ in range(4)] + [f"{between} opens and closes number {k}" for k in range(40)]
+    texts = [f"{t} {k}" for k, t in enumerate(texts)]
+    # Near the entity in three texts of eight, but in all eight of them.
+    texts += [f"ann@y.org vexley {between} {k}" for k in range(3)] + [f"ann@y.org {between} vexley {k}" for k in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "removed"] for r in pii.sanitise(df).collect()}
+    assert all(got[k] == ["quillon"] for k in range(4)) and not any(got[k] for k in range(4, 44))
+    assert all(got[k] == ["vexley"] for k in range(44, 52))
+
+
 def test_pii_of_nothing_and_odd_columns(corpus, nothing):
     assert pii.sanitise(nothing).count() == 0
     out = pii.sanitise(corpus.drop("base", "spans"))

@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation. DataFrame functions only.
 
-Personal data found by pattern are the protected entities.  For each word near
-an entity, corpus co-occurrence says how much of the entity's information the
-word gives away: pointwise mutual information over the entity's information
-content, in numbers of distinct texts.  Words beyond the upper threshold are
+Personal data found by pattern are the protected entities.  For each word of a
+text with an entity, wherever it stands, corpus co-occurrence says how much of
+the entity's information the word gives away: pointwise mutual information over
+the entity's information content, in numbers of distinct texts.  Words beyond the upper threshold are
 removed, words beyond the lower one generalised, in the texts that hold the
 entity; the entities themselves are replaced by their kind.
 """
@@ -33,11 +33,9 @@ WORD = r"\p{L}[\p{L}\p{N}]{2,31}"
 
 @dataclass(frozen=True)
 class Params:
-    """context: characters on either side of an entity whose words may reveal it. support: distinct
-    texts in which word and entity must meet. generalise, remove: thresholds of disclosure (1: the
-    word tells the entity). broadcast_rows: up to this many rows a table is broadcast."""
+    """support: distinct texts in which word and entity must meet. generalise, remove: thresholds of
+    disclosure (1: the word tells the entity). broadcast_rows: up to this many rows a table is broadcast."""
 
-    context: int = 48
     support: int = 3
     generalise: float = 0.85
     remove: float = 0.97
@@ -87,39 +85,49 @@ def find_entities(docs: DataFrame) -> DataFrame:
 
 
 def _terms(docs: DataFrame, p: Params) -> DataFrame | None:
-    """Rows (k1, k2, terms): for texts that hold an entity, the words that disclose it and what is done with them."""
+    """Rows (k1, k2, terms): for texts that hold an entity, the words that disclose it and what is done with them.
+
+    Words are those of whole texts, in the joint counts as in the single ones."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(text, F.lit(1))})
-    near = F.lower(F.concat_ws(" ", F.expr(f"substr(text, greatest(s.start - {p.context}, 0) + 1, s.start - greatest(s.start - {p.context}, 0))"), F.expr(f"substr(text, s.stop + 1, {p.context})")))
-    held = keyed.where("size(base) > 0").select("k1", "k2", "text", F.explode("base").alias("s"))
-    met = held.select("k1", "k2", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.array_distinct(F.regexp_extract_all(near, F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0))).alias("words"))
-    met = _store.save(met, "contexts")
-    pairs = met.select("k1", "k2", "entity", F.explode("words").alias("term")).distinct()
-    pairs = _store.save(pairs, "near-words")
-    every = docs.select(F.lower(text).alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2"))
-    texts = float(every.select("k1", "k2").distinct().count())
-    entities = met.select("k1", "k2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    near_entities = pairs.select("k1", "k2", "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= p.support).join(entities, "entity")
-
-    def disclosing(rows: DataFrame, column: str) -> DataFrame:
+    keys = [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
+    named = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    held = docs.where("size(base) > 0").select(*keys, F.monotonically_increasing_id().alias("row"), named.alias("entities"), words.alias("words"))
+    held = _store.save(held, "contexts")
+    copies = _store.small(held.groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    met = held.join(copies, ["k1", "k2"], "left").where("first IS NULL OR first = row").select("k1", "k2", "entities", "words")
+    texts = float(docs.select(*keys).distinct().count())
+    # Word and entity meet in no more texts than hold the entity.
+    entities = met.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= p.support)
+    entities = _store.save(entities, "entities")
+    if not entities.take(1):
+        _store.drop(held, entities)
+        return None
+    near = met.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term") >= p.support)
+    near = _store.save(near, "held-words")
+
+    def disclosing(rows: DataFrame, both: Column) -> DataFrame:
         share = F.log2(F.lit(texts) / F.col("with_entity"))
-        gain = F.log2(F.lit(texts) * F.col("both") / (F.col("with_entity") * F.col(column)))
+        gain = F.log2(F.lit(texts) * both / (F.col("with_entity") * F.col("with_term")))
         return rows.withColumn("disclosure", F.when(share > 0, gain / share).otherwise(F.lit(0.0))).where(F.col("disclosure") >= p.generalise)
 
-    # Texts with a word are at least those with it near an entity: what falls short by that count falls short by the whole one.
-    joint = _store.save(disclosing(joint.join(near_entities, "term"), "with_term").select("entity", "term", "both", "with_entity"), "joint")
+    pairs = met.select("k1", "k2", "words", F.explode("entities").alias("entity")).join(_store.small(entities), "entity")
+    pairs = pairs.select("k1", "k2", "entity", "with_entity", F.explode("words").alias("term"))
+    # A word stands in no fewer texts than in those with entities, and meets an entity in no more than hold either: what falls short by these falls short by the counts.
+    joint = disclosing(pairs.join(_store.small(near), "term"), F.least("with_entity", "with_term"))
+    joint = joint.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("with_entity").alias("with_entity"), F.min("with_term").alias("with_term")).where(F.col("both") >= p.support)
+    joint = _store.save(disclosing(joint, F.col("both")).select("entity", "term", "both", "with_entity"), "joint")
     terms = joint.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:
-        _store.drop(met, pairs, joint)
+        _store.drop(held, entities, near, joint)
         return None
-    words = every.select("k1", "k2", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0)))).alias("term"))
-    words = words.join(F.broadcast(terms) if n_terms <= p.broadcast_rows else terms, "term", "left_semi")
-    alone = words.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    scored = disclosing(joint.join(alone, "term"), "with_term")
+    single = docs.select(*keys, F.explode(words).alias("term"))
+    single = single.join(F.broadcast(terms) if n_terms <= p.broadcast_rows else terms, "term", "left_semi")
+    alone = single.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    scored = disclosing(joint.join(alone, "term"), F.col("both"))
     scored = _store.save(scored.select("entity", "term", F.when(F.col("disclosure") >= p.remove, "removed").otherwise("generalised").alias("kind")), "disclosing")
-    here = met.select("k1", "k2", "entity").distinct().join(scored, "entity")
+    here = pairs.join(_store.small(scored), ["entity", "term"])
     return _store.save(here.groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "kind")).alias("terms")), "terms")
 
 
@@ -130,7 +138,7 @@ def sanitise(docs: DataFrame, p: Params | None = None) -> DataFrame:
     A word span never overlaps a base span.  Rows are kept one for one and
     counts are over distinct texts, so that copies add no evidence.  Columns of
     docs pass through; those with the added names are replaced.  A text's
-    disclosing words are bounded by the words near its entities."""
+    disclosing words are bounded by its distinct words."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("base", "spans", "clean")]
