@@ -192,6 +192,16 @@ def test_words_far_from_the_entity_disclose_it(spark):
     assert all(got[k] == ["vexley"] for k in range(44, 52))
 
 
+def test_halves_of_words_are_not_counted(spark):
+    # 48 characters after the entity end inside 'market': its first four letters are no word of that text.
+    texts = [f"mark met bob@x.org in room{k}" for k in range(3)] + [f"eve{k}@x.org {'a ' * 21} market {k}" for k in range(60)]
+    assert all(t[t.index(".org") + 4 :][:48].endswith(" mark") for t in texts[3:])
+    texts += [f"nothing to see number {k}" for k in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "removed"] for r in pii.sanitise(df).collect()}
+    assert all(got[k] == ["mark", "met"] for k in range(3)) and not any(got[k] for k in range(3, len(texts)))
+
+
 def test_pii_of_nothing_and_odd_columns(corpus, nothing):
     assert pii.sanitise(nothing).count() == 0
     out = pii.sanitise(corpus.drop("base", "spans"))
