@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from odd_corpus import prose
 from pyspark.sql import functions as F
 
 from tidebook.llm import _text, components, decontamination, embedding_dedup, language_id, minhash_dedup, packing, pii, quality, sharding, toxicity, warc
@@ -234,6 +236,24 @@ def test_rejection_and_missing_labels(corpus, nothing):
     assert language_id.language_digest(nothing).count() == 0
 
 
+def test_unlearnt_languages_and_gibberish_are_rejected(spark):
+    rng = random.Random(4)
+    draw = lambda n: [(prose(rng, lang, words), lang) for lang in ("en", "fr", "de") for words in (5, 10, 20, 40, 120) for _ in range(n)]
+    model = language_id.fit(spark.createDataFrame(draw(150), "text string, lang string"))
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(n)) for n in (10, 20, 100, 1000)]
+    junk += [rng.randbytes(600).hex(), base64.b64encode(rng.randbytes(600)).decode(), base64.b64encode(rng.randbytes(6000)).decode()]
+    junk += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek ésszel és lelkiismerettel bírnak.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    ]
+    clean = [t for t, _ in draw(20)]
+    found = language_id.identify(spark.createDataFrame([(t, t in junk) for t in junk + clean], "text string, junk boolean"), model).collect()
+    assert [r["text"][:40] for r in found if r["junk"] and not r["rejected"]] == []
+    assert sum(r["rejected"] for r in found if not r["junk"]) <= len(clean) // 100
+
+
 def test_ngram_counts_do_not_depend_on_batching():
     texts = ["Thé quick", "", None, "b" * 300, "ünï cödé"]
     p = language_id.Params()

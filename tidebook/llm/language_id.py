@@ -2,13 +2,14 @@
 
 A text's vector holds its hashed three-byte n-grams, weighted by TF-IDF and
 normalised.  Each language has several centroids, found by spherical k-means;
-the nearest one by cosine decides, and a text far from all of them is rejected.
+the nearest one by cosine decides, and a text farther from it than the training
+texts of that language and length are is rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from tidebook.llm import _store, _text
 @dataclass(frozen=True)
 class Params:
     """dims: hashed n-grams. centroids: per language. sample, sample_total: texts per language and in all
-    that k-means sees at most (document frequencies come from all texts). reject: cosine below which a text is rejected."""
+    that k-means sees at most (document frequencies and limits come from all texts). reject: cosine below which a
+    text is always rejected. tail: share of the training texts of a language and length that may fall below the learnt
+    limit. trust: number of texts from which such a limit counts as much as that of the next shorter texts."""
 
     dims: int = 4096
     centroids: int = 4
@@ -30,6 +33,8 @@ class Params:
     sample_total: int = 20_000
     iterations: int = 12
     reject: float = 0.05
+    tail: float = 0.001
+    trust: int = 100
     seed: int = 3
 
 
@@ -39,6 +44,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    limits: np.ndarray | None = None  # by language and length, where learnt
 
 
 def held_out(column: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
@@ -119,6 +125,44 @@ def _sample(docs: DataFrame, p: Params) -> list:
     return chosen.select("lang", "text").mapInArrow(run, "lang string, counts binary").collect()
 
 
+#: Lengths are octaves of the number of distinct n-grams, so that a text of one repeated word is short. Bins of cosines from 0 to 1.
+LENGTHS, BINS = 32, 200
+
+
+def _nearest(counts: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, cosine and length of each text."""
+    near = _vectors(counts, m.idf) @ m.centroids.T
+    best = near.argmax(1)
+    length = np.log2(np.maximum((counts > 0).sum(1), 1)).astype(np.int64)
+    return m.owner[best], np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1), length
+
+
+def _limits(docs: DataFrame, model: Model, p: Params) -> np.ndarray:
+    """The cosine that all but ``tail`` of the texts reach, by language and length; LENGTHS * BINS numbers a language reach the driver at most.
+
+    Where there are few texts of a length, the limit of the next shorter ones tells more."""
+    held, shape = docs.sparkSession.sparkContext.broadcast(model), (len(model.languages), LENGTHS, BINS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.slices(batch, rows=256):
+                counts, letters = counts_of(part.column(0), p)
+                lang, score, length = (a[letters] for a in _nearest(counts, held.value))
+                cell, n = np.unique(np.ravel_multi_index((lang, length, np.minimum(score * BINS, BINS - 1).astype(np.int64)), shape), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+    total = np.zeros(shape, dtype=np.int64)
+    for r in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total.flat[r["cell"]] = r["n"]
+    out = np.full(shape[:2], p.reject)
+    for lang, length in np.ndindex(*shape[:2]):
+        before = out[lang, length - 1] if length else p.reject
+        up = total[lang, length].cumsum()
+        own = np.searchsorted(up, p.tail * up[-1], "right") / BINS if up[-1] else before
+        out[lang, length] = max(p.reject, before + (own - before) * up[-1] / (up[-1] + p.trust))
+    return out
+
+
 def _clusters(x: np.ndarray, p: Params) -> np.ndarray:
     """Unit centroids of spherical k-means."""
     rng = np.random.RandomState(p.seed)
@@ -135,8 +179,8 @@ def _clusters(x: np.ndarray, p: Params) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, p: Params | None = None) -> Model | None:
-    """Learn from text and lang of docs; None where there is nothing to learn from."""
+def fit(docs: DataFrame, p: Params | None = None, limits: bool = True) -> Model | None:
+    """Learn from text and lang of docs; None where there is nothing to learn from. limits: whether to learn what is rejected too."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -156,7 +200,10 @@ def fit(docs: DataFrame, p: Params | None = None) -> Model | None:
             row[gram.astype(np.int64)] = count
         centroids.append(_clusters(_vectors(x, idf), p))
         owner += [k] * len(centroids[-1])
-    return Model(languages, idf, np.vstack(centroids).astype(np.float32), np.array(owner)) if languages else None
+    if not languages:
+        return None
+    model = Model(languages, idf, np.vstack(centroids).astype(np.float32), np.array(owner))
+    return replace(model, limits=_limits(rows, model, p)) if limits else model
 
 
 def identify(docs: DataFrame, model: Model | None, p: Params | None = None) -> DataFrame:
@@ -177,14 +224,13 @@ def identify(docs: DataFrame, model: Model | None, p: Params | None = None) -> D
             for part in _text.slices(batch, rows=256):
                 counts, letters = counts_of(part.column(names.index("text")), p)
                 if m is None:
-                    lang, score = np.full(len(counts), "und", dtype=object), np.zeros(len(counts))
+                    lang, score, limit = np.full(len(counts), "und", dtype=object), np.zeros(len(counts)), p.reject
                 else:
-                    near = _vectors(counts, m.idf) @ m.centroids.T
-                    best = near.argmax(1)
-                    lang = np.array(m.languages, dtype=object)[m.owner[best]]
-                    score = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
+                    own, score, length = _nearest(counts, m)
+                    lang = np.array(m.languages, dtype=object)[own]
+                    limit = p.reject if m.limits is None else m.limits[own, length]
                 lang[~letters], score[~letters] = "und", 0.0
-                columns = dict(zip(names, part.columns, strict=True)) | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "rejected": pa.array((score < p.reject) | (lang == "und"))}
+                columns = dict(zip(names, part.columns, strict=True)) | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "rejected": pa.array((score < limit) | (lang == "und"))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
     return out.mapInArrow(run, out.schema)
@@ -193,6 +239,6 @@ def identify(docs: DataFrame, model: Model | None, p: Params | None = None) -> D
 def language_digest(docs: DataFrame, p: Params | None = None) -> DataFrame:
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
-    model = fit(docs.where(~held_out()).select("lang", "text"), p)
+    model = fit(docs.where(~held_out()).select("lang", "text"), p, limits=False)
     found = identify(docs.select("doc_id", "text"), model, p)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
