@@ -14,6 +14,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Model-based stages and tokens cannot be had in SQL.
 ORACLE_SQL = None
 
+#: Bands that propose a pair at the threshold itself with a probability of 1 - (1 - 0.8**7)**48 = 0.99999.
+NEAR = minhash_dedup.Params(percent=80, bands=48, rows=7)
+
 
 def _carried(docs: DataFrame) -> DataFrame:
     """docs under numbered names but for the text, so that no name of theirs meets a name an operator adds."""
@@ -36,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near duplicates stays; so do rows without an id.
     Of rows that repeat an id and its text one stays."""
-    dropped = minhash_dedup.minhash_components(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    dropped = minhash_dedup.minhash_components(docs.select("doc_id", "text"), NEAR).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
     left = docs.join(_store.small(_store.save(dropped, "dropped")), "doc_id", "left_anti").select(*docs.columns)
     many = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not many.take(1):

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 from odd_corpus import SCHEMA
 from test_operators import _base, _components, _hits, _tokens
 
-from tidebook.llm import _store
+from tidebook.llm import _store, minhash_dedup
 
 
 def _tables(spark, rows, folder):
@@ -59,3 +60,15 @@ def test_run_equals_its_stages_and_takes_empty_tables(spark, rows, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "none/documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_bands_propose_pairs_at_the_threshold_of_the_stage():
+    rng, p = np.random.RandomState(5), getattr(corpus_pipeline, "NEAR", minhash_dedup.Params())
+    assert p.percent == 80
+    missed = 0
+    for _ in range(2000):
+        both, x, y = np.split(rng.randint(0, 1 << 64, 2000, dtype=np.uint64), [1600, 1800])
+        sets = [np.sort(np.concatenate([both, one])) for one in (x, y)]
+        a, b = minhash_dedup.registers_of(np.concatenate(sets), np.array([0, 1800, 3600]), p).reshape(2, p.bands, p.rows)
+        missed += not ((a == b) & (a > 0)).all(-1).any()
+    assert missed == 0

@@ -235,7 +235,7 @@ def minhash_components(docs: DataFrame, p: Params | None = None) -> DataFrame:
     Repeated rows and equal texts form one component; other columns of docs
     are not read, so their names cannot clash.  An empty table gives none.
     A link at the threshold is proposed by some band with a probability of
-    1 - (1 - J**rows)**bands (0.99996 at J 0.85 by default, more above)."""
+    1 - (1 - J**rows)**bands (by default 0.9972 at J 0.80, the default threshold, and 0.99996 at 0.85)."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     sigs = _store.save(signatures(docs, p), "sigs")
