@@ -499,6 +499,16 @@ def test_archives_round_trip(spark, rows, tmp_path):
         list(warc.frames(b"12345678"))
 
 
+def test_long_records_train_the_dictionary(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(400)]
+    pages = [(k, f"http://x.org/{k}", " ".join(rng.choice(words) for _ in range(1000))) for k in range(40)]
+    p = warc.Params(sample_bytes=2000)
+    manifest = warc.write_archives(spark.createDataFrame(pages, "page_id bigint, url string, html string"), f"file://{tmp_path}/w", p)
+    assert all(int.from_bytes(f.read_bytes()[4:8], "little") > 1000 for f in (tmp_path / "w").glob("*.warc.zst"))
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(manifest, payloads=True).collect()} == {k: html for k, _, html in pages}
+
+
 def test_trained_dictionary_helps_and_nothing_is_written_for_nothing(spark):
     html = [f"<html><head><title>Page {k}</title></head><body class='main'><nav>home about contact</nav><p>{k * 7919}</p></body></html>" for k in range(400)]
     df = spark.createDataFrame([(k, "u", h) for k, h in enumerate(html)], "page_id bigint, url string, html string").coalesce(1)

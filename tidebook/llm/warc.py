@@ -33,7 +33,7 @@ MANIFEST = "path string, records long, bytes long"
 @dataclass(frozen=True)
 class Params:
     """dictionary: bytes at most. sample, sample_bytes: records the dictionary is trained on at most, and
-    the longest of them. archive: bytes of records before compression after which the next archive
+    the bytes taken of a payload. archive: bytes of records before compression after which the next archive
     begins. least: payload bytes from which equal payloads are stored once. broadcast_rows: repeated
     digests that are broadcast at most; beyond, pages are joined with them by a shuffle."""
 
@@ -140,8 +140,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, p: Params | None
     rows = _typed(pages, p)
     n = rows.count()
     share = 1.0 if n <= p.sample else p.sample / n
-    some = rows.where((F.octet_length("html") <= p.sample_bytes) & (F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
-    samples = [record("revisit" if r["refers_to"] is not None else "response", r["page_id"], r["url"], r["html"].encode(), r["refers_to"], p) for r in some.limit(2 * p.sample).collect()]
+    some = rows.where((F.octet_length("html") <= p.sample_bytes) | F.lit(p.sample_bytes > 0)).where((F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
+    # Of a longer payload a piece is taken, at a place drawn by a hash.
+    body, over = F.col("html").cast("binary"), F.octet_length("html") - p.sample_bytes
+    at = F.when(over > 0, F.pmod(F.xxhash64("url", "page_id"), over + 1)).otherwise(0).cast("int")
+    some = some.select("page_id", "url", "refers_to", F.substring(body, at + 1, F.lit(max(p.sample_bytes, 1))).alias("piece"))
+    samples = [record("revisit" if r["refers_to"] is not None else "response", r["page_id"], r["url"], bytes(r["piece"]), r["refers_to"], p) for r in some.limit(2 * p.sample).collect()]
     held = spark.sparkContext.broadcast(train(sorted(samples), p.dictionary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
