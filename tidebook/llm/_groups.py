@@ -64,6 +64,18 @@ def close_pairs(at: np.ndarray, most: int = 64) -> Iterator[tuple[np.ndarray, np
             yield x, x + d
 
 
+def pair_chunks(at: np.ndarray, most: int = 64, chunk: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs x < y inside groups, about ``chunk`` at a time whatever the groups' sizes."""
+    yield from close_pairs(at, most)
+    for g in np.flatnonzero(np.diff(at) > most):
+        lo, hi = int(at[g]), int(at[g + 1])
+        step = max(1, chunk // (hi - lo))
+        for first in range(lo, hi, step):
+            x, y = np.meshgrid(np.arange(first, min(first + step, hi)), np.arange(first + 1, hi), indexing="ij")
+            keep = x < y
+            yield x[keep], y[keep]
+
+
 def labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each of 0..n-1 over edges (x, y)."""
     label = np.arange(n)
