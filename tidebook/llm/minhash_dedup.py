@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm import _store, _text
 from tidebook.llm._groups import close_pairs, labels, map_groups
-from tidebook.llm.components import connected_components
+from tidebook.llm.components import connected_components, id_components, repeated_ids
 
 #: Chance that two different minima share leading zeros and the first r mantissa bits, times 2**r.
 COLLISION = 0.1699
@@ -100,18 +100,24 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, and the registers."""
+    """doc_id, a hash of the text, n_shingles, a 128-bit fingerprint of the shingle set, and the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.slices(batch):
                 sets, at = sets_of(part.column(1), p)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(at)), pa.array(_sums(_text.mix(sets, 11), at)), pa.array(_sums(_text.mix(sets, 12), at)), _binary(registers_of(sets, at, p))],
-                    ["doc_id", "n_shingles", "fp1", "fp2", "regs"],
+                    [part.column(0), part.column(2), pa.array(np.diff(at)), pa.array(_sums(_text.mix(sets, 11), at)), pa.array(_sums(_text.mix(sets, 12), at)), _binary(registers_of(sets, at, p))],
+                    ["doc_id", "th", "n_shingles", "fp1", "fp2", "regs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, regs binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, fp1 long, fp2 long, regs binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and th: two rows of an id differ in th where they differ in text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def _bands(sigs: DataFrame, p: Params) -> DataFrame:
@@ -134,7 +140,15 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
+def _texts_of(nodes: DataFrame, reps: DataFrame, docs: DataFrame, again: bool) -> DataFrame:
+    """The text of each of nodes (doc_id, a node, and other columns): that of the row its class goes by; again: whether rows may repeat."""
+    named = nodes.join(reps.select(F.col("node").alias("doc_id"), "rep", "th"), "doc_id")
+    texts = _texts(docs).withColumnRenamed("doc_id", "rep").join(_store.small(_store.save(named, "wanted")), ["rep", "th"])
+    texts = texts.drop("rep", "th")
+    return texts.dropDuplicates(["doc_id"]) if again else texts
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, again: bool, p: Params) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +160,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
                     yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_store.small(ids), "doc_id", "left_semi")
+    texts = _texts_of(ids, reps, docs, again)
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -210,16 +224,19 @@ def _family_links(rows: DataFrame, p: Params) -> DataFrame:
         sets, bound = sets_of(batch.column(batch.schema.get_field_index("text")), p)
         n, regs, out = np.diff(bound), registers_of(sets, bound, p), []
         for lo, hi in zip(at[:-1], at[1:], strict=True):
-            _, group = np.unique(comp[lo:hi], return_inverse=True)
-            root = np.arange(group.max() + 1)
+            _, root = np.unique(comp[lo:hi], return_inverse=True)  # the component of each row, as far as it is known
             for k in range(lo, hi):
                 rest = np.arange(k + 1, hi)
-                rest = rest[(root[group[rest - lo]] != root[group[k - lo]]) & ((i[k] == j[k]) | (blk[rest] != blk[k]))]
-                for m in rest[_plausible(regs[k], regs[rest], n[k], n[rest], p)] if len(rest) else ():
-                    r, s = root[group[k - lo]], root[group[m - lo]]
-                    if r != s and _linked(sets[bound[k] : bound[k + 1]], sets[bound[m] : bound[m + 1]], p):
-                        root[root == max(r, s)] = min(r, s)
+                rest = rest[(root[k + 1 - lo :] != root[k - lo]) & ((i[k] == j[k]) | (blk[rest] != blk[k]))]
+                rest = rest[_plausible(regs[k], regs[rest], n[k], n[rest], p)] if len(rest) else rest
+                while len(rest):  # one partner at a time: a link rules out all others of its component
+                    m = rest[0]
+                    if _linked(sets[bound[k] : bound[k + 1]], sets[bound[m] : bound[m + 1]], p):
                         out.append((ids[k], ids[m]))
+                        root[root == root[m - lo]] = root[k - lo]
+                        rest = rest[root[rest - lo] != root[k - lo]]
+                    else:
+                        rest = rest[1:]
         a, b = (np.array([x[c] for x in out], dtype=np.int64) for c in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -232,23 +249,33 @@ def minhash_components(docs: DataFrame, p: Params | None = None) -> DataFrame:
     Words are runs of bytes other than space and tab to carriage return, with
     A-Z lower-cased.  Null and empty texts have no shingles, link with nothing
     and are kept.  A null doc_id has a null component_id and kept is false.
-    Repeated rows and equal texts form one component; other columns of docs
-    are not read, so their names cannot clash.  An empty table gives none.
+    Repeated rows and equal texts form one component; a doc_id on rows with
+    several texts links by each of them and joins what they reach, n_shingles
+    being that of the row.  A very long text is hashed in segments and its
+    distinct shingles are held at once.  Other columns of docs are not read, so
+    their names cannot clash.  An empty table gives none.
     A link at the threshold is proposed by some band with a probability of
     1 - (1 - J**rows)**bands (by default 0.9972 at J 0.80, the default threshold, and 0.99996 at 0.85)."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     sigs = _store.save(signatures(docs, p), "sigs")
     filled = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = _store.save(filled.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
-    nodes = _store.save(filled.join(reps.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi").select("doc_id", "n_shingles", "regs").dropDuplicates(["doc_id"]), "nodes")
+    repeated = repeated_ids(filled, ["fp1", "fp2", "n_shingles"], "repeated-ids")
+    shared, again = repeated.where("several"), bool(repeated.take(1))
+    plain = not shared.take(1)
+    reps = filled.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    reps = reps.select("fp1", "fp2", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"))
+    reps = _store.save(reps.withColumn("node", F.col("rep") if plain else F.monotonically_increasing_id()), "reps")
+    named = reps.withColumnRenamed("rep", "doc_id").select("doc_id", "th", "fp1", "fp2", "node")
+    nodes = filled.join(named, ["doc_id", "th", "fp1", "fp2"]).select(F.col("node").alias("doc_id"), "n_shingles", "regs")
+    nodes = _store.save(nodes.dropDuplicates(["doc_id"]) if again else nodes, "nodes")
 
     bands = _bands(nodes, p)
     buckets = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1")
     members = _store.save(bands.join(buckets, "key"), "members")
     star = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     star = _store.save(_estimated(star, nodes, p), "star")
-    links = _store.save(_confirmed(star, docs, p), "links")
+    links = _store.save(_confirmed(star, reps, docs, again, p), "links")
     first = connected_components(links, "first")
 
     residue = members.where("c > 2").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
@@ -259,12 +286,16 @@ def minhash_components(docs: DataFrame, p: Params | None = None) -> DataFrame:
     if edges.take(1):
         family = connected_components(edges, "families").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         sized = family.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(_store.small(sized), "doc_id").dropDuplicates(["doc_id"])
-        texts = _store.save(texts, "family-texts")
+        texts = _store.save(_texts_of(sized, reps, docs, again), "family-texts")
         blocks = texts.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / p.block), F.ceil(F.sum(F.octet_length("text")) / p.block_bytes)).alias("blocks"))
         more = _store.save(_family_links(_blocked(texts.join(blocks, "family"), "family", "blocks"), p), "more")
-        total = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "final")
+        if plain:
+            total = connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "final")
+        links = links.unionByName(more)
         _store.drop(texts)
+    if not plain:
+        several = filled.join(shared, "doc_id").select("doc_id", "fp1", "fp2", "n_shingles").distinct().join(reps, ["fp1", "fp2", "n_shingles"]).select("doc_id", "rep")
+        total = id_components(links, reps, several, "final")
     _store.drop(members, star)
     named = reps.join(total.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("found"))
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
