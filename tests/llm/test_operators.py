@@ -16,7 +16,7 @@ import pytest
 from odd_corpus import prose
 from pyspark.sql import functions as F
 
-from tidebook.llm import _text, components, decontamination, embedding_dedup, language_id, minhash_dedup, packing, pii, quality, sharding, toxicity, warc
+from tidebook.llm import _store, _text, components, decontamination, embedding_dedup, language_id, minhash_dedup, packing, pii, quality, sharding, toxicity, warc
 from tidebook.llm.queries import ORACLES, QUERIES
 
 
@@ -76,6 +76,23 @@ def test_components_equal_union_find(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 100, 0])
+def test_hubs_do_not_meet_in_one_task(spark, most):
+    """A hub that is the least of its neighbours, one that is the greatest, and one amid them, whether minima are broadcast, heavy ones are, or edges are salted."""
+    n = 5_000
+    rows = spark.range(1, n).select((F.col("id") + 10 * n).alias("a"), F.when(F.col("id") % 2 == 0, F.lit(10 * n)).otherwise(F.col("id") + 10 * n + 1).alias("b"))
+    rows = rows.unionByName(spark.range(n).select(F.lit(40 * n).alias("a"), (F.col("id") + 30 * n).alias("b")))
+    rows = rows.unionByName(spark.range(2 * n).select((F.col("id") + 50 * n).alias("a"), F.lit(51 * n).alias("b")))
+    found = components.connected_components(rows, most=most).groupBy("component").count().collect()
+    assert {tuple(r) for r in found} == {(10 * n, n - 1), (11 * n - 1, 2), (30 * n, n + 1), (50 * n, 2 * n)}
+
+
+def test_a_hub_of_100_000(spark):
+    rows = spark.range(100_000).select(F.lit(7_000_000).alias("a"), "id").toDF("a", "b")
+    found = components.connected_components(rows.unionByName(rows.select("b", F.lit(3_000_000).alias("a")).toDF("a", "b")), most=1000).groupBy("component").count().collect()
+    assert [tuple(r) for r in found] == [(0, 100_002)]
+
+
 # 1 Packing
 
 
@@ -168,7 +185,7 @@ def test_base_spans_equal_the_contract(spark, rows):
 
 
 def test_disclosing_words_go_where_the_entity_is_named(spark):
-    texts = [f"filler{k % 5} number {k} zanzibar met bob@x.org in common room {k}" for k in range(4)] + [f"common room number {k} filler{k % 5} was empty" for k in range(20)] + ["zanzibarette common"]
+    texts = [f"filler{k % 5} number {k} zanzibar met bob@x.org in common room {k}" for k in range(4)] + [f"common room number {k} filler{k % 5} was empty in march" for k in range(20)] + ["zanzibarette common"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("terms", F.lit("kept"))
     got = {r["doc_id"]: r for r in pii.sanitise(df, pii.Params(support=3)).collect()}
     assert got[0]["terms"] == "kept"
@@ -198,16 +215,102 @@ def test_halves_of_words_are_not_counted(spark):
     # 48 characters after the entity end inside 'market': its first four letters are no word of that text.
     texts = [f"mark met bob@x.org in room{k}" for k in range(3)] + [f"eve{k}@x.org {'a ' * 21} market {k}" for k in range(60)]
     assert all(t[t.index(".org") + 4 :][:48].endswith(" mark") for t in texts[3:])
-    texts += [f"nothing to see number {k}" for k in range(400)]
+    texts += [f"nothing to see in number {k}" for k in range(400)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: [s["value"] for s in r["spans"] if s["kind"] == "removed"] for r in pii.sanitise(df).collect()}
     assert all(got[k] == ["mark", "met"] for k in range(3)) and not any(got[k] for k in range(3, len(texts)))
 
 
+WORDS = re.compile(r"[^\W_]+")
+
+
+def _disclosing(texts, p):
+    """All spans of each text by counting: base spans, and the words that tell an entity of the text, with what is shown for them."""
+    distinct = list(dict.fromkeys(texts))
+    said = {t: {w.lower() for w in WORDS.findall(t)} for t in distinct}
+    named = {t: {(kind, t[s:e].lower()) for s, _, kind, e in _base(t)} for t in distinct}
+    n, with_word, with_stem, with_entity = len(distinct), defaultdict(set), defaultdict(set), defaultdict(set)
+    for t in distinct:
+        for w in said[t]:
+            with_word[w].add(t)
+            with_stem[w[:3]].add(t)
+        for x in named[t]:
+            with_entity[x].add(t)
+
+    def disclosure(x, holding):
+        share = math.log2(n / len(with_entity[x]))
+        both = len(with_entity[x] & holding)
+        return math.log2(n * both / (len(with_entity[x]) * len(holding))) / share if share > 0 and both else 0.0
+
+    def shown(x, w):
+        d = disclosure(x, with_word[w])
+        if len(with_entity[x] & with_word[w]) < p.support or d < p.generalise:
+            return None
+        if d >= p.remove:
+            return (0, "")
+        return (2, w[:3] + "*") if disclosure(x, with_stem[w[:3]]) < p.generalise else (1, "[number]" if w.isdigit() else "[word]")
+
+    out = []
+    for t in texts:
+        base = _base(t)
+        spans = [(s, r, e, kind, f"[{kind}]") for s, r, kind, e in base]
+        for m in WORDS.finditer(t):
+            found = [y for x in named[t] if (y := shown(x, m[0].lower())) is not None]
+            if found and not any(s < m.end() and m.start() < e for s, _, _, e in base):
+                to = min(found)[1]
+                spans.append((m.start(), 4 if to else 5, m.end(), "generalised" if to else "removed", to))
+        out.append(sorted(spans))
+    return out
+
+
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(11)
+    people = [f"{rng.choice('abcdefgh')}{k}@corp{k % 3}.example" for k in range(12)]
+    vocabulary = ["".join(rng.choice("aeioubcd") for _ in range(rng.randint(1, 6))) for _ in range(100)]
+    vocabulary += [rng.choice(["bad", "cob", "dib"]) + "".join(rng.choice("aeiou") for _ in range(4)) for _ in range(60)] + ["12", "7", "x" * 60, "Été", "2024"]
+    own = {x: rng.sample(vocabulary, 3) for x in people}
+    texts = []
+    for k in range(400):
+        words = [rng.choice(vocabulary[: 20 + k % 140]) for _ in range(rng.randint(0, 12))]
+        for x in rng.sample(people, rng.choice([0, 0, 0, 1, 2])):
+            words += [x.upper() if k % 5 == 0 else x, *[w for w in own[x] if rng.random() < 0.8]]
+        rng.shuffle(words)
+        texts.append(rng.choice([" ", ", "]).join(words))
+    texts += texts[:40] * 2
+    p = pii.Params(generalise=0.6, remove=0.9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kinds = defaultdict(int)
+    for r, want in zip(sorted(pii.sanitise(df, p).collect(), key=lambda r: r["doc_id"]), _disclosing(texts, p), strict=True):
+        assert [(x["start"], x["rank"], x["stop"], x["kind"], x["shown"]) for x in r["spans"]] == want
+        clean, at = "", 0
+        for s, _, e, _, to in want:
+            clean += r["text"][at:s] + to
+            at = max(at, e)
+        assert r["clean"] == clean + r["text"][at:]
+        for *_, kind, to in want:
+            kinds[kind, to[-1:]] += 1
+    assert min(kinds["removed", ""], kinds["generalised", "*"], kinds["generalised", "]"], kinds["email", "]"]) > 5
+
+
+def test_spans_are_the_same_where_tables_are_joined_by_shuffles(spark, monkeypatch):
+    texts = [f"quillon{k % 3} met bob@x.org at 1.2.3.4 in room {k}" for k in range(9)] + [f"some room {k} at in met" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    plain = sorted(map(str, pii.sanitise(df).collect()))
+    monkeypatch.setattr(_store, "small", lambda df, *_: df)
+    assert sorted(map(str, pii.sanitise(df).collect())) == plain
+
+
+def test_many_entities_in_one_text(spark):
+    text = "é " + " ".join(f"person{k} a{k}@mail{k % 7}.org" for k in range(5000))
+    (r,) = pii.sanitise(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert [(x["start"], x["stop"]) for x in r["base"]] == [(s, e) for s, _, _, e in _base(text)]
+    assert r["clean"] == "é " + " ".join(f"person{k} [email]" for k in range(5000))
+
+
 def test_pii_of_nothing_and_odd_columns(corpus, nothing):
     assert pii.sanitise(nothing).count() == 0
-    out = pii.sanitise(corpus.drop("base", "spans"))
-    assert out.count() == corpus.count() and {"terms", "i", "row"} <= set(out.columns)
+    out = pii.sanitise(corpus)
+    assert out.count() == corpus.count() and {"terms", "i", "row"} <= set(out.columns) and dict(out.dtypes)["base"].startswith("array")
 
 
 # 3 Language ID
@@ -254,6 +357,65 @@ def test_unlearnt_languages_and_gibberish_are_rejected(spark):
     assert sum(r["rejected"] for r in found if not r["junk"]) <= len(clean) // 100
 
 
+def test_language_scores_do_not_depend_on_partitions(corpus):
+    docs = corpus.unionByName(corpus.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 500))
+    got = [sorted(map(str, language_id.language_digest(docs.repartition(n)).collect())) for n in (1, 7, 200)]
+    assert got[0] == got[1] == got[2] and any("rejected=True" in r for r in got[0])
+
+
+def _grams(text):
+    """Counts of hashed byte trigrams, a trigram at a time; letters only, runs of two spaces first left out."""
+    raw = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in (text or "").lower().encode())
+    out = defaultdict(int)
+    for k in range(len(raw) - 2):
+        g = raw[k : k + 3]
+        if g[:2] != b"  ":
+            out[(int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def test_language_model_equals_brute_force(spark):
+    rng = random.Random(12)
+    train = [(prose(rng, lang, rng.choice([3, 20, 60])), lang) for lang in ("en", "fr", "de") for _ in range(25)]
+    train += [train[0]] * 5 + [("Übermaß où É", "rare")]
+    p = language_id.Params(centroids=2, iterations=3)
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string").repartition(3), p)
+    assert model.languages == ["de", "en", "fr", "rare"]
+    df = defaultdict(int)
+    for t, _ in train:
+        for g in _grams(t):
+            df[g] += 1
+    idf = {g: math.log((1 + len(train)) / (1 + n)) + 1 for g, n in df.items()}
+
+    def vector(text):
+        x = {g: math.log1p(n) * idf.get(g, math.log(1 + len(train)) + 1) for g, n in _grams(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1e-12
+        return {g: v / norm for g, v in x.items()}
+
+    cosine = lambda x, c: sum(v * c[g] for g, v in x.items())
+    assert np.allclose([model.idf[g] for g in idf], list(idf.values()), atol=1e-5)
+    # With the same first centroids, rounds of assigning each distinct text to its nearest centroid and averaging give the model's centroids.
+    first = language_id.fit(spark.createDataFrame(train, "text string, lang string"), language_id.Params(centroids=2, iterations=0))
+    for k, lang in enumerate(model.languages):
+        texts = [vector(t) for t in dict.fromkeys(t for t, own in train if own == lang)]
+        centres = [c.astype(float) for c in first.centroids[first.owner == k]]
+        for _ in range(p.iterations):
+            near = [max(range(len(centres)), key=lambda c, x=x: cosine(x, centres[c])) for x in texts]
+            for c in range(len(centres)):
+                if c in near:
+                    centres[c] = np.zeros(4096)
+                    for x in (x for x, own in zip(texts, near, strict=True) if own == c):
+                        for g, v in x.items():
+                            centres[c][g] += v
+                    centres[c] /= np.linalg.norm(centres[c])
+        assert np.allclose(model.centroids[model.owner == k], centres, atol=1e-4)
+    asked = [prose(rng, lang, n) for lang in ("en", "fr", "de") for n in (1, 8, 50)]
+    for r in language_id.identify(spark.createDataFrame([(t,) for t in asked], "text string"), model, p).collect():
+        x = vector(r["text"])
+        all_near = [cosine(x, c) for c in model.centroids.astype(float)]
+        assert abs(r["score"] - max(0, *all_near)) < 1e-5 and r["lang_pred"] == model.languages[model.owner[int(np.argmax(all_near))]]
+
+
 def test_ngram_counts_do_not_depend_on_batching():
     texts = ["Thé quick", "", None, "b" * 300, "ünï cödé"]
     p = language_id.Params()
@@ -412,10 +574,62 @@ def test_toxicity_on_held_out_rows_and_neutral_mentions(spark):
     assert score[20.0][1] - score[20.0][2] < 0.3 * (score[0.0][1] - score[0.0][2]) and score[20.0][1] < 0.5
 
 
-def test_swaps_name_another_group():
+def test_swaps_name_the_other_groups():
     p = toxicity.Params()
-    assert list(toxicity._swaps("Neutral. Some Muslim neighbours.", p)) == [("Some Muslim neighbours.", "Some christian neighbours.")]
-    assert list(toxicity._swaps("nothing here", p)) == [] and list(toxicity._swaps("muslim", toxicity.Params(identity=()))) == []
+    (swap,) = toxicity._swaps("Neutral. Some Muslim neighbours.", p)
+    assert swap.sentence == "Some Muslim neighbours." and swap.planted is None
+    assert swap.others == [f"Some {t} neighbours." for t in ("christian", "jewish", "hindu", "buddhist", "atheist")]
+    (swap,) = toxicity._swaps("nothing here. Nor here", p)
+    row = next(r for r in p.identity if swap.planted in r)
+    assert swap == toxicity._swaps("nothing here. Nor here", p)[0] and len(swap.others) == len(row) - 1
+    assert {" ".join(w for w in s.split() if w not in row) for s in [swap.sentence, *swap.others]} <= {"nothing here.", "Nor here"}
+    assert toxicity._swaps("  ", p) == toxicity._swaps("", p) == toxicity._swaps("muslim", toxicity.Params(identity=())) == []
+
+
+def test_penalty_changes_the_model_where_no_text_names_a_group(spark):
+    docs, labels = _toxic_corpus(spark)
+    plain = docs.where("NOT text rlike '(?i)muslim|christian'")
+    y = labels.select("doc_id", F.col("toxic").alias("y"))
+    models = {penalty: toxicity.fit(plain, y, toxicity.Params(penalty=penalty)) for penalty in (0.0, 20.0)}
+    assert models[20.0].pairs > 100 and (models[0.0].bins == models[20.0].bins).all()
+    spread = {}
+    for penalty, m in models.items():
+        weight = dict(zip(m.bins.tolist(), m.weights, strict=True))
+        of = [[sum(weight.get(b, 0) for b in toxicity.bins_of(pa.array([t]), toxicity.Params())[0].tolist()) for t in row] for row in toxicity.IDENTITY_TERMS]
+        spread[penalty] = sum(np.ptp(row) for row in of)
+    assert spread[20.0] < 0.5 * spread[0.0]
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = _toxic_corpus(spark)
+    docs = docs.unionByName(docs.where("doc_id < 30").withColumn("text", F.concat("text", F.lit(" again"))))  # ids with two texts
+    got = [sorted((r["doc_id"], round(r["score"], 9)) for r in toxicity.toxicity_scores(docs.repartition(n), labels.repartition(n)).collect()) for n in (1, 7)]
+    assert got[0] == got[1]
+
+
+def test_toxicity_model_equals_brute_force():
+    """The gradient that is followed is that of the loss as written down, and scores are sums over words and beginnings of words."""
+    rng = np.random.RandomState(4)
+    x = [np.sort(rng.choice(12, rng.randint(0, 6), replace=False)).astype(np.uint16) for _ in range(30)]
+    y = (rng.rand(30) < 0.4).astype(float)
+    pairs = [(np.array([1, 2], np.uint16), np.array([3], np.uint16)), (np.array([4], np.uint16), np.array([5, 6], np.uint16))]
+    p = toxicity.Params(steps=4000)
+    w, bias = toxicity._optimise(x, y, pairs, 12, p)
+
+    def loss(w, bias):
+        total = 0.0
+        for words, label in zip(x, y, strict=True):
+            margin = bias + sum(w[k] for k in words)
+            weight = 0.5 / (y.sum() if label else (1 - y).sum())
+            total += weight * math.log1p(math.exp(-margin if label else margin))
+        total += p.shrink / 2 * sum(v * v for v in w) / len(w)
+        return total + p.penalty * sum((sum(w[k] for k in a) - sum(w[k] for k in b)) ** 2 for a, b in pairs) / len(pairs)
+
+    for k in range(13):  # no step from the end lowers the loss
+        step = np.zeros(13)
+        step[k] = 1e-2
+        for sign in (1, -1):
+            assert loss(w + sign * step[:12], bias + sign * step[12]) > loss(w, bias) - 1e-5
 
 
 # 7 Decontamination
@@ -561,6 +775,30 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.embedding_components(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_vectors_lose_no_link(spark):
+    x, y = [1.0, 0.0, 0.2], [0.0, 1.0, 0.1]
+    rows = [(5, x), (5, y), (6, [1.0, 0.001, 0.2]), (7, [0.001, 1.0, 0.1]), (8, [0.0, 0.0, -1.0]), (5, x), (4, [-1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_components(df).collect())
+    assert got == [(4, 0, 4, True), (5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False), (7, 1, 5, False), (8, 0, 8, True)]
+
+
+def test_a_group_of_5000_near_copies(spark):
+    rng = np.random.RandomState(3)
+    base = rng.standard_normal(48)
+    near = base + 0.02 * rng.standard_normal((5000, 48))
+    rows = [(k, v.tolist()) for k, v in enumerate(near)] + [(9000 + k, v.tolist()) for k, v in enumerate(rng.standard_normal((200, 48)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = embedding_dedup.embedding_components(df).toPandas().set_index("vec_id").sort_index()
+    assert (out.loc[:4999, "component_id"] == 0).all() and (out.loc[:4999, "n_links"] == 4999).all() and out.loc[9000:, "kept"].all()
+
+
+@pytest.mark.parametrize("n", [1, 1000, 51_282, 10**6, 10**9])
+def test_codes_follow_the_number_of_vectors(n):
+    p = embedding_dedup.sized(n, embedding_dedup.Params())
+    assert 1 - (1 - p.agree**p.bits) ** p.tables >= 0.995 and (n / 2**p.bits <= 32)
+
+
 # 10 MinHash
 
 
@@ -613,6 +851,14 @@ def test_near_duplicates_equal_brute_force(spark, corpus, rows, percent):
                 assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    words = [[f"{c}{k}" for k in range(120)] for c in "xyz"]
+    text = lambda c, cut=0: " ".join(words[c][cut:])
+    rows = [(5, text(0)), (5, text(1)), (6, text(0, 1)), (7, text(1, 1)), (8, text(2)), (5, text(0)), (3, text(2, 1)), (9, "")]
+    got = minhash_dedup.minhash_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(3, 115, 3), (5, 116, 5), (5, 116, 5), (5, 116, 5), (6, 115, 5), (7, 115, 5), (8, 116, 3), (9, 0, 9)]
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert minhash_dedup.minhash_components(nothing).count() == 0
 

@@ -72,3 +72,10 @@ def test_bands_propose_pairs_at_the_threshold_of_the_stage():
         a, b = minhash_dedup.registers_of(np.concatenate(sets), np.array([0, 1800, 3600]), p).reshape(2, p.bands, p.rows)
         missed += not ((a == b) & (a > 0)).all(-1).any()
     assert missed == 0
+
+
+def test_a_unique_text_stays_where_another_row_of_its_id_is_a_copy(spark):
+    text = lambda c, cut=0: " ".join([f"{c}{k}" for k in range(90)][cut:])
+    rows = [(5, text("x")), (5, text("y")), (3, text("y", 1)), (4, text("z")), (4, text("z")), (None, text("z")), (6, None), (6, "")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([rows[0], rows[2], rows[3], rows[5], rows[6], rows[7]], "doc_id bigint, text string").collect()))
