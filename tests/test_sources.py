@@ -1,24 +1,30 @@
 from __future__ import annotations
 
+import json
+import random
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.operators.decode import decode, parse_depth, parse_instruments
+from tidebook.operators.decode import decode, event_of, parse_depth, parse_instruments
 from tidebook.operators.tracker import track
 from tidebook.sources import recording, replay, transport
 from tidebook.streaming import fanout, sinks
 
-META = (
-    '{"symbols":[{"symbol":"BTCUSDT","status":"TRADING","baseAsset":"BTC","quoteAsset":"USDT","filters":[{"filterType":"PRICE_FILTER","tickSize":"0.01000000"},{"filterType":"LOT_SIZE","stepSize":"0.00001000"}]},'
-    '{"symbol":"USDTTRY","status":"TRADING","baseAsset":"USDT","quoteAsset":"TRY","filters":[{"filterType":"PRICE_FILTER","tickSize":"0.00100000"},{"filterType":"LOT_SIZE","stepSize":"1.00000000"}]},'
-    '{"symbol":"BNBBTC","status":"BREAK","baseAsset":"BNB","quoteAsset":"BTC","filters":[]}]}'
-)
+#: name, base, quote, status, tick, step.
+LISTED = [("OAKELM", "OAK", "ELM", "TRADING", "0.0500", "0.002"), ("FIRASH", "FIR", "ASH", "TRADING", "0.5", "10"), ("YEWELM", "YEW", "ELM", "HALT", "1", "1")]
 
 
-def _delta(first: int, last: int, bids: str = "[]", asks: str = "[]", symbol: str = "BTCUSDT") -> str:
-    return f'{{"stream":"x","data":{{"e":"depthUpdate","E":1700000000123,"s":"{symbol}","U":{first},"u":{last},"b":{bids},"a":{asks}}}}}'
+def _listing(name, base, quote, status, tick, step) -> dict:
+    return {"symbol": name, "status": status, "baseAsset": base, "quoteAsset": quote, "filters": [{"filterType": "LOT_SIZE", "stepSize": step}, {"filterType": "PRICE_FILTER", "tickSize": tick}]}
+
+
+META = json.dumps({"symbols": [_listing(*x) for x in LISTED]})
+
+
+def _delta(first: int, last: int, bids: str = "[]", asks: str = "[]", symbol: str = "OAKELM") -> str:
+    return f'{{"stream":"x","data":{{"e":"depthUpdate","E":1712345678901,"s":"{symbol}","U":{first},"u":{last},"b":{bids},"a":{asks}}}}}'
 
 
 @pytest.fixture(scope="module")
@@ -27,35 +33,66 @@ def instruments(spark):
 
 
 def test_instruments(instruments):
-    assert {tuple(r)[:4] for r in instruments.collect()} == {("BTCUSDT", "BTC-USDT", 2, 5), ("USDTTRY", "USDT-TRY", 3, 0)}
-
-
-def test_decoding(spark, instruments):
-    trade = '{"e":"aggTrade","E":1700000000123,"s":"BTCUSDT","a":1,"p":"50000.01000000","q":"0.12345000","m":false,"M":true}'
-    frames = [
-        trade,
-        _delta(1000, 1005, '[["50000.00000000","1.23456000"],["49999.99","0.00000000"]]', '[["50000.01","2.34567"]]').replace("49999.99", "49999.99000000"),
-        '{"data":{"data":' + trade + "}}",
-        '{"e":"bookTicker","s":"BTCUSDT"}',
-        "not json",
-        trade.replace("BTCUSDT", "XXXUSDT"),
-        trade.replace("50000.01000000", "50000.01100000"),
-        _delta(1, 2, '[["1.0","x"]]'),
-        '{"e":"depthUpdate","s":"BTCUSDT","b":[],"a":[]}',
-    ]
-    got = {r["k"]: r for r in decode(spark.createDataFrame(list(enumerate(frames)), "k int, data string"), instruments).collect()}
-    assert (got[0]["kind"], got[0]["symbol"], got[0]["price"], got[0]["qty"], got[0]["is_buy"], got[0]["exchange_time"]) == ("trade", "BTC-USDT", 5000001, 12345, True, 1700000000123000000)
-    assert (got[1]["first_id"], got[1]["last_id"], [tuple(x) for x in got[1]["bids"]], [tuple(x) for x in got[1]["asks"]]) == (1000, 1005, [(5000000, 123456), (4999999, 0)], [(5000001, 234567)])
-    assert [got[k]["decode_error"] for k in range(2, 9)] == ["unknown type", "unknown type", "unknown type", "unknown symbol", "too_many_decimals", "syntax", "missing field"]
-    assert all(got[k]["symbol"] is None and got[k]["bids"] is None for k in range(2, 9))
+    assert {tuple(r)[:4] for r in instruments.collect()} == {("OAKELM", "OAK-ELM", 2, 3), ("FIRASH", "FIR-ASH", 1, 0)}
+
+
+def _shown(units: int, decimals: int, rng: random.Random) -> str:
+    """units of 10**-decimals as text, padded with zeros beyond what the instrument has."""
+    return f"{units // 10**decimals}.{str(units % 10**decimals).zfill(decimals) if decimals else ''}" + "0" * rng.randrange(4)
+
+
+def test_frames_decode_to_what_they_were_made_of(spark, instruments):
+    rng = random.Random(21)
+    frames, want = [], []
+    for k in range(200):
+        raw, symbol, price, qty = rng.choice([("OAKELM", "OAK-ELM", 2, 3), ("FIRASH", "FIR-ASH", 1, 0)])
+        level = lambda: (rng.randrange(1, 10**7), rng.randrange(10**6))  # noqa: B023, E731
+        text = lambda x: [_shown(x[0], price, rng), _shown(x[1], qty, rng)]  # noqa: B023, E731
+        body: dict = {"s": raw, "E": rng.randrange(1, 2**40)}
+        if rng.random() < 0.5:
+            x, maker = level(), rng.random() < 0.5
+            body |= {"e": "aggTrade", "a": k, "p": text(x)[0], "q": text(x)[1], "m": maker, "M": True, "T": 3}
+            want.append(("trade", symbol, body["E"] * 10**6, not maker, None, None, *x, None, None, None))
+        else:
+            first = rng.randrange(10**12)
+            bids, asks = ([level() for _ in range(rng.randrange(4))] for _ in "ba")
+            body |= {"e": "depthUpdate", "U": first, "u": first + k, "b": [text(x) for x in bids], "a": [text(x) for x in asks]}
+            want.append(("delta", symbol, body["E"] * 10**6, None, first, first + k, None, None, bids, asks, None))
+        members = list(body.items())
+        rng.shuffle(members)
+        out = json.dumps(dict(members), indent=rng.choice([None, 1]))
+        frames.append((k, out if rng.random() < 0.5 else json.dumps({"stream": "y", "data": dict(members)})))
+    rows = spark.createDataFrame(frames, "k int, data string").withColumn("kind", F.lit("clash"))
+    got = sorted(decode(rows, instruments).collect(), key=lambda r: r["k"])
+    plain = lambda v: [tuple(x) for x in v] if isinstance(v, list) else v
+    assert [tuple(plain(v) for v in r[2:]) for r in got] == want and [r["data"] for r in got] == [f for _, f in frames]
+
+
+@pytest.mark.parametrize(
+    ("frame", "error"),
+    [
+        ('{"data":{"data":{"e":"aggTrade"}}}', "unknown type"), ('{"e":"ticker","s":"OAKELM"}', "unknown type"), ("[]", "unknown type"), (None, "unknown type"), ('{"data":3,"e":"aggTrade"}', "unknown type"),
+        ('{"e":"aggTrade","s":"ELMOAK"}', "unknown symbol"), ('{"e":"aggTrade"}', "unknown symbol"), ('{"e":"aggTrade","s":"OAKELM"}', "syntax"), ('{"e":"aggTrade","s":"OAKELM","p":"3.004","q":"1"}', "too_many_decimals"),
+        ('{"e":"aggTrade","s":"OAKELM","p":"3","q":"92233720368547758.08"}', "overflow"), ('{"e":"depthUpdate","s":"OAKELM","U":9223372036854775808}', "malformed"), ('{"e":"depthUpdate","s":"OAKELM","U":1e3}', "malformed"),
+        ('{"e":"depthUpdate","s":"OAKELM","U":true}', "malformed"), ('{"e":"depthUpdate","s":"OAKELM","E":NaN}', "malformed"), ('{"e":"depthUpdate","s":"OAKELM"', "malformed"), ('{"e":"depthUpdate","s":"OAKELM"}', None),
+        ('{"x":' + "[" * 5000 + "]" * 5000 + ',"e":"depthUpdate","s":"OAKELM"}', None), ('{"stream":"\\"","data":{"e":"depthUpdate","s":"OAKELM"},', None), ('{"e":"depthUpdate","s":"OAKELM","B":[["7","7"]]}', None),
+    ],
+)
+def test_errors_of_frames(frame, error):
+    got = event_of(frame, {"OAKELM": ("OAK-ELM", 2, 3)})
+    assert got[-1] == error and (got[0] is None) == (error is not None)
+    if error is None:
+        assert got[4:6] == (0, 0) and got[8] == ([(700, 7000)] if '"B"' in frame else [])
 
 
 def test_depth(spark, instruments):
-    body = '{"lastUpdateId":%s,"bids":[["1.00000000","2.00000000"],["0.99","1"]],"asks":[["1.01","%s"]]}'
-    rows = [("BTC-USDT", body % (7, "3"), 5000), ("BTC-USDT", body % (7, "3"), 2), ("BTC-USDT", body % (0, "3"), 0), ("BTC-USDT", body % (7, "3.000001"), 0), ("NO-NO", body % (7, "3"), 0), ("BTC-USDT", "[]", 0)]
+    body = '{"lastUpdateId":%s,"bids":[["4.0500","6"],["4","0.5"]],"asks":[["4.10","%s"]]}'
+    rows = [("OAK-ELM", body % (31, "3"), 900), ("OAK-ELM", body % (31, "3"), 2), ("OAK-ELM", body % (0, "3"), 0), ("OAK-ELM", body % (31, "3.0001"), 0), ("NO-NO", body % (31, "3"), 0), ("OAK-ELM", "[]", 0), ("OAK-ELM", None, 0)]
     got = parse_depth(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "symbol string, body string, limit int, k int"), instruments).collect()
-    found = sorted((r["truncated"], r["parse_error"] or "") for r in got)
-    assert found == sorted([(False, ""), (True, ""), (False, "bad last id"), (False, "too_many_decimals"), (False, "unknown symbol"), (False, "bad last id")])
+    found = sorted((str(r["truncated"]), r["parse_error"] or "") for r in got)
+    assert found == sorted([("False", ""), ("True", ""), ("None", "bad last id"), ("None", "too_many_decimals"), ("None", "unknown symbol"), ("None", "malformed"), ("None", "malformed")])
+    whole = next(r for r in got if r["truncated"] is False)
+    assert (whole["last_id"], [tuple(x) for x in whole["bids"]], [tuple(x) for x in whole["asks"]]) == (31, [(405, 6000), (400, 500)], [(410, 3000)])
 
 
 def _write(path, records):
@@ -66,7 +103,7 @@ HOUR = 1_788_264_000_000_000_000
 
 
 def test_recording_round_trip_and_corruption(spark, tmp_path):
-    records = [("metadata", HOUR, META.encode()), ("frame", HOUR + 1, b"{}"), ("snapshot", HOUR + 2, recording.snapshot_payload("BTC-USDT", 7, [(1, 2)], [], False)), ("drop", HOUR + 3, struct.pack("<Q", 3))]
+    records = [("metadata", HOUR, META.encode()), ("frame", HOUR + 1, b"{}"), ("snapshot", HOUR + 2, recording.snapshot_payload("OAK-ELM", 7, [(1, 2)], [], False)), ("drop", HOUR + 3, struct.pack("<Q", 3))]
     assert recording.encode(records) == recording.encode(records)
     _write(tmp_path / "a.msr.zst", records)
     rows = recording.read(spark, str(tmp_path)).orderBy("idx").collect()
@@ -98,17 +135,17 @@ def test_writer_rotates_by_hour_with_metadata_first(spark, tmp_path):
 
 
 def test_replay_from_files_to_books(spark, tmp_path):
-    frames = [_delta(1, 5), _delta(6, 8, '[["1.00","2.00000"]]'), _delta(9, 9, "[]", '[["3.00","1.00000"]]'), "junk"]
-    snap = recording.snapshot_payload("BTC-USDT", 5, [(50, 7)], [], False)
+    frames = [_delta(1, 5), _delta(6, 8, '[["1.00","2.000"]]'), _delta(9, 9, "[]", '[["3.00","1.000"]]'), "junk"]
+    snap = recording.snapshot_payload("OAK-ELM", 5, [(50, 7)], [], False)
     _write(tmp_path / "1.msr.zst", [("metadata", HOUR, META.encode()), ("frame", HOUR, frames[0].encode()), ("snapshot", HOUR, snap), ("frame", HOUR + 10, frames[1].encode())])
     _write(tmp_path / "2.msr.zst", [("metadata", HOUR, b"{}"), ("frame", HOUR + 20, frames[2].encode()), ("frame", HOUR + 30, frames[3].encode()), ("drop", HOUR, struct.pack("<Q", 2))])
     r = replay.open_replay(spark, str(tmp_path))
-    assert r.dropped == 2 and r.frames.count() == 4 and [x["symbol"] for x in replay.symbols(r.snapshots).collect()] == ["BTC-USDT"]
+    assert r.dropped == 2 and r.frames.count() == 4 and [x["symbol"] for x in replay.symbols(r.snapshots).collect()] == ["OAK-ELM"]
     assert [x["serve"] for x in replay.serve_order(r.snapshots).collect()] == [1]
     assert [x["due"] for x in replay.paced(r.frames, 2.0).orderBy("arrival").collect()] == [0, 5, 10, 15] and replay.paced(r.frames, 0).agg(F.max("due")).first()[0] == 0
     for _ in range(2):  # repeated replays agree
         got = {(x["side"], x["price"], x["qty"], x["live"], x["last_id"]) for x in track(replay.tracker_events(r), levels=True).collect()}
-        assert got == {("B", 50, 7, True, 9), ("B", 100, 200000, True, 9), ("A", 300, 100000, True, 9)}
+        assert got == {("B", 50, 7, True, 9), ("B", 100, 2000, True, 9), ("A", 300, 1000, True, 9)}
     (tmp_path / "1.msr.zst").unlink()
     (tmp_path / "2.msr.zst").unlink()
     _write(tmp_path / "3.msr.zst", [("frame", HOUR, b"{}")])
@@ -117,13 +154,13 @@ def test_replay_from_files_to_books(spark, tmp_path):
 
 
 def test_transport_seams():
-    raw = {"BTC-USDT": "BTCUSDT", "ETH-USDT": "ETHUSDT"}
-    assert transport.stream_path(["BTC-USDT", "ETH-USDT"], raw).endswith("btcusdt@aggTrade/btcusdt@depth@100ms/ethusdt@aggTrade/ethusdt@depth@100ms")
+    raw = {"OAK-ELM": "OAKELM", "FIR-ASH": "FIRASH"}
+    assert transport.stream_path(["OAK-ELM", "FIR-ASH"], raw).endswith("oakelm@aggTrade/oakelm@depth@100ms/firash@aggTrade/firash@depth@100ms")
     with pytest.raises(ValueError, match="no symbols"):
         transport.stream_path([], raw)
     with pytest.raises(LookupError, match="X-Y"):
         transport.stream_path(["X-Y"], raw)
-    assert transport.parse_symbols([" btc-usdt"]) == ["BTC-USDT"]
+    assert transport.parse_symbols([" oak-elm"]) == ["OAK-ELM"]
     for bad in (["BTC"], ["A-B-C"], ["-B"], ["A-"], ["A-B", "a-b"]):
         with pytest.raises(ValueError, match="BASE-QUOTE|twice"):
             transport.parse_symbols(bad)
@@ -133,10 +170,10 @@ def test_transport_seams():
     assert wait.base() == 0.5
     assert transport.is_shutdown(b'{"e":"serverShutdown"}') and not transport.is_shutdown(b"{}")
     assert [transport.depth_limit(n) for n in (0, -1, 20, 5000, 6000)] == [5000, 5000, 20, 5000, 5000]
-    assert transport.depth_body(lambda path: (200, path.encode()), "BTCUSDT", 20) == b"/api/v3/depth?symbol=BTCUSDT&limit=20"
+    assert transport.depth_body(lambda path: (200, path.encode()), "OAKELM", 20) == b"/api/v3/depth?symbol=OAKELM&limit=20"
     assert transport.metadata_body(lambda path: (200, path.encode()), ["A", "B"]) == b'/api/v3/exchangeInfo?symbols=["A","B"]'
     with pytest.raises(transport.FetchFailed) as e:
-        transport.depth_body(lambda path: (429, b"x" * 1000), "BTCUSDT")
+        transport.depth_body(lambda path: (429, b"x" * 1000), "OAKELM")
     assert str(e.value).count("x") == 512
 
 
@@ -165,7 +202,7 @@ def test_sinks(spark, instruments, tmp_path):
     frames = spark.createDataFrame([(0, HOUR, _delta(1, 2)), (1, HOUR + 86_400_000_000_000, _delta(3, 4))], "arrival bigint, received_at bigint, data string")
     decoded = decode(frames, instruments)
     lines = [r["line"] for r in sinks.log_lines(decoded.withColumn("kind", F.when(F.col("arrival") == 1, "odd").otherwise(F.col("kind"))), instruments).orderBy("arrival").collect()]
-    assert lines == ['{"msg":"book_delta","symbol":"BTC-USDT","first_id":1,"last_id":2,"bids":0,"asks":0}', '{"msg":"unknown event kind","kind":"odd"}']
+    assert lines == ['{"msg":"book_delta","symbol":"OAK-ELM","first_id":1,"last_id":2,"bids":0,"asks":0}', '{"msg":"unknown event kind","kind":"odd"}']
     decoded.write.parquet(str(tmp_path / "in"))
     query = sinks.write_parquet(spark.readStream.schema(decoded.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert query.awaitTermination(60)
@@ -186,8 +223,8 @@ def test_bars_stream_with_watermark(spark, tmp_path):
 def test_recording_by_spark_and_replay_to_a_dump(spark, tmp_path):
     from tidebook.plans.replay import run
 
-    frames = [(HOUR + k * 60_000_000_000 * 7, _delta(k + 1, k + 1, f'[["{k + 1}.00","{k % 3}.00000"]]')) for k in range(20)] + [(HOUR + 1, "junk")]
-    snaps = [(HOUR, "BTC-USDT", 4, [(50, 7)], [(900, 1)], None), (HOUR, "USDT-TRY", 1, [], [], True)]
+    frames = [(HOUR + k * 60_000_000_000 * 7, _delta(k + 1, k + 1, f'[["{k + 1}.00","{k % 3}.000"]]')) for k in range(20)] + [(HOUR + 1, "junk")]
+    snaps = [(HOUR, "OAK-ELM", 4, [(50, 7)], [(900, 1)], None), (HOUR, "FIR-ASH", 1, [], [], True)]
     rows = recording.frame_records(spark.createDataFrame(frames, "received_at bigint, data string").repartition(5))
     pair = "array<struct<price: bigint, qty: bigint>>"
     kept = recording.snapshot_records(spark.createDataFrame(snaps, f"received_at bigint, symbol string, last_id bigint, bids {pair}, asks {pair}, truncated boolean"))
@@ -196,7 +233,7 @@ def test_recording_by_spark_and_replay_to_a_dump(spark, tmp_path):
     got = run(spark, str(tmp_path), repeat=2)
     assert (got.frames, got.decode_errors, got.dropped) == (21, 1, 0)
     lines = got.dump.splitlines()
-    bids = [f"B {100 * (k + 1)} {100000 * (k % 3)}" for k in reversed(range(4, 20)) if k % 3]
-    assert lines[1:] == [f"symbol BTC-USDT live=true last_id=20 crossed=true bids={len(bids) + 1} asks=1", *bids, "B 50 7", "A 900 1", "symbol USDT-TRY live=true last_id=1 crossed=false bids=0 asks=0"]
+    bids = [f"B {100 * (k + 1)} {1000 * (k % 3)}" for k in reversed(range(4, 20)) if k % 3]
+    assert lines[1:] == ["symbol FIR-ASH live=true last_id=1 crossed=false bids=0 asks=0", f"symbol OAK-ELM live=true last_id=20 crossed=true bids={len(bids) + 1} asks=1", *bids, "B 50 7", "A 900 1"]
     with pytest.raises(ValueError, match="metadata"):
         recording.record(rows, str(tmp_path), "")

@@ -219,6 +219,22 @@ def decode_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(decode.level_rows(good), "pos")
 
 
+@registered
+def decode_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with all kinds of damage: what is refused, and what the rest is read as."""
+    size = lambda c: F.when(F.col("kind") == "delta", F.size(c)).cast("bigint")
+    value = F.when(F.col("kind") == "delta", F.aggregate(F.concat("bids", "asks"), F.lit(0).cast("bigint"), lambda a, x: a + x["price"] * x["qty"]))
+    found = decode.decode(feed.damaged_frames(spark, sf_dir), feed.instruments(spark))
+    return found.select("arrival", "kind", "symbol", "exchange_time", "is_buy", "price", "qty", "first_id", "last_id", size("bids").alias("bids"), size("asks").alias("asks"), value.alias("levels_value"), "decode_error")
+
+
+@registered
+def depth_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x["price"] * x["qty"])
+    found = decode.parse_depth(feed.damaged_bodies(spark, sf_dir), feed.instruments(spark))
+    return found.select("symbol", "last_id", "truncated", "parse_error", total("bids").alias("bid_value"), total("asks").alias("ask_value"))
+
+
 @registered
 def frame_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receive time less exchange time of decoded events, in buckets."""
@@ -346,7 +362,7 @@ def drop_oldest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def snapshot_serve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _longs(replay.serve_order(feed.levels(spark, sf_dir).where("arrival % 100 = 0").select("symbol", "arrival")), "serve")
+    return _longs(replay.serve_order(feed.levels(spark, sf_dir).select("symbol", "arrival")), "serve")
 
 
 def _tracker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,19 @@ ORACLES: dict[str, str] = {
         CAST(CASE WHEN ok AND NOT is_trade THEN CASE WHEN side = 'B' THEN 1 ELSE 0 END END AS BIGINT) AS bids, CAST(CASE WHEN ok AND NOT is_trade THEN CASE WHEN side = 'A' THEN 1 ELSE 0 END END AS BIGINT) AS asks, decode_error
         FROM (SELECT *, decode_error IS NULL AS ok FROM dc)""",
     "decode_levels": f"WITH {_DECODED} SELECT concat('S', k, '-USDT') AS symbol, arrival, side, price, qty, CAST(0 AS BIGINT) AS pos FROM dc WHERE decode_error IS NULL AND NOT is_trade",
+    "decode_damaged": """WITH f AS (SELECT event_id AS id, event_id % 16 AS k, event_id % 32 < 16 AS t, event_id % 3 = 0 AS wrapped FROM events),
+        g AS (SELECT *, CASE WHEN t AND k IN (10, 15) OR NOT t AND k = 14 THEN 'unknown type' WHEN t AND (k IN (1, 4, 5, 7) OR k IN (11, 12) AND NOT wrapped) OR NOT t AND k IN (1, 5, 7, 9, 13, 15) THEN 'malformed'
+            WHEN t AND k = 14 OR NOT t AND k IN (2, 3, 10, 11) THEN 'syntax' END AS decode_error, t AND k <> 9 AS trade FROM f),
+        h AS (SELECT *, decode_error IS NULL AS ok, decode_error IS NULL AND NOT trade AS delta, CASE WHEN t OR k = 6 THEN 0 ELSE 1 END AS n, CASE WHEN t THEN 0 ELSE 1 END AS m FROM g)
+        SELECT id AS arrival, CASE WHEN ok THEN CASE WHEN trade THEN 'trade' ELSE 'delta' END END AS kind, CASE WHEN ok THEN 'S1-USDT' END AS symbol, CASE WHEN ok THEN CASE WHEN t AND k = 6 THEN 0 ELSE (id + 1) * 1000000 END END AS exchange_time,
+            CASE WHEN ok AND trade THEN k IN (2, 3) END AS is_buy, CASE WHEN ok AND trade THEN id + 100 END AS price, CASE WHEN ok AND trade THEN id + 1 END AS qty,
+            CASE WHEN delta THEN CASE WHEN t OR k = 8 THEN 0 ELSE id END END AS first_id, CASE WHEN delta THEN CASE WHEN t THEN 0 ELSE id + 2 END END AS last_id,
+            CAST(CASE WHEN delta THEN n END AS BIGINT) AS bids, CAST(CASE WHEN delta THEN m END AS BIGINT) AS asks,
+            CASE WHEN delta THEN m * (id + 100) * (id + 1) + n * CASE WHEN k = 4 THEN 200 ELSE (id + 100) * (id + 1) END END AS levels_value, decode_error FROM h""",
+    "depth_damaged": """WITH f AS (SELECT event_id AS id, event_id % 12 AS k FROM events),
+        g AS (SELECT *, CASE WHEN k IN (1, 4, 8, 9, 11) THEN 'malformed' WHEN k = 2 THEN 'syntax' WHEN k IN (3, 5) THEN 'bad last id' WHEN k = 6 THEN 'too_many_decimals' END AS parse_error FROM f)
+        SELECT 'S1-USDT' AS symbol, CASE WHEN parse_error IS NULL THEN id + 1 END AS last_id, CASE WHEN parse_error IS NULL THEN k <> 10 END AS truncated, parse_error,
+            CASE WHEN parse_error IS NULL THEN CASE WHEN k = 10 THEN 0 ELSE id + 200 END END AS bid_value, CASE WHEN parse_error IS NULL THEN (id + 100) * 3 END AS ask_value FROM g""",
     "frame_latency": f"WITH {_DECODED}, va AS (SELECT us * 1000 + 5000 - us // 1000 * 1000000 AS ns FROM dc WHERE decode_error IS NULL), {_histogram('va', DECODE, '')} SELECT bucket, le, n, cumulative FROM hs",
     "metric_counters": f"""WITH {_LATCHED}, dc AS (SELECT count(*) AS f, count(*) FILTER ((event_type <> 'purchase' AND arrival % 50 = 49) OR arrival % 70 = 69) AS e FROM lv),
         ct AS (SELECT count(*) AS n, count(*) FILTER (class = 'contiguous') AS a, count(*) FILTER (class = 'stale') AS s, count(*) FILTER (class = 'buffered') AS b, count(*) FILTER (class = 'gapped') AS g FROM la)
@@ -138,7 +151,7 @@ ORACLES: dict[str, str] = {
     "hourly_rotation": "SELECT strftime(make_timestamp(epoch_us(ts) + 5), '%Y-%m-%dT%H') AS hour, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1",
     "drop_oldest_burst": f"WITH {_LEVELS} SELECT symbol, arrival FROM lv QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY arrival DESC) <= {CAPACITY}",
     "drop_oldest_counts": f"WITH {_LEVELS} SELECT symbol, least(count(*), {CAPACITY}) AS kept, greatest(count(*) - {CAPACITY}, 0) AS dropped FROM lv GROUP BY symbol",
-    "snapshot_serve_order": f"WITH {_LEVELS} SELECT symbol, arrival, row_number() OVER (PARTITION BY symbol ORDER BY arrival) AS serve FROM lv WHERE arrival % 100 = 0",
+    "snapshot_serve_order": f"WITH {_LEVELS} SELECT symbol, arrival, row_number() OVER (PARTITION BY symbol ORDER BY arrival) AS serve FROM lv",
     "tracker_status_counts": f"WITH {_SNAP} SELECT CAST(symbol AS VARCHAR) AS symbol, CASE class WHEN 'contiguous' THEN 'applied' WHEN 'stale' THEN 'discarded' ELSE class END AS status, count(*) AS n FROM la GROUP BY ALL",
     "tracker_book": f"WITH {_SNAP} SELECT CAST(symbol AS VARCHAR) AS symbol, side, price, qty FROM ab",
     "replay_dump": f"""WITH {_SNAP}, ps AS (SELECT symbol, count(*) FILTER (class = 'gapped') = 0 AS live, greatest(max(anchor), max(last_id) FILTER (class = 'contiguous')) AS last_id FROM la GROUP BY symbol),

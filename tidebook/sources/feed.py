@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed instruments of the derived feed.
@@ -59,3 +59,46 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.when(F.col("event_type") == "purchase", trade).otherwise(delta)
     data = F.when(F.col("arrival") % 3 == 0, inner).otherwise(F.format_string('{"stream":"x","data":%s}', inner))
     return rows.select("arrival", (F.col("us") * 1000 + 5000).alias("received_at"), data.alias("data"))
+
+
+#: Damage done to derived trades, updates and snapshot bodies, by the number of a row: what is replaced, and by what.
+TRADE_DAMAGE = (
+    ("}", "}"), ('"m":true', '"m":"true"'), ('"m":true', '"m":null'), (',"m":true', ""), ('"E":', '"E":1.5,"f":'), ('"E":', '"E":"x","f":'), ('"E":', '"f":'), ('"p":"', '"p":7,"f":"'),
+    ('"e":"aggTrade"', '"e":"aggTrade","e":"depthUpdate"'), ('"e":"aggTrade"', '"e":"depthUpdate","e":"aggTrade"'), ('"e":"aggTrade"', '"e":7'), ("}", "} x"), ("}", ""), ('"q":"', '"Q":"1","q":"'), ('"p":"', '"p":"x'), ("{", "[{"),
+)
+DELTA_DAMAGE = (
+    ("}", "}"), ('"b":', '"b":"junk","x":'), ('"b":', '"b":[null],"x":'), ('"b":', '"b":[["1"]],"x":'), ('"b":', '"b":[["1","2","3"]],"x":'), ('"b":', '"b":[[1,2]],"x":'), ('"b":', '"b":null,"x":'), ('"b":', '"b":{},"x":'),
+    ('"U":', '"x":'), ('"u":', '"u":"1","x":'), ('"b":', '"b":[["1","2"],null],"x":'), ('"b":', '"b":[["1",null]],"x":'), ('"b":', '"b":[["9","9"]],"b":'), ('"s":', '"s":7,"x":'), ('"e":', '"\\u0065":'), ("}", ",}"),
+)
+DEPTH_DAMAGE = (
+    ("}", "}"), ('"bids":', '"bids":"junk","x":'), ('"bids":', '"bids":[null],"x":'), ('"lastUpdateId":', '"x":'), ('"lastUpdateId":', '"lastUpdateId":"1","x":'), ('"lastUpdateId":', '"lastUpdateId":-'),
+    ('"asks":', '"asks":[["1.001","1"]],"x":'), ('"asks":', '"asks":[["1","1"]],"asks":'), ("}", ""), ('"bids":', '"bids":[["1",2]],"x":'), ('"bids":', '"bids":null,"x":'), ("{", "[{"),
+)
+
+
+def damaged(text: Column, number: Column, damage: tuple[tuple[str, str], ...]) -> Column:
+    """text after the damage of that number, done where its pattern first occurs."""
+    out = text
+    for k, (what, by) in enumerate(damage):
+        at = F.instr(text, F.lit(what))
+        cut = F.concat(F.substr(text, F.lit(1), at - 1), F.lit(by), F.substr(text, at + len(what)))
+        out = F.when((number == k) & (at > 0), cut).otherwise(out)
+    return out
+
+
+def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arrival, received_at, data: trades and updates of one known symbol, each with the damage of its number."""
+    money, k = F.format_string("%d.%02d000000", F.expr("event_id div 100 + 1"), F.col("event_id") % 100), (F.col("event_id") % 16).cast("int")
+    pair = F.format_string('[["%s","%d.00000000"]]', money, F.col("event_id") + 1)
+    trade = F.format_string('{"e":"aggTrade","E":%d,"s":"S1USDT","p":"%s","q":"%d.00000000","m":true}', F.col("event_id") + 1, money, F.col("event_id") + 1)
+    delta = F.format_string('{"e":"depthUpdate","E":%d,"s":"S1USDT","U":%d,"u":%d,"b":%s,"a":%s}', F.col("event_id") + 1, "event_id", F.col("event_id") + 2, pair, pair)
+    inner = F.when(F.col("event_id") % 32 < 16, damaged(trade, k, TRADE_DAMAGE)).otherwise(damaged(delta, k, DELTA_DAMAGE))
+    data = F.when(F.col("event_id") % 3 == 0, F.format_string('{"stream":"x","data":%s}', inner)).otherwise(inner)
+    return events(spark, sf_dir).select(F.col("event_id").alias("arrival"), F.col("event_id").alias("received_at"), data.alias("data"))
+
+
+def damaged_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, body, limit: snapshot bodies whose position is the event's number and one more, each with the damage of its number."""
+    money, k = F.format_string("%d.%02d", F.expr("event_id div 100 + 1"), F.col("event_id") % 100), (F.col("event_id") % 12).cast("int")
+    body = F.format_string('{"lastUpdateId":%d,"bids":[["%s","1"],["0.50","2"]],"asks":[["%s","3"]]}', F.col("event_id") + 1, money, money)
+    return events(spark, sf_dir).select(F.lit("S1-USDT").alias("symbol"), damaged(body, k, DEPTH_DAMAGE).alias("body"), F.lit(2).alias("limit"))
