@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch at most: what a Python worker and its JVM hold at once.
@@ -17,7 +17,7 @@ _WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a new temporary one only where none is set (as in tests).
+    """The folder named in spark.checkpoint.dir; a new temporary one only where none is set and all is one machine (as in tests).
 
     Arrow batches larger than BATCH are made that small from here on: the
     defaults let a batch of long texts outgrow a small executor."""
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidebook-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -50,9 +52,18 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def small(df: DataFrame, most: int = 300_000) -> DataFrame:
-    """df (of a few narrow columns), to be broadcast if it has at most ``most`` rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= most else df
+def _bytes(field) -> Column:
+    """About how many bytes a value takes."""
+    kind, own = field.dataType.simpleString(), F.col(f"`{field.name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(own), F.lit(0)) + 16
+    return F.coalesce(F.octet_length(F.to_json(F.struct(own))), F.lit(0)) + 16 if kind.startswith(("array", "struct", "map")) else F.lit(8)
+
+
+def small(df: DataFrame, most: int = 300_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """df, to be broadcast if it has at most ``most`` rows and about ``most_bytes`` bytes; else joins shuffle it."""
+    rows, size = df.agg(F.count("*"), F.sum(sum((_bytes(f) for f in df.schema.fields), F.lit(0)))).first()
+    return F.broadcast(df) if rows <= most and (size or 0) <= most_bytes else df
 
 
 def drop(*tables: DataFrame | str) -> None:

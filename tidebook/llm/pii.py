@@ -3,16 +3,23 @@
 Personal data found by pattern are the protected entities.  For each word of a
 text with an entity, wherever it stands, corpus co-occurrence says how much of
 the entity's information the word gives away: pointwise mutual information over
-the entity's information content, in numbers of distinct texts.  Words beyond the upper threshold are
-removed, words beyond the lower one generalised, in the texts that hold the
-entity; the entities themselves are replaced by their kind.
+the entity's information content, in numbers of distinct texts.  Words beyond
+the upper threshold are removed in the texts that hold the entity.  Words beyond
+the lower one are generalised: to the class of all words with the same first
+letters where that class does not disclose the entity by the same measure, else
+to the class of all words or all numbers.  The entities themselves are replaced
+by their kind.
+
+All array work is linear in a text: running state over an array is kept by
+``_scan``, and arrays are bound to lambda variables, since what a lambda only
+refers to would be computed again for each of its elements.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import _store
@@ -26,9 +33,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a text must hold to match any of them: most texts are read once only.
+ANY = r"@|\+[0-9]|[0-9]\.[0-9]|(?:[0-9][\x20-]?+){14}"
 KINDS = [*PATTERNS, "generalised", "removed"]
-SPAN = "struct<start: int, rank: int, stop: int, kind: string, value: string>"
-WORD = r"\p{L}[\p{L}\p{N}]{2,31}"
+#: shown: what stands in the span's place in the clean text.
+SPAN = "struct<start: int, rank: int, stop: int, kind: string, value: string, shown: string>"
+NONE = f"CAST(array() AS array<{SPAN}>)"
+WORD = r"[\p{L}\p{M}\p{N}]+"
+STEM = 3
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -46,128 +59,175 @@ def _sql(text: str) -> str:
     return "r'" + text.replace("'", "\\'") + "'"
 
 
-def _spans(matches: str, pieces: str, kind: str, rank: int | str) -> Column:
-    """Spans (code points) of matches from the pieces between them."""
-    return F.expr(
-        f"""aggregate(sequence(0, size({matches}) - 1),
-            named_struct('at', 0, 'out', CAST(array() AS array<{SPAN}>)),
-            (a, i) -> named_struct(
-                'at', a.at + length({pieces}[i]) + length({matches}[i]),
-                'out', array_append(a.out, named_struct('start', a.at + length({pieces}[i]), 'rank', {rank}, 'stop', a.at + length({pieces}[i]) + length({matches}[i]), 'kind', {kind}, 'value', {matches}[i]))),
-            a -> a.out)"""
-    )
+def _bind(value: str, name: str, body: str) -> str:
+    """SQL of body, in which ``name`` is the value, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-_DIGITS = "regexp_replace(s.value, '[^0-9]', '')"
-_LUHN = f"""aggregate(sequence(1, length({_DIGITS})), 0, (t, i) -> t + CASE
-    WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substr({_DIGITS}, i, 1) AS INT)
-    WHEN CAST(substr({_DIGITS}, i, 1) AS INT) > 4 THEN 2 * CAST(substr({_DIGITS}, i, 1) AS INT) - 9
-    ELSE 2 * CAST(substr({_DIGITS}, i, 1) AS INT) END) % 10 = 0"""
+def _scan(items: str, state: str, after: str, out: str, kind: str) -> str:
+    """SQL of an array of ``kind``: ``out`` for each x of items under a running state s that begins as ``state`` and goes on as ``after``.
+
+    Appending copies an array, so it is done in blocks of 128."""
+    step = f"aggregate(block, named_struct('s', run.s, 'o', CAST(array() AS array<{kind}>)), (acc, x) -> {_bind('acc.s', 's', f"named_struct('s', {after}, 'o', array_append(acc.o, {out}))")})"
+    blocks = f"transform(sequence(0, greatest(size(items) - 1, 0) div 128), b -> slice(items, b * 128 + 1, 128))"
+    joined = _bind(step, "done", "named_struct('s', done.s, 'o', array_append(run.o, done.o))")
+    return _bind(items, "items", f"flatten(aggregate({blocks}, named_struct('s', {state}, 'o', CAST(array() AS array<array<{kind}>>)), (run, block) -> {joined}, run -> run.o))")
+
+
+def _spans(text: str, pattern: str, kind: str, rank: int, shown: str) -> str:
+    """SQL of the spans (code points) of all matches, placed by the pieces between them."""
+    found = f"zip_with(transform(slice(split({text}, {_sql(pattern)}, -1), 1, size(found)), piece -> length(piece)), found, (gap, v) -> named_struct('gap', gap, 'v', v))"
+    span = f"named_struct('start', s + x.gap, 'rank', {rank}, 'stop', s + x.gap + length(x.v), 'kind', '{kind}', 'value', x.v, 'shown', '{shown}')"
+    return _bind(f"regexp_extract_all({text}, {_sql(pattern)}, 0)", "found", f"IF(size(found) = 0, {NONE}, {_scan(found, '0', 's + x.gap + length(x.v)', span, SPAN)})")
+
+
+_LUHN = """aggregate(sequence(1, length(d)), 0, (t, i) -> t + CASE
+    WHEN (length(d) - i) % 2 = 0 THEN CAST(substr(d, i, 1) AS INT)
+    WHEN CAST(substr(d, i, 1) AS INT) > 4 THEN 2 * CAST(substr(d, i, 1) AS INT) - 9
+    ELSE 2 * CAST(substr(d, i, 1) AS INT) END) % 10 = 0"""
 _VALID = {
     "email": "true",
-    "ip": "forall(split(s.value, '[.]'), x -> length(ltrim('0', x)) <= 3 AND CAST(concat('0', substr(ltrim('0', x), 1, 3)) AS INT) <= 255)",
-    "card": f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END",
-    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "ip": "forall(split(m.value, '[.]'), x -> length(ltrim('0', x)) <= 3 AND CAST(concat('0', substr(ltrim('0', x), 1, 3)) AS INT) <= 255)",
+    "card": _bind("regexp_replace(m.value, '[^0-9]', '')", "d", f"CASE WHEN length(d) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END"),
+    "phone": "length(regexp_replace(m.value, '[^0-9]', '')) BETWEEN 10 AND 15",
 }
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _keys(first: str = "k1", second: str = "k2") -> list[Column]:
+    return [F.xxhash64(_text()).alias(first), F.xxhash64(_text(), F.lit(1)).alias(second)]
+
+
 def find_entities(docs: DataFrame) -> DataFrame:
     """docs with ``base`` added: valid spans of the base kinds, by start and kind."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumns({f"_m_{kind}": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)) for kind, pattern in PATTERNS.items()})
-    found = []
-    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
-        out = out.withColumn(f"_p_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split(text, pattern, -1)))
-        spans = F.when(F.size(f"_m_{kind}") > 0, _spans(f"_m_{kind}", f"_p_{kind}", f"'{kind}'", rank)).otherwise(F.array().cast(f"array<{SPAN}>"))
-        out = out.withColumn(f"_s_{kind}", spans)
-        found.append(F.expr(f"filter(_s_{kind}, s -> {_VALID[kind]})"))
-    return out.withColumn("base", F.array_sort(F.concat(*found))).drop(*[f"_{x}_{kind}" for x in "mps" for kind in PATTERNS])
+    text = "coalesce(CAST(text AS STRING), '')"
+    found = [f"filter({_spans(text, pattern, kind, rank, f'[{kind}]')}, m -> {_VALID[kind]})" for rank, (kind, pattern) in enumerate(PATTERNS.items())]
+    return docs.withColumn("base", F.expr(f"IF({text} rlike {_sql(ANY)}, sort_array(concat({', '.join(found)})), {NONE})"))
+
 
+def _stem(term: str) -> str:
+    return f"concat(left({term}, {STEM}), '*')"
 
-def _terms(docs: DataFrame, p: Params) -> DataFrame | None:
-    """Rows (k1, k2, terms): for texts that hold an entity, the words that disclose it and what is done with them.
+
+def _disclosing(rows: DataFrame, texts: float, both: Column, least: float) -> DataFrame:
+    """rows with the disclosure of with_entity texts by with_term texts that meet in ``both``, where it reaches ``least``."""
+    share = F.log2(F.lit(texts) / F.col("with_entity"))
+    gain = F.log2(F.lit(texts) * both / (F.col("with_entity") * F.col("with_term")))
+    return rows.withColumn("disclosure", F.when(share > 0, gain / share).otherwise(F.lit(0.0))).where(F.col("disclosure") >= least)
+
+
+def _counted(rows: DataFrame, column: str, least: int, count: str, label: str) -> DataFrame:
+    return _store.save(rows.groupBy(column).agg(F.count("*").alias(count)).where(F.col(count) >= least), label)
+
+
+def _scored(docs: DataFrame, met: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Rows (entity, term, shown) of words that disclose an entity, and the entities and words of the texts of met, as far as they have support.
 
     Words are those of whole texts, in the joint counts as in the single ones."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = [F.xxhash64(text).alias("k1"), F.xxhash64(text, F.lit(1)).alias("k2")]
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"), F.lit(0)))
-    named = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    held = docs.where("size(base) > 0").select(*keys, F.monotonically_increasing_id().alias("row"), named.alias("entities"), words.alias("words"))
-    held = _store.save(held, "contexts")
-    copies = _store.small(held.groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    met = held.join(copies, ["k1", "k2"], "left").where("first IS NULL OR first = row").select("k1", "k2", "entities", "words")
-    texts = float(docs.select(*keys).distinct().count())
+    texts = float(docs.select(*_keys()).distinct().count())
     # Word and entity meet in no more texts than hold the entity.
-    entities = met.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= p.support)
-    entities = _store.save(entities, "entities")
+    each = met.select("k1", "k2", F.explode("entities").alias("entity"))
+    entities = _counted(each, "entity", p.support, "with_entity", "entities")
     if not entities.take(1):
-        _store.drop(held, entities)
         return None
-    near = met.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("with_term")).where(F.col("with_term") >= p.support)
-    near = _store.save(near, "held-words")
-
-    def disclosing(rows: DataFrame, both: Column) -> DataFrame:
-        share = F.log2(F.lit(texts) / F.col("with_entity"))
-        gain = F.log2(F.lit(texts) * both / (F.col("with_entity") * F.col("with_term")))
-        return rows.withColumn("disclosure", F.when(share > 0, gain / share).otherwise(F.lit(0.0))).where(F.col("disclosure") >= p.generalise)
-
-    pairs = met.select("k1", "k2", "words", F.explode("entities").alias("entity")).join(_store.small(entities), "entity")
-    pairs = pairs.select("k1", "k2", "entity", "with_entity", F.explode("words").alias("term"))
+    held = _store.save(each.join(_store.small(entities), "entity"), "held-entities")
+    spoken = met.join(held.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", F.explode("words").alias("term"))
+    near = _counted(met.select(F.explode("words").alias("term")), "term", p.support, "with_term", "held-words")
+    said = spoken.join(_store.small(near), "term")
     # A word stands in no fewer texts than in those with entities, and meets an entity in no more than hold either: what falls short by these falls short by the counts.
-    joint = disclosing(pairs.join(_store.small(near), "term"), F.least("with_entity", "with_term"))
+    joint = _disclosing(held.join(said, ["k1", "k2"]), texts, F.least("with_entity", "with_term"), p.generalise)
     joint = joint.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("with_entity").alias("with_entity"), F.min("with_term").alias("with_term")).where(F.col("both") >= p.support)
-    joint = _store.save(disclosing(joint, F.col("both")).select("entity", "term", "both", "with_entity"), "joint")
-    terms = joint.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        _store.drop(held, entities, near, joint)
+    joint = _store.save(_disclosing(joint, texts, F.col("both"), p.generalise).select("entity", "term", "both", "with_entity"), "joint")
+    if not joint.take(1):
+        return None
+    stems = joint.select("entity", "with_entity", F.expr(_stem("term")).alias("term")).distinct()
+    needed = _store.small(joint.select("term").unionByName(stems.select("term")).distinct(), p.broadcast_rows)
+    spelled = F.expr(f"regexp_extract_all(lower({'coalesce(CAST(text AS STRING), "")'}), {_sql(WORD)}, 0)")
+    every = docs.select(*_keys(), F.explode(F.array_distinct(spelled)).alias("word")).select("k1", "k2", F.explode(F.expr(f"array(word, {_stem('word')})")).alias("term"))
+    alone = _store.save(every.join(needed, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("with_term")), "words")
+    words = _disclosing(joint.join(alone, "term"), texts, F.col("both"), p.generalise).select("entity", "term", "disclosure")
+    begun = met.select("k1", "k2", F.explode(F.array_distinct(F.expr(f"transform(words, word -> {_stem('word')})"))).alias("term"))
+    begun = held.join(begun.join(_store.small(stems.select("term").distinct()), "term", "left_semi"), ["k1", "k2"]).drop("with_entity").join(stems, ["entity", "term"])
+    begun = begun.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("with_entity").alias("with_entity"))
+    telling = _disclosing(begun.join(alone, "term"), texts, F.col("both"), p.generalise).select("entity", F.col("term").alias("stem"), F.lit(True).alias("telling"))
+    words = words.withColumn("stem", F.expr(_stem("term"))).join(telling, ["entity", "stem"], "left")
+    kind = F.when(F.col("term").rlike(r"^\p{N}+$"), F.lit("[number]")).otherwise(F.lit("[word]"))
+    shown = F.when(F.col("disclosure") >= p.remove, F.lit("")).when(F.col("telling").isNull(), F.col("stem")).otherwise(kind)
+    return _store.save(words.select("entity", "term", shown.alias("shown")), "disclosing"), held, said
+
+
+def _disclosed(docs: DataFrame, p: Params) -> DataFrame | None:
+    """Rows (k1, k2, more): for texts that hold an entity, the spans of the words that disclose it, none of which meets a base span."""
+    found = find_entities(docs.select(F.col("text").cast("string").alias("text"))).where("size(base) > 0")
+    named = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(_text()), F.lit(WORD), F.lit(0)))
+    held = _store.save(found.select(*_keys(), F.monotonically_increasing_id().alias("row"), named.alias("entities"), words.alias("words"), "text", "base"), "contexts")
+    copies = _store.small(_store.save(held.groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies"))
+    met = held.join(copies, ["k1", "k2"], "left").where("first IS NULL OR first = row")
+    scored = _scored(docs, met, p)
+    if scored is None:
         return None
-    single = docs.select(*keys, F.explode(words).alias("term"))
-    single = single.join(F.broadcast(terms) if n_terms <= p.broadcast_rows else terms, "term", "left_semi")
-    alone = single.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    scored = disclosing(joint.join(alone, "term"), F.col("both"))
-    scored = _store.save(scored.select("entity", "term", F.when(F.col("disclosure") >= p.remove, "removed").otherwise("generalised").alias("kind")), "disclosing")
-    here = pairs.join(_store.small(scored), ["entity", "term"])
-    return _store.save(here.groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "kind")).alias("terms")), "terms")
+    telling, known, said = scored
+    here = said.select("k1", "k2", "term").join(_store.small(telling), "term").join(known.select("k1", "k2", "entity"), ["k1", "k2", "entity"])
+    # Of several generalisations of a word in a text the widest holds.
+    width = F.when(F.col("shown") == "", 0).when(F.col("shown").startswith("["), 1).otherwise(2)
+    here = here.groupBy("k1", "k2", "term").agg(F.min(F.struct(width.alias("width"), "shown")).alias("w")).select("k1", "k2", "term", "w.shown")
+    here = _store.save(here, "terms")
+    some = _store.save(met.join(_store.small(here.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").select("k1", "k2", "text", "base"), "telling-texts")
+    spans = some.select("k1", "k2", F.expr(f"inline({_spans('text', WORD, 'generalised', 4, '')})")).drop("shown")
+    spans = spans.withColumn("term", F.lower("value")).join(_store.small(here), ["k1", "k2", "term"])
+    removed = F.col("shown") == ""
+    spans = spans.select("k1", "k2", "start", F.when(removed, 5).otherwise(4).alias("rank"), "stop", F.when(removed, "removed").otherwise("generalised").alias("kind"), "value", "shown")
+    rows = spans.unionByName(some.select("k1", "k2", F.inline("base")))
+    base, own = F.col("rank") < 4, Window.partitionBy("k1", "k2")
+    before = F.max(F.when(base, F.col("stop"))).over(own.orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(base, F.col("start"))).over(own.orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0))
+    free = rows.withColumns({"_before": before, "_after": after}).where("rank >= 4 AND coalesce(_before <= start, true) AND coalesce(_after >= stop, true)")
+    return _store.save(free.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "stop", "kind", "value", "shown"))).alias("more")), "more")
+
+
+def _clean() -> str:
+    """SQL of the text with spans replaced, put together from the parts between them; parts are taken from chunks, since a place in a long text is found by reading up to it."""
+    part = f"array_join(transform(sequence(%(a)s div {CHUNK}, (%(b)s - 1) div {CHUNK}), c -> substr(chunks[c], greatest(%(a)s - c * {CHUNK}, 0) + 1, least(%(b)s - c * {CHUNK}, {CHUNK}) - greatest(%(a)s - c * {CHUNK}, 0))), '')"
+    gap = lambda a, b: f"IF({a} >= {b}, '', {part % {'a': a, 'b': b}})"
+    parts = _scan("spans", "0", "greatest(s, x.stop)", f"concat({gap('s', 'x.start')}, x.shown)", "string")
+    whole = f"concat(array_join({parts}, ''), {_bind('array_max(transform(spans, x -> x.stop))', 'last', _bind('length(text)', 'n', gap('last', 'n')))})"
+    return f"CASE WHEN size(spans) = 0 THEN text ELSE {_bind(f'regexp_extract_all(text, {_sql(f"(?s).{{1,{CHUNK}}}")}, 0)', 'chunks', whole)} END"
 
 
 def sanitise(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """docs with ``base`` and ``spans`` (all, by start and kind) and ``clean`` (the sanitised text) added.
 
-    Offsets count code points.  Null texts have no spans and a null clean text.
-    A word span never overlaps a base span.  Rows are kept one for one and
-    counts are over distinct texts, so that copies add no evidence.  Columns of
-    docs pass through; those with the added names are replaced.  A text's
-    disclosing words are bounded by its distinct words."""
+    Offsets count code points.  Null texts have no spans and a null clean text;
+    empty ones have none.  Words are runs of letters, marks and digits of any
+    length.  A word span never overlaps a base span; base spans of several kinds
+    may, and then each leaves its mark.  Of words that disclose several entities
+    of a text the widest generalisation holds.  Rows are kept one for one and
+    counts are over distinct texts, so that copies add no evidence.  A very long
+    text is handled whole, in time that grows with its length.  Columns of docs
+    pass through; those with the added names are replaced.  An empty table gives
+    none.  A text's disclosing words are bounded by its distinct words."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("base", "spans", "clean")]
     text = F.col("text").cast("string").alias("text")
     numbered = [F.col(c).alias(f"c{k}") for k, c in enumerate(own) if c != "text"]
     found = find_entities(docs.select(*numbered, text))
-    terms = _terms(find_entities(docs.select(text)), p)
-    none = F.array().cast(f"array<{SPAN}>")
-    if terms is None:
-        marked = found.withColumn("more", none)
+    more = _disclosed(docs.select(text), p)
+    if more is None:
+        marked = found.withColumn("spans", F.col("base"))
     else:
-        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        keyed = found.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(text, F.lit(1))})
-        few = terms.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "terms")
-        keyed = keyed.join(F.broadcast(few) if few.count() <= p.broadcast_rows else few, ["_k1", "_k2"], "left")
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        keyed = keyed.withColumn("_re", pattern).withColumn("_m", F.when(F.col("terms").isNotNull(), F.expr("regexp_extract_all(text, _re, 0)")))
-        keyed = keyed.withColumn("_p", F.when(F.size("_m") > 0, F.expr("split(text, _re, -1)")))
-        kind = "IF(exists(terms, t -> t.term = lower(_m[i]) AND t.kind = 'removed'), 'removed', 'generalised')"
-        rank = "IF(exists(terms, t -> t.term = lower(_m[i]) AND t.kind = 'removed'), 5, 4)"
-        more = F.when(F.size("_m") > 0, _spans("_m", "_p", kind, rank)).otherwise(none)
-        marked = keyed.withColumn("more", more).withColumn("more", F.expr("filter(more, m -> NOT exists(base, b -> b.start < m.stop AND m.start < b.stop))"))
-    marked = marked.withColumn("spans", F.array_sort(F.concat("base", "more")))
-    tag = "CASE WHEN s.kind = 'removed' THEN '' WHEN s.kind = 'generalised' THEN '[term]' ELSE concat('[', s.kind, ']') END"
-    before = "coalesce(array_max(transform(slice(spans, 1, i), x -> x.stop)), 0)"
-    clean = f"""CASE WHEN size(spans) = 0 THEN text ELSE concat(
-        array_join(transform(spans, (s, i) -> concat(substr(text, {before} + 1, greatest(s.start - {before}, 0)), {tag})), ''),
-        substr(text, array_max(transform(spans, x -> x.stop)) + 1)) END"""
-    return marked.withColumn("clean", F.expr(clean)).select(*[F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(own)], "base", "spans", "clean")
+        few = _store.small(more, p.broadcast_rows)
+        keyed = found.withColumns(dict(zip(("k1", "k2"), _keys(), strict=True)))
+        if few is more:  # only texts that hold an entity are shuffled
+            marked = keyed.where("size(base) > 0").join(more, ["k1", "k2"], "left").unionByName(keyed.where("size(base) = 0").withColumn("more", F.expr(NONE)))
+        else:
+            marked = keyed.join(few, ["k1", "k2"], "left")
+        marked = marked.withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more"))))
+    return marked.withColumn("clean", F.expr(_clean())).select(*[F.col("text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(own)], "base", "spans", "clean")
 
 
 def _joined(column: str) -> Column:
@@ -175,6 +235,7 @@ def _joined(column: str) -> Column:
 
 
 def pii_digest(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """The columns of the contract and no clean text, for each row of docs."""
     found = sanitise(docs.select(F.col("doc_id"), F.col("text").cast("string")), p)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(kind) for kind in PATTERNS], F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
