@@ -2,8 +2,8 @@
 
 A text's vector holds its hashed three-byte n-grams, weighted by TF-IDF and
 normalised.  Each language has several centroids, found by spherical k-means;
-the nearest one by cosine decides, and a text farther from it than the training
-texts of that language and length are is rejected.
+the nearest one by cosine decides, and a text farther from it than its training
+texts of that length are is rejected.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from tidebook.llm import _store, _text
 
 @dataclass(frozen=True)
 class Params:
-    """dims: hashed n-grams. centroids: per language. sample, sample_total: texts per language and in all
-    that k-means sees at most (document frequencies and limits come from all texts). reject: cosine below which a
-    text is always rejected. tail: share of the training texts of a language and length that may fall below the learnt
-    limit. trust: number of texts from which such a limit counts as much as that of the next shorter texts."""
+    """dims: hashed n-grams. centroids: per language. sample, sample_total: distinct texts per language and in all
+    that k-means sees at most, but one of each language always (document frequencies and limits come from all texts).
+    reject: cosine below which a text is always rejected. tail: share of the training texts of a centroid and length
+    that may fall below the learnt limit. trust: number of texts from which such a limit counts as much as that of the
+    next shorter texts."""
 
     dims: int = 4096
     centroids: int = 4
@@ -44,7 +45,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    limits: np.ndarray | None = None  # by language and length, where learnt
+    limits: np.ndarray | None = None  # by centroid and length, where learnt
 
 
 def held_out(column: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
@@ -110,19 +111,29 @@ def _frequencies(docs: DataFrame, p: Params) -> tuple[np.ndarray, int]:
 
 
 def _sample(docs: DataFrame, p: Params) -> list:
-    """Counts of at most about ``sample`` texts of each language, chosen by a hash of the row's place, so that copies are drawn apart."""
-    sizes = docs.groupBy("lang").count()
-    n = sizes.count()
-    share = F.least(F.lit(1.0), min(p.sample, p.sample_total / max(n, 1)) / F.col("count"))
-    chosen = docs.join(F.broadcast(sizes) if n <= 10_000 else sizes, "lang").where((F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(p.seed)), F.lit(1 << 20)) / (1 << 20)) < share)
+    """lang, h, counts: about ``sample`` distinct texts of each language, chosen by a hash of the text, in the order of it.
+
+    A text counts once however many copies it has, so a hot one cannot fill the
+    sample, and the choice does not depend on how rows are partitioned.  The
+    text of the least hash is always taken, so no language is without any."""
+    rows = docs.withColumn("h", F.xxhash64("text", F.lit(p.seed)))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.min("h").alias("least"))
+    languages = sizes.count()
+    share = min(p.sample, p.sample_total / max(languages, 1)) / F.col("n")
+    drawn = (F.pmod("h", F.lit(1 << 30)) / (1 << 30) < share) | (F.col("h") == F.col("least"))
+    chosen = rows.join(F.broadcast(sizes) if languages <= 10_000 else sizes, "lang").where(drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
-            for part in _text.slices(batch, rows=256):
-                counts, _ = counts_of(part.column(1), p)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.concatenate([(k := np.flatnonzero(c)).astype(np.float32), c[k]]).tobytes() for c in counts], pa.binary())], ["lang", "counts"])
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            new = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            for part in _text.slices(batch.take(pa.array(new, pa.int64())), rows=256):
+                counts, _ = counts_of(part.column(2), p)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([np.concatenate([(k := np.flatnonzero(c)).astype(np.float32), c[k]]).tobytes() for c in counts], pa.binary())], ["lang", "h", "counts"])
 
-    return chosen.select("lang", "text").mapInArrow(run, "lang string, counts binary").collect()
+    drawn = chosen.select("lang", "h", "text").mapInArrow(run, "lang string, h long, counts binary").groupBy("lang", "h").agg(F.min("counts").alias("counts"))
+    return sorted(drawn.collect(), key=lambda r: (r["lang"], r["h"]))
 
 
 #: Lengths are octaves of the number of distinct n-grams, so that a text of one repeated word is short. Bins of cosines from 0 to 1.
@@ -130,36 +141,36 @@ LENGTHS, BINS = 32, 200
 
 
 def _nearest(counts: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language, cosine and length of each text."""
-    near = _vectors(counts, m.idf) @ m.centroids.T
+    """Centroid, cosine and length of each text; cosines are rounded, so that they do not depend on what else is in a batch."""
+    near = np.round(_vectors(counts, m.idf).astype(np.float64) @ m.centroids.T.astype(np.float64), 9)
     best = near.argmax(1)
     length = np.log2(np.maximum((counts > 0).sum(1), 1)).astype(np.int64)
-    return m.owner[best], np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1), length
+    return best, np.clip(near[np.arange(len(best)), best], 0, 1), length
 
 
 def _limits(docs: DataFrame, model: Model, p: Params) -> np.ndarray:
-    """The cosine that all but ``tail`` of the texts reach, by language and length; LENGTHS * BINS numbers a language reach the driver at most.
+    """The cosine that all but ``tail`` of the texts reach, by centroid and length; LENGTHS * BINS numbers a centroid reach the driver at most.
 
     Where there are few texts of a length, the limit of the next shorter ones tells more."""
-    held, shape = docs.sparkSession.sparkContext.broadcast(model), (len(model.languages), LENGTHS, BINS)
+    held, shape = docs.sparkSession.sparkContext.broadcast(model), (len(model.centroids), LENGTHS, BINS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.slices(batch, rows=256):
                 counts, letters = counts_of(part.column(0), p)
-                lang, score, length = (a[letters] for a in _nearest(counts, held.value))
-                cell, n = np.unique(np.ravel_multi_index((lang, length, np.minimum(score * BINS, BINS - 1).astype(np.int64)), shape), return_counts=True)
+                best, score, length = (a[letters] for a in _nearest(counts, held.value))
+                cell, n = np.unique(np.ravel_multi_index((best, length, np.minimum(score * BINS, BINS - 1).astype(np.int64)), shape), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
 
     total = np.zeros(shape, dtype=np.int64)
     for r in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         total.flat[r["cell"]] = r["n"]
     out = np.full(shape[:2], p.reject)
-    for lang, length in np.ndindex(*shape[:2]):
-        before = out[lang, length - 1] if length else p.reject
-        up = total[lang, length].cumsum()
+    for centroid, length in np.ndindex(*shape[:2]):
+        before = out[centroid, length - 1] if length else p.reject
+        up = total[centroid, length].cumsum()
         own = np.searchsorted(up, p.tail * up[-1], "right") / BINS if up[-1] else before
-        out[lang, length] = max(p.reject, before + (own - before) * up[-1] / (up[-1] + p.trust))
+        out[centroid, length] = max(p.reject, before + (own - before) * up[-1] / (up[-1] + p.trust))
     return out
 
 
@@ -179,8 +190,8 @@ def _clusters(x: np.ndarray, p: Params) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, p: Params | None = None, limits: bool = True) -> Model | None:
-    """Learn from text and lang of docs; None where there is nothing to learn from. limits: whether to learn what is rejected too."""
+def fit(docs: DataFrame, p: Params | None = None) -> Model | None:
+    """Learn from text and lang of docs; None where there is nothing to learn from. The model is the same however docs is partitioned."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -203,7 +214,7 @@ def fit(docs: DataFrame, p: Params | None = None, limits: bool = True) -> Model
     if not languages:
         return None
     model = Model(languages, idf, np.vstack(centroids).astype(np.float32), np.array(owner))
-    return replace(model, limits=_limits(rows, model, p)) if limits else model
+    return replace(model, limits=_limits(rows, model, p))
 
 
 def identify(docs: DataFrame, model: Model | None, p: Params | None = None) -> DataFrame:
@@ -226,9 +237,9 @@ def identify(docs: DataFrame, model: Model | None, p: Params | None = None) -> D
                 if m is None:
                     lang, score, limit = np.full(len(counts), "und", dtype=object), np.zeros(len(counts)), p.reject
                 else:
-                    own, score, length = _nearest(counts, m)
-                    lang = np.array(m.languages, dtype=object)[own]
-                    limit = p.reject if m.limits is None else m.limits[own, length]
+                    best, score, length = _nearest(counts, m)
+                    lang = np.array(m.languages, dtype=object)[m.owner[best]]
+                    limit = p.reject if m.limits is None else m.limits[best, length]
                 lang[~letters], score[~letters] = "und", 0.0
                 columns = dict(zip(names, part.columns, strict=True)) | {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "rejected": pa.array((score < limit) | (lang == "und"))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names)
@@ -237,8 +248,8 @@ def identify(docs: DataFrame, model: Model | None, p: Params | None = None) -> D
 
 
 def language_digest(docs: DataFrame, p: Params | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected (too far from its centroid, or `und`), a row for each of docs, learnt outside the held-out fold."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
-    model = fit(docs.where(~held_out()).select("lang", "text"), p, limits=False)
-    found = identify(docs.select("doc_id", "text"), model, p)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    model = fit(docs.where(~held_out()).select("lang", "text"), p)
+    return identify(docs.select("doc_id", "text"), model, p).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
