@@ -193,11 +193,16 @@ def bounded(rows: DataFrame, most: int, seed: int = 1) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
+def one_text_each(rows: DataFrame, column: str = "text") -> DataFrame:
+    """doc_id, the column and y: of several texts (or their statistics) of an id that with the least hash."""
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(column, "y"), F.xxhash64(column)).alias("r")).select("doc_id", "r.*")
+
+
 def fit(stats: DataFrame, labels: DataFrame, p: Params | None = None) -> Forest:
     """Grow trees from statistics (doc_id, x) and labels (doc_id, y)."""
     p = p or Params()
     chosen = bounded(labels, p.sample)
-    rows = stats.join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = one_text_each(stats.join(F.broadcast(chosen), "doc_id"), "x").orderBy("doc_id").toArrow()
     x = np.array(rows["x"].combine_chunks().flatten(), dtype=np.float32).reshape(-1, len(FEATURES))
     return grow(x, rows["y"].to_numpy().astype(np.float64), p)
 
@@ -219,9 +224,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, p: Params | None = None,
     """doc_id, held_out, score (chance of label 1), predicted, for each row of docs.
 
     Labels are learnt from ids outside the held-out fold only.  Null and empty
-    texts are scored by the statistics of an empty text; a null doc_id is never
-    held out; without labels of both classes the score is a constant.  Only
-    doc_id and text of docs are read; an empty table gives none."""
+    texts are scored by the statistics of an empty text, very long ones by those
+    of the whole text; repeated rows get equal scores; a null doc_id is never
+    held out; of an id with several texts one is learnt from, that with the
+    least hash, of differing labels the larger.  Equally good splits go to the
+    first statistic and the lowest threshold.  Without labels of both classes
+    the score is a constant.  Only doc_id and text of docs are read; an empty
+    table gives none."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     stats = _store.save(_with_statistics(docs), "statistics")

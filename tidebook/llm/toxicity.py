@@ -1,13 +1,16 @@
 """Toxicity scores by a counterfactually regularised classifier.
 
-A logistic model over the words of a document and their first bytes.  For each
-labelled sentence with an identity term the term is swapped for the others of
-its group; the model pays for the square of every score change, so that naming
-a group is not what decides.
+A logistic model over the words of a document and their first bytes.  In
+labelled sentences identity terms are swapped for each other one of their row;
+the model pays for the square of every score change, so that naming a group is
+not what decides.  A labelled text without such a term lends a sentence in
+which one is planted, and is learnt from a second time with that term among its
+words: so the penalty has pairs, under both labels, whatever the texts name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidebook.llm import _store, _text
 from tidebook.llm.language_id import held_out
-from tidebook.llm.quality import bounded, labelled
+from tidebook.llm.quality import bounded, labelled, one_text_each
 
 #: Terms that name groups; those of one row stand for each other in a sentence.
 IDENTITY_TERMS = (
@@ -37,15 +40,16 @@ IDENTITY_TERMS = (
 @dataclass(frozen=True)
 class Params:
     """sample: labelled rows learnt from at most, chosen by a hash of the id. features: kept, those that
-    speak most clearly for the label (what speaks against it must not outvote an insult). pairs: counterfactual pairs at most.
-    penalty: weight of the squared score change. cut: score at which the two labels part."""
+    speak most clearly for the label (what speaks against it must not outvote an insult). sentences: counterfactual
+    sentences at most, half of them of either label, chosen by a hash; each is paired with one sentence for every other
+    term of the row. penalty: weight of the squared score change. cut: score at which the two labels part."""
 
     sample: int = 40_000
     hash_bits: int = 20
     features: int = 3000
     least_z: float = 3.0
     least_count: int = 3
-    pairs: int = 20_000
+    sentences: int = 4_000
     penalty: float = 20.0
     shrink: float = 0.01
     steps: int = 300
@@ -59,6 +63,7 @@ class Model:
     bins: np.ndarray
     weights: np.ndarray
     bias: float
+    pairs: int = 0  # counterfactual pairs that it was fitted with
 
 
 def bins_of(column: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -97,42 +102,77 @@ def _counts(rows: DataFrame, p: Params) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "bin long, pos long, neg long").groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _swaps(text: str, p: Params) -> Iterator[tuple[str, str]]:
-    """Each sentence with an identity term, and the sentence with another term of the same row in its place."""
-    rows = {t: (row, i) for row in p.identity for i, t in enumerate(row)}
-    if not rows:
-        return
-    found = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, rows)) + r")(?!\w)", re.I)
-    if not found.search(text):
-        return
-    for sentence in re.split(r"(?<=[.!?\n])\s*", text):
-        for m in found.finditer(sentence):
-            row, i = rows[m[1].lower()]
-            yield sentence, sentence[: m.start()] + row[(i + 1) % len(row)] + sentence[m.end() :]
+@dataclass(frozen=True)
+class Swap:
+    """A labelled sentence, the same with each other term of the row in the place of one, and the term, where it was planted."""
+
+    sentence: str
+    others: list[str]
+    planted: str | None
 
 
-def _learnt_rows(rows: DataFrame, chosen: np.ndarray, p: Params) -> list:
-    """For each labelled text its label and chosen features, and the feature differences of its counterfactual sentences."""
+def _swaps(text: str, p: Params) -> list[Swap]:
+    """A swap for every identity term of text; where there is none, one for a term planted in a sentence, both chosen by a hash of the text."""
+    rows = {t: row for row in p.identity for t in row}
+    if not rows or not text:
+        return []
+    found = re.compile(r"(?<!\w)(" + "|".join(map(re.escape, rows)) + r")(?!\w)", re.I)
+    sentences = [s for s in re.split(r"(?<=[.!?\n])\s*", text) if s.strip()]
+    out = []
+    for s in sentences if found.search(text) else ():
+        for m in found.finditer(s):
+            out.append(Swap(s, [s[: m.start()] + t + s[m.end() :] for t in rows[m[1].lower()] if t != m[1].lower()], None))
+    if out or not sentences:
+        return out
+    draw = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=16).digest(), "little")
+    draw, k = divmod(draw, len(sentences))
+    words = sentences[k].split()
+    draw, at = divmod(draw, len(words) + 1)
+    draw, r = divmod(draw, len(p.identity))
+    row = p.identity[r]
+    term = row[draw % len(row)]
+    planted = lambda t: " ".join([*words[:at], t, *words[at:]])
+    return [Swap(planted(term), [planted(t) for t in row if t != term], term)]
+
+
+def _learnt_rows(rows: DataFrame, chosen: np.ndarray, p: Params) -> tuple[list, list]:
+    """For each labelled text its label and chosen features; and the counterfactual sentences that are learnt from, chosen by a hash among those of either label.
+
+    A sentence is its label, the features of the text it was planted in (null
+    if it was not) and, for each other term, the features that the swap takes away and adds."""
     held = rows.sparkSession.sparkContext.broadcast(chosen)
 
     def own(bins: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(held.value, bins), len(held.value) - 1)
         return place[held.value[place] == bins].astype(np.uint16)
 
+    def sets(texts: list[str]) -> list[np.ndarray]:
+        b, a = bins_of(pa.array(texts, pa.string()), p)
+        return [own(b[a[i] : a[i + 1]]) for i in range(len(texts))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _text.slices(batch):
                 bins, at = bins_of(part.column(0), p)
+                features = [own(bins[at[i] : at[i + 1]]) for i in range(part.num_rows)]
                 swaps = []
-                for text in part.column(0).to_pylist():
-                    flat = [s for pair in _swaps(text or "", p) for s in pair]
-                    b, a = bins_of(pa.array(flat, pa.string()), p) if flat else (np.zeros(0), np.zeros(1))
-                    sets = [own(b[a[i] : a[i + 1]]) for i in range(len(flat))]
-                    swaps.append([np.concatenate([[len(x)], x, y]).astype(np.uint16).tobytes() for x, y in zip(sets[::2], sets[1::2], strict=True)])
-                features = [own(bins[at[i] : at[i + 1]]).tobytes() for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(features, pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], ["y", "x", "swaps"])
-
-    return rows.select("text", "y").mapInArrow(run, "y int, x binary, swaps array<binary>").collect()
+                for text, x in zip(part.column(0).to_pylist(), features, strict=True):
+                    swaps.append([])
+                    for k, swap in enumerate(_swaps(text or "", p)):
+                        first, *others = sets([swap.sentence, *swap.others])
+                        gone, come = ([np.setdiff1d(*ab) for ab in pairs] for pairs in ([(first, o) for o in others], [(o, first) for o in others]))
+                        h = int.from_bytes(hashlib.blake2b(f"{k} {swap.sentence}".encode(), digest_size=8).digest(), "little", signed=True)
+                        grown = np.union1d(x, sets([swap.planted])[0]).tobytes() if swap.planted else None
+                        swaps[-1].append({"h": h, "x": grown, "pairs": [np.concatenate([[len(g)], g, c]).astype(np.uint16).tobytes() for g, c in zip(gone, come, strict=True)]})
+                kind = pa.list_(pa.struct([("h", pa.int64()), ("x", pa.binary()), ("pairs", pa.list_(pa.binary()))]))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([x.tobytes() for x in features], pa.binary()), pa.array(swaps, kind)], ["y", "x", "swaps"])
+
+    learnt = _store.save(rows.select("text", "y").mapInArrow(run, "y int, x binary, swaps array<struct<h: long, x: binary, pairs: array<binary>>>"), "learnt")
+    swaps = learnt.select(F.least("y", F.lit(1)).alias("y"), F.inline("swaps"))
+    picked = [r for y in (0, 1) for r in swaps.where(F.col("y") == y).orderBy("h", "x", "pairs").limit(p.sentences // 2).collect()]
+    seen = learnt.select("y", "x").collect()
+    _store.drop(learnt)
+    return sorted(seen, key=lambda r: (r["y"], r["x"])), picked
 
 
 def _optimise(x: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], n: int, p: Params) -> tuple[np.ndarray, float]:
@@ -174,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
     """Learn from texts of docs and labels (doc_id, y); without both classes the score is a constant."""
     p = p or Params()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = _store.save(texts.join(F.broadcast(bounded(labels, p.sample, 2)), "doc_id").dropDuplicates(["doc_id"]).select("text", "y"), "labelled")
+    rows = _store.save(one_text_each(texts.join(F.broadcast(bounded(labels, p.sample, 2)), "doc_id")).select("text", "y"), "labelled")
     pos, neg = rows.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     if not pos or not neg:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((pos + 1) / (neg + 1))))
@@ -185,18 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
     if p.identity:
         terms, _ = bins_of(pa.array([" ".join(t for row in p.identity for t in row)]), p)
         chosen = np.union1d(chosen, terms)
-    seen = _learnt_rows(rows, chosen, p)
-    seen.sort(key=lambda r: (r["y"], r["x"]))
-    pairs = []
-    for raw in (s for r in seen for s in r["swaps"]):
-        if len(pairs) < p.pairs:
-            v = np.frombuffer(raw, dtype=np.uint16)
-            pairs.append((v[1 : 1 + v[0]], v[1 + v[0] :]))
+    seen, swaps = _learnt_rows(rows, chosen, p)
+    pairs = [(v[1 : 1 + v[0]], v[1 + v[0] :]) for r in swaps for raw in r["pairs"] if len(v := np.frombuffer(raw, dtype=np.uint16)) > 1]
+    seen += [r for r in swaps if r["x"] is not None]
     x, y = [np.frombuffer(r["x"], dtype=np.uint16) for r in seen], np.array([float(r["y"] > 0) for r in seen])
     w, bias = _optimise(x, y, pairs, len(chosen), p)
     margins = bias + np.bincount(np.repeat(np.arange(len(x)), [len(v) for v in x]), w[np.concatenate(x).astype(np.int64)], len(x))
     _store.drop(rows)
-    return Model(chosen, w, bias + _shift(margins, y, p))
+    return Model(chosen, w, bias + _shift(margins, y, p), len(pairs))
 
 
 def score(docs: DataFrame, model: Model, p: Params | None = None) -> DataFrame:
@@ -220,8 +256,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, p: Params | None = None,
     """doc_id, held_out, score (chance of label 1), predicted, for each row of docs.
 
     Labels are learnt from ids outside the held-out fold only.  Null and empty
-    texts have no words and score what the bias gives; a null doc_id is never
-    held out.  Only doc_id and text of docs are read; an empty table gives none."""
+    texts have no words and score what the bias gives; of a very long text all
+    words count, each once; a null doc_id is never held out.  Repeated rows get
+    equal scores; of an id with several texts one is learnt from, that with the
+    least hash, of differing labels the larger.  Ties between features and
+    between sentences go by their hashes.  Only doc_id and text of docs are
+    read; an empty table gives none."""
     p = p or Params()
     _store.shared_dir(docs.sparkSession)
     fold = held_out("doc_id", 3, 1)
