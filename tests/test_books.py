@@ -42,6 +42,31 @@ def test_closed_form_of_sequencing(spark, block):
     assert {(r["symbol"], r["arrival"]): r["class"] for r in got} == {(name, k): c for name, _, _, want in SEQUENCES for k, c in enumerate(want)}
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_numbers_and_earlier_rows_in_blocks(spark, block):
+    rng = random.Random(3)
+    rows = [(rng.choice("XXXY"), k * 3, rng.randint(0, 99)) for k in range(200)]
+    df = spark.createDataFrame(rows, "symbol string, arrival bigint, v bigint").repartition(5)
+    got = sequence.previous(sequence.numbered(df, block=block), "v", "before", block).collect()
+    for symbol in "XY":
+        own = [r for r in rows if r[0] == symbol]
+        want = {a: (n + 1, own[n - 1][2] if n else None) for n, (_, a, _) in enumerate(own)}
+        assert {r["arrival"]: (r["rn"], r["before"]) for r in got if r["symbol"] == symbol} == want
+
+
+def test_comparison_refuses_and_reports(spark):
+    local = spark.createDataFrame([("X", "B", 5, 1), ("X", "A", 9, 2)], LEVEL)
+    compare.refuse_duplicates(local)
+    compare.refuse_strangers(local, local)
+    with pytest.raises(compare.Refused, match="X: price 5 stands 2 times"):
+        compare.refuse_duplicates(local.unionByName(local.where("side = 'B'")))
+    with pytest.raises(compare.Refused, match="no book of Y"):
+        compare.refuse_strangers(local, local.withColumn("symbol", F.lit("Y")))
+    remote = spark.createDataFrame([("X", "B", p, p) for p in range(1, 6)] + [("X", "A", 9, 3)], LEVEL)
+    text = compare.report(compare.differences(local, remote), most=3).first()["text"]
+    assert text.splitlines() == ["bid 5: local 1, snapshot 5", "bid 4: local 0, snapshot 4", "bid 3: local 0, snapshot 3", "3 more"]
+
+
 def test_reads_of_a_book(spark):
     rows = [("X", "B", 10, 1), ("X", "B", 9, 2), ("X", "A", 11, 3), ("Y", "B", 5, 1), ("Z", "B", 7, 1), ("Z", "A", 7, 1)]
     df = spark.createDataFrame(rows, LEVEL)

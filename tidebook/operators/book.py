@@ -37,6 +37,18 @@ def after_snapshot(snapshot: DataFrame, levels: DataFrame, latched: DataFrame) -
     return last_writer(first.unionByName(later))
 
 
+def snapshot_and_book(latched: DataFrame, early: Column) -> DataFrame:
+    """symbol, side, price, local, remote: the book after the snapshot of all ``early`` rows and the contiguous updates behind it, and that snapshot.
+
+    Both are one aggregate over latched levels (symbol, side, price, qty,
+    arrival, pos, class), where the early ones are stale; 0 is an absent level."""
+    order = F.struct("arrival", "pos")
+    last = lambda which: F.max_by("qty", F.when(which, order))
+    both = latched.groupBy("symbol", "side", "price").agg(last(early).alias("_first"), last(F.col("class") == "contiguous").alias("_later"))
+    none = F.lit(0).cast("bigint")
+    return both.select("symbol", "side", "price", F.coalesce("_later", "_first", none).alias("local"), F.coalesce("_first", none).alias("remote")).where("local <> 0 OR remote <> 0")
+
+
 def _side_best() -> list[Column]:
     bid, ask = F.col("side") == BID, F.col("side") == ASK
     price = F.col("price")

@@ -49,35 +49,56 @@ def totals(values: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFram
     return out.withColumn("mean", F.when(F.col("n") > 0, F.expr("total div n")).otherwise(F.lit(0).cast("bigint")))
 
 
-def quantile(hist: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, value: linear interpolation inside the bucket that reaches the share q, cut to whole nanoseconds.
-
-    q is held between 0 and 1; nothing observed gives 0 and the last bucket the
-    largest bound.  An empty bucket that is reached gives its bound."""
+def _quantile(q: float) -> Column:
+    """The value at a share of rows (seen: a sorted array of bucket, le, n, cumulative; all: their number; largest: the largest bound)."""
     q = min(max(q, 0.0), 1.0)
-    by = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("bucket")
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    rows = hist.withColumns({"_all": F.sum("n").over(whole), "_lower": F.coalesce(F.lag("le").over(by), F.lit(0).cast("bigint")), "_largest": F.max("le").over(whole)})
-    reached = rows.where((F.col("cumulative") >= F.lit(q) * F.col("_all")) | F.col("le").isNull())
-    first = reached.groupBy(*keys).agg(F.min_by(F.struct("le", "n", "cumulative", "_all", "_lower", "_largest"), "bucket").alias("r"))
-    share = (F.lit(q) * F.col("r._all") - (F.col("r.cumulative") - F.col("r.n"))) / F.col("r.n")
-    inside = F.col("r._lower") + F.floor((F.col("r.le") - F.col("r._lower")) * share).cast("bigint")
-    value = F.when(F.col("r._all") == 0, F.lit(0).cast("bigint")).when(F.col("r.le").isNull(), F.col("r._largest")).when(F.col("r.n") == 0, F.col("r.le")).otherwise(inside)
-    return first.select(*keys, value.alias("value"))
+    at = F.get(F.filter("seen", lambda x: (x["cumulative"] >= F.lit(q) * F.col("all")) | x["le"].isNull()), 0)
+    lower = F.coalesce(F.get("seen", at["bucket"] - 1)["le"], F.lit(0).cast("bigint"))
+    share = (F.lit(q) * F.col("all") - (at["cumulative"] - at["n"])) / at["n"]
+    inside = lower + F.floor((at["le"] - lower) * share).cast("bigint")
+    return F.when(F.col("all") == 0, F.lit(0).cast("bigint")).when(at["le"].isNull(), F.col("largest")).when(at["n"] == 0, at["le"]).otherwise(inside)
+
+
+def quantiles(hist: DataFrame, shares: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """keys and a column for each named share: linear interpolation inside the bucket that reaches it, cut to whole nanoseconds.
+
+    A share is held between 0 and 1; nothing observed gives 0 and the last
+    bucket the largest bound.  An empty bucket that is reached gives its bound.
+    All shares come from one aggregate."""
+    seen = hist.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "le", "n", "cumulative"))).alias("seen"), F.sum("n").alias("all"), F.max("le").alias("largest"))
+    return seen.select(*keys, *[_quantile(q).alias(name) for name, q in shares.items()])
+
+
+def quantile(hist: DataFrame, q: float, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, value: one share of quantiles()."""
+    return quantiles(hist, {"value": q}, keys)
 
 
 def summary(values: DataFrame, column: str, bounds: Sequence[int], shares: dict[str, float]) -> DataFrame:
-    """One row: n, mean, and a quantile for each named share."""
-    hist = buckets(values, column, bounds)
-    out = totals(values, column).select("n", "mean")
-    for name, q in shares.items():
-        out = out.join(F.broadcast(quantile(hist, q).select(F.col("value").alias(name))))  # one row each
-    return out
+    """One row: n, mean, and a quantile for each named share, in one pass."""
+    b = normalised_bounds(bounds)
+    each = values.where(F.col(column) >= 0).groupBy(bucket_of(F.col(column), b).alias("bucket")).agg(F.count("*").alias("n"), F.sum(column).alias("total"))
+    found = F.collect_list(F.struct("bucket", "n")).alias("found")
+    rows = each.agg(found, F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum("total"), F.lit(0)).cast("bigint").alias("total"))
+    le = F.array(*[F.lit(x).cast("bigint") for x in [*b, None]])
+    upto = lambda i: F.aggregate(F.filter("found", lambda x: x["bucket"] <= i), F.lit(0).cast("bigint"), lambda t, x: t + x["n"])
+    own = lambda i: F.aggregate(F.filter("found", lambda x: x["bucket"] == i), F.lit(0).cast("bigint"), lambda t, x: t + x["n"])
+    seen = F.transform(F.sequence(F.lit(0), F.lit(len(b))), lambda i: F.struct(i.alias("bucket"), F.get(le, i).alias("le"), own(i).alias("n"), upto(i).alias("cumulative")))
+    rows = rows.withColumns({"seen": seen, "largest": F.lit(b[-1] if b else None).cast("bigint")})
+    mean = F.when(F.col("all") > 0, F.expr("total div `all`")).otherwise(F.lit(0).cast("bigint"))
+    return rows.select(F.col("all").alias("n"), mean.alias("mean"), *[_quantile(q).alias(name) for name, q in shares.items()])
 
 
 def seconds_label(ns: int) -> str:
-    """A bound in seconds, as the shortest decimal."""
-    return f"{ns / 1e9:.12g}"
+    """A bound in seconds, as the shortest decimal that is that number."""
+    seconds = ns / 1e9
+    text = f"{int(seconds)}" if seconds.is_integer() and abs(seconds) < 1e21 else repr(seconds)
+    return text
+
+
+def rounded(value: float) -> str:
+    """A number with one decimal, for reports."""
+    return f"{value:.1f}"
 
 
 def exposition(name: str, help_: str, hist: DataFrame, total: DataFrame, labels: str = "") -> str:

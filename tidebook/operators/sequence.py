@@ -26,6 +26,25 @@ def running_position(deltas: DataFrame, anchor: Column | None = None, block: int
     return rows.join(before, ["symbol", "_block"]).withColumn("position", position).drop("_block", "_before")
 
 
+def numbered(rows: DataFrame, name: str = "rn", block: int = 1 << 16) -> DataFrame:
+    """rows (symbol, arrival, ..) with the number of each in its symbol, from 1, in order of arrival."""
+    cut = rows.withColumn("_block", F.floor(F.col("arrival") / block))
+    earlier = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("symbol", "_block").agg(F.count("*").alias("_n"))
+    before = sizes.select("symbol", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("symbol", "_block").orderBy("arrival"))
+    return cut.join(before, ["symbol", "_block"]).withColumn(name, (F.col("_before") + inside).cast("bigint")).drop("_block", "_before")
+
+
+def previous(rows: DataFrame, column: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """rows (symbol, arrival, ..) with the value that column, which holds no nulls, has in the row of the symbol before; null in its first."""
+    cut = rows.withColumn("_block", F.floor(F.col("arrival") / block))
+    lasts = cut.groupBy("symbol", "_block").agg(F.max_by(column, "arrival").alias("_last"))
+    before = lasts.select("symbol", "_block", F.lag("_last").over(Window.partitionBy("symbol").orderBy("_block")).alias("_before"))
+    inside = F.lag(column).over(Window.partitionBy("symbol", "_block").orderBy("arrival"))
+    return cut.join(before, ["symbol", "_block"]).withColumn(name, F.coalesce(inside, "_before")).drop("_block", "_before")
+
+
 def classify(deltas: DataFrame, anchor: Column | None = None, block: int = 1 << 16) -> DataFrame:
     """deltas with ``class``: what each update is against the running position, without latching."""
     placed = running_position(deltas, anchor, block)

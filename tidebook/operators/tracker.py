@@ -24,7 +24,10 @@ Levels = list[tuple[int, int]]
 
 EVENT_SCHEMA = "symbol string, arrival bigint, kind string, first_id bigint, last_id bigint, truncated boolean, bids array<struct<price: bigint, qty: bigint>>, asks array<struct<price: bigint, qty: bigint>>"
 OUTPUT_SCHEMA = "symbol string, arrival bigint, status string, live boolean, last_id bigint"
-VIEW_SCHEMA = "symbol string, live boolean, last_id bigint, side string, price bigint, qty bigint"
+VIEW_SCHEMA = "symbol string, live boolean, last_id bigint, bid_floor bigint, ask_ceil bigint, side string, price bigint, qty bigint"
+COUNTER_SCHEMA = "symbol string, live boolean, last_id bigint, held bigint, family string, value bigint"
+#: Counters of a tracker, in the order in which they are shown.
+FAMILIES = ("applied", "discarded", "buffered", "gapped", "dropped", "refetches", "resyncs")
 
 
 def _valid(*sides: Levels) -> bool:
@@ -162,8 +165,8 @@ class Desk:
 class TrackerProcessor(StatefulProcessor):
     """A desk per symbol, kept as one value; rows of a batch are taken in order of arrival."""
 
-    def __init__(self, levels: bool, capacity: int) -> None:
-        self.levels, self.capacity = levels, capacity
+    def __init__(self, shown: str, capacity: int) -> None:
+        self.shown, self.capacity = shown, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("desk", "desk binary")
@@ -173,25 +176,44 @@ class TrackerProcessor(StatefulProcessor):
         tracker = desk.tracker
         for row in sorted(rows, key=lambda r: r["arrival"]):
             for status in desk.handle(row):
-                if not self.levels:
+                if self.shown == "statuses":
                     yield Row(symbol=key[0], arrival=row["arrival"], status=status, live=tracker.live, last_id=tracker.last)
         self.state.update((pickle.dumps(desk),))
-        if self.levels:
+        if self.shown == "levels":
             for side, price, qty in list(tracker.levels()) or [(None, None, None)]:
-                yield Row(symbol=key[0], live=tracker.live, last_id=tracker.last, side=side, price=price, qty=qty)
+                yield Row(symbol=key[0], live=tracker.live, last_id=tracker.last, bid_floor=tracker.bid_floor, ask_ceil=tracker.ask_ceil, side=side, price=price, qty=qty)
+        if self.shown == "counters":
+            for family in FAMILIES:
+                yield Row(symbol=key[0], live=tracker.live, last_id=tracker.last, held=len(tracker.held), family=family, value=tracker.counts[family])
 
     def close(self) -> None:
         """Nothing is held open."""
 
 
+def _run(events: DataFrame, shown: str, schema: str, capacity: int) -> DataFrame:
+    reachable(events.sparkSession)
+    _ = events.sparkSession.streams.active  # starts the coordinator of state stores, which a batch needs too
+    return events.groupBy("symbol").transformWithState(TrackerProcessor(shown, capacity), outputStructType=schema, outputMode="Append" if shown == "statuses" else "Update", timeMode="None")
+
+
 def track(events: DataFrame, levels: bool = False, capacity: int = BUFFER) -> DataFrame:
     """Run a tracker per symbol over events (EVENT_SCHEMA), batch or stream.
 
     Returns a row per status, or with ``levels`` each symbol's book as it
-    stands after the rows at hand; an empty book is a row without a level."""
-    reachable(events.sparkSession)
-    _ = events.sparkSession.streams.active  # starts the coordinator of state stores, which a batch needs too
-    return events.groupBy("symbol").transformWithState(TrackerProcessor(levels, capacity), outputStructType=VIEW_SCHEMA if levels else OUTPUT_SCHEMA, outputMode="Append" if not levels else "Update", timeMode="None")
+    stands after the rows at hand, with the bounds within which a truncated
+    snapshot lets it be known; an empty book is a row without a level."""
+    return _run(events, "levels" if levels else "statuses", VIEW_SCHEMA if levels else OUTPUT_SCHEMA, capacity)
+
+
+def counters(events: DataFrame, capacity: int = BUFFER) -> DataFrame:
+    """A row per symbol and counter of FAMILIES after the rows at hand, with the number of updates that wait for a snapshot."""
+    return _run(events, "counters", COUNTER_SCHEMA, capacity)
+
+
+def positions(levels: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of tracked books (VIEW_SCHEMA) what a comparison with snapshots (symbol, snapshot_id) needs: positions, and the bounds of the books."""
+    at = levels.groupBy("symbol").agg(F.first("live").alias("live"), F.first("last_id").alias("local_id"), F.first("bid_floor").alias("bid_floor"), F.first("ask_ceil").alias("ask_ceil"))
+    return at.join(snapshots, "symbol").select("symbol", "live", "local_id", "snapshot_id"), at.select("symbol", "bid_floor", "ask_ceil")
 
 
 def status_counts(statuses: DataFrame) -> DataFrame:

@@ -6,20 +6,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidebook import tables
 from tidebook.functions import symbols as S
 from tidebook.functions.fixed import format_fixed, notional, parse_fixed
 from tidebook.operators import asof, book, compare, decode, histogram, sequence, tracker
 from tidebook.sources import feed, recording, replay
-from tidebook.streaming import fanout, sinks
+from tidebook.streaming import fanout, recorder, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Arrival at which derived snapshots are taken, levels of a truncated one, and capacity of a derived queue.
-CUT, SHOWN, CAPACITY = 2000, 20, 100
+#: Arrival up to which a book is read back, share of the feed (one in so many) behind which derived snapshots are taken, levels of a truncated one, and capacity of a derived queue.
+CUT, CUT_SHARE, SHOWN, CAPACITY = 2000, 5, 20, 100
 
 
 def registered(f: Query) -> Query:
@@ -106,23 +107,37 @@ def seq_contiguity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(step == 0).alias("exact"), F.count_if(step > 0).alias("holes"), F.count_if(step < 0).alias("overlaps"), F.max(step).alias("widest"))
 
 
-def _snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Snapshot levels at CUT, the anchor of each symbol, and all later and earlier updates."""
-    rows = feed.dense_levels(spark, sf_dir)
-    early = rows.where(F.col("arrival") < CUT)
-    return book.last_writer(early), early.groupBy("symbol").agg(F.max("last_id").alias("anchor")), rows
+def _cut(spark: SparkSession, sf_dir: str) -> int:
+    """The arrival at which derived snapshots are taken: behind a fifth of the feed."""
+    return feed.events(spark, sf_dir).count() // CUT_SHARE
 
 
-def _anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The book after the snapshot and its updates, and the latched updates."""
-    snap, anchors, rows = _snapshot(spark, sf_dir)
-    latched = sequence.latch(sequence.classify(rows.join(anchors, "symbol"), F.col("anchor")))
-    return book.after_snapshot(snap, rows, latched), latched
+def _latched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense feed with anchor (the last id of each symbol's snapshot), early (the rows the snapshot holds) and class, written once."""
+    rows = tables.written(feed.dense_levels(spark, sf_dir).withColumn("early", F.col("arrival") < _cut(spark, sf_dir)), "feed")
+    anchors = rows.where("early").groupBy("symbol").agg(F.max("last_id").alias("anchor"))
+    classified = tables.written(sequence.classify(rows.join(anchors, "symbol"), F.col("anchor")), "classified")
+    return sequence.latch(classified)
+
+
+def _books(latched: DataFrame) -> DataFrame:
+    return book.snapshot_and_book(latched, F.col("early"))
+
+
+def _book(both: DataFrame, side: str) -> DataFrame:
+    """One of paired books."""
+    return both.where(F.col(side) != 0).select("symbol", "side", "price", F.col(side).alias("qty"))
+
+
+def _positions(latched: DataFrame) -> DataFrame:
+    """Whether each symbol's book is live, and its position, once the feed has ended."""
+    at = latched.groupBy("symbol").agg((F.count_if(F.col("class") == "gapped") == 0).alias("live"), F.max(F.when(F.col("class") == "contiguous", F.col("last_id"))).alias("_last"), F.max("anchor").alias("snapshot_id"))
+    return at.select("symbol", "live", F.coalesce("_last", "snapshot_id").alias("local_id"), "snapshot_id")
 
 
 @registered
 def book_after_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anchored(spark, sf_dir)[0]
+    return _book(_books(_latched(spark, sf_dir)), "local")
 
 
 def _truncated(snap: DataFrame) -> DataFrame:
@@ -131,12 +146,13 @@ def _truncated(snap: DataFrame) -> DataFrame:
 
 @registered
 def snapshot_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.bounds(_truncated(_snapshot(spark, sf_dir)[0]))
+    early = feed.dense_levels(spark, sf_dir).where(F.col("arrival") < _cut(spark, sf_dir))
+    return book.bounds(_truncated(book.last_writer(early)))
 
 
 @registered
 def snapshot_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.duplicate_prices(feed.levels(spark, sf_dir).where(F.col("arrival") < CUT))
+    return book.duplicate_prices(feed.levels(spark, sf_dir).where(F.col("arrival") < _cut(spark, sf_dir)))
 
 
 @registered
@@ -147,32 +163,29 @@ def level_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def compare_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.differences(_anchored(spark, sf_dir)[0], _snapshot(spark, sf_dir)[0])
+    return compare.differing(_books(_latched(spark, sf_dir)))
 
 
 @registered
 def compare_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    remote = _truncated(_snapshot(spark, sf_dir)[0])
-    return compare.describe(compare.differences(_anchored(spark, sf_dir)[0], remote, None, book.bounds(remote, zero_filtered=True)))
+    both = tables.written(_books(_latched(spark, sf_dir)), "books")
+    remote = _truncated(_book(both, "remote"))
+    return compare.describe(compare.differences(_book(both, "local"), remote, None, book.bounds(remote, zero_filtered=True)))
 
 
 @registered
 def check_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A book at each symbol's first gap against the snapshot: skipped where it gapped, else by ids and levels."""
-    snap, anchors, _ = _snapshot(spark, sf_dir)
-    local, latched = _anchored(spark, sf_dir)
-    at = latched.groupBy("symbol").agg((F.count_if(F.col("class") == "gapped") == 0).alias("live"), F.max(F.when(F.col("class") == "contiguous", F.col("last_id"))).alias("_last"), F.max("anchor").alias("snapshot_id"))
-    positions = at.select("symbol", "live", F.coalesce("_last", "snapshot_id").alias("local_id"), "snapshot_id")
-    return compare.summary(local, snap, positions).select("symbol", "live", "local_id", "snapshot_id", "compared", "diffs", "id_skew", "verdict")
+    latched = _latched(spark, sf_dir)
+    return compare.verdicts(_books(latched), _positions(latched)).select("symbol", "live", "local_id", "snapshot_id", "compared", "diffs", "id_skew", "verdict")
 
 
 def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nanoseconds between events of a symbol; the 13th of every hundred runs backwards."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    from pyspark.sql import Window
-
     rows = feed.events(spark, sf_dir).select((F.col("user_id") % 8).alias("symbol"), F.col("event_id").alias("arrival"), us.alias("us"))
-    gap = (F.col("us") - F.lag("us").over(Window.partitionBy("symbol").orderBy("arrival"))) * 1000
+    rows = sequence.previous(rows, "us", "before")
+    gap = (F.col("us") - F.col("before")) * 1000
     return rows.withColumn("ns", F.when(F.col("arrival") % 100 == 13, -gap).otherwise(gap) % 12_000_000_000).where("ns IS NOT NULL").select("symbol", "arrival", "ns")
 
 
@@ -189,8 +202,9 @@ def hist_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def hist_quantile_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = histogram.buckets(_gaps(spark, sf_dir), "ns", histogram.RESYNC, ["symbol"])
-    out = [histogram.quantile(hist, q, ["symbol"]).select("symbol", F.lit(name).alias("q"), "value") for name, q in (("p00", 0.0), ("p50", 0.5), ("p75", 0.75), ("p100", 1.0))]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    shares = {"p00": 0.0, "p50": 0.5, "p75": 0.75, "p100": 1.0}
+    found = histogram.quantiles(hist, shares, ["symbol"])
+    return found.select("symbol", F.inline(F.array(*[F.struct(F.lit(q).alias("q"), F.col(q).alias("value")) for q in shares])))
 
 
 @registered
@@ -360,6 +374,13 @@ def drop_oldest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fanout.dropped(feed.levels(spark, sf_dir), CAPACITY, ("symbol",))
 
 
+@registered
+def drop_newest_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of 1,000 frames against a recorder's queue: what is recorded, and markers of what is lost."""
+    rows = feed.levels(spark, sf_dir).select("arrival", (F.col("arrival") * 10).alias("received_at"), F.expr("arrival div 1000").alias("burst"), "price")
+    return recorder.keep_oldest(rows, CAPACITY, "burst").select("burst", "arrival", "received_at", "price", "dropped")
+
+
 @registered
 def snapshot_serve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _longs(replay.serve_order(feed.levels(spark, sf_dir).select("symbol", "arrival")), "serve")
@@ -367,11 +388,12 @@ def snapshot_serve_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tracker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot at CUT ahead of all updates, as rows for the tracker."""
-    snap, anchors, rows = _snapshot(spark, sf_dir)
+    rows = _latched(spark, sf_dir)
     level = F.struct(F.col("price"), F.col("qty"))
     none = "CAST(array() AS array<struct<price: bigint, qty: bigint>>)"
     side = lambda s: F.collect_list(F.when(F.col("side") == s, level))
-    first = snap.groupBy("symbol").agg(side("B").alias("bids"), side("A").alias("asks")).join(anchors, "symbol")
+    anchors = rows.groupBy("symbol").agg(F.max("anchor").alias("anchor"))
+    first = _book(_books(rows), "remote").groupBy("symbol").agg(side("B").alias("bids"), side("A").alias("asks")).join(anchors, "symbol")
     text = F.col("symbol").cast("string").alias("symbol")
     snapshot = first.select(text, F.lit(-1).cast("bigint").alias("arrival"), F.lit("snapshot").alias("kind"), F.lit(None).cast("bigint").alias("first_id"), F.col("anchor").alias("last_id"), F.lit(False).alias("truncated"), "bids", "asks")
     one = F.array(level).cast("array<struct<price: bigint, qty: bigint>>")
@@ -392,13 +414,43 @@ def tracker_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracker.track(_tracker_rows(spark, sf_dir), levels=True, capacity=1 << 30).where("side IS NOT NULL").select("symbol", "side", "price", "qty")
 
 
+def _lossy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = tables.written(feed.lossy_rows(spark, sf_dir), "lossy")
+    return rows, tables.written(feed.lossy_events(rows), "lossy-events")
+
+
+@registered
+def tracker_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of the tracker over a feed with holes: gaps, snapshots too old to be of use, resyncs, and a buffer of the usual size that runs over."""
+    return tracker.status_counts(tracker.track(_lossy(spark, sf_dir)[1]))
+
+
+@registered
+def tracker_resync_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracker.track(_lossy(spark, sf_dir)[1], levels=True).where("side IS NOT NULL").select("symbol", "side", "price", "qty")
+
+
+@registered
+def tracker_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracker.counters(_lossy(spark, sf_dir)[1])
+
+
+@registered
+def tracker_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked books against snapshots of all that was sent, within the bounds of both."""
+    rows, events = _lossy(spark, sf_dir)
+    levels = tables.written(tracker.track(events, levels=True), "tracked")
+    at, bounds = tracker.positions(levels, rows.groupBy("symbol").agg(F.max("last_id").alias("snapshot_id")))
+    local = levels.where("side IS NOT NULL").select("symbol", "side", "price", "qty")
+    return compare.summary(local, book.last_writer(rows.where("fresh")), at, bounds).select("symbol", "live", "local_id", "snapshot_id", "compared", "diffs", "id_skew", "verdict")
+
+
 @registered
 def replay_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the dump of the anchored books, numbered within their symbol."""
-    from pyspark.sql import Window
-
-    local, latched = _anchored(spark, sf_dir)
-    at = latched.groupBy("symbol").agg((F.count_if(F.col("class") == "gapped") == 0).alias("live"), F.greatest(F.max("anchor"), F.max(F.when(F.col("class") == "contiguous", F.col("last_id")))).alias("last_id"))
+    latched = _latched(spark, sf_dir)
+    local = _book(tables.written(_books(latched), "books"), "local")
+    at = _positions(latched).withColumnRenamed("local_id", "last_id")
     lines = sinks.dump_lines(book.view(local, at), local)
     return lines.select("symbol", F.row_number().over(Window.partitionBy("symbol").orderBy("section", "at")).cast("bigint").alias("number"), "line")
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tidebook.operators.histogram import DECODE, RESYNC, TICK_TO_BOOK
-from tidebook.plans.catalogue import CAPACITY, CUT, SHOWN
+from tidebook.operators.tracker import BUFFER
+from tidebook.plans.catalogue import CAPACITY, CUT, CUT_SHARE, SHOWN
+from tidebook.sources.feed import LATE, TAKEN
 
 _LEVELS = """lv AS (SELECT user_id % 8 AS symbol, event_id AS arrival, CASE WHEN event_type IN ('view', 'click') THEN 'B' ELSE 'A' END AS side,
     CAST(round(value * 100) AS BIGINT) % 97 + 1 AS price, CASE WHEN event_type = 'error' THEN 0 ELSE user_id + 1 END AS qty,
@@ -22,8 +24,9 @@ la AS (SELECT cl.*, CASE WHEN gap_at IS NULL OR arrival <= gap_at THEN raw ELSE
 
 
 _LATCHED = f"{_DENSE}, {_classes('dn', 'CAST(0 AS BIGINT)')}"
-_SNAP = f"""{_DENSE}, sn AS (SELECT * FROM (SELECT symbol, side, price, arg_max(qty, arrival) AS qty FROM dn WHERE arrival < {CUT} GROUP BY ALL) WHERE qty <> 0),
-an AS (SELECT symbol, max(last_id) AS anchor FROM dn WHERE arrival < {CUT} GROUP BY symbol),
+_CUT = f"(SELECT count(*) // {CUT_SHARE} FROM events)"
+_SNAP = f"""{_DENSE}, sn AS (SELECT * FROM (SELECT symbol, side, price, arg_max(qty, arrival) AS qty FROM dn WHERE arrival < {_CUT} GROUP BY ALL) WHERE qty <> 0),
+an AS (SELECT symbol, max(last_id) AS anchor FROM dn WHERE arrival < {_CUT} GROUP BY symbol),
 da AS (SELECT dn.*, anchor FROM dn JOIN an USING (symbol)), {_classes('da', 'anchor')},
 ab AS (SELECT * FROM (SELECT symbol, side, price, arg_max(qty, arrival) AS qty FROM (
     SELECT symbol, side, price, qty, -1 AS arrival FROM sn UNION ALL SELECT symbol, side, price, qty, arrival FROM la WHERE class = 'contiguous') GROUP BY ALL) WHERE qty <> 0)"""
@@ -36,6 +39,18 @@ _AT = "ps AS (SELECT symbol, count(*) FILTER (class = 'gapped') = 0 AS live, coa
 _GAPS = """ga AS (SELECT * FROM (SELECT symbol, arrival, CASE WHEN arrival % 100 = 13 THEN -gap ELSE gap END % 12000000000 AS ns FROM (
     SELECT user_id % 8 AS symbol, event_id AS arrival, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id % 8 ORDER BY event_id)) * 1000 AS gap FROM events)) WHERE ns IS NOT NULL)"""
 
+_LOSSY = f"""{_LEVELS}, lr AS (SELECT CASE WHEN symbol < 6 THEN 0 ELSE symbol END AS k, arrival, side, price + CASE WHEN side = 'A' THEN 100 ELSE 0 END AS price, qty, user_id FROM lv),
+ln AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY arrival) AS rn FROM lr),
+ll AS (SELECT *, 2 * rn + CASE WHEN user_id % 5 = 0 THEN 5 ELSE 0 END AS last_id, rn % 400 < 390 AS kept, max(rn) OVER (PARTITION BY k) AS total FROM ln),
+lp AS (SELECT *, coalesce(max(last_id) OVER (PARTITION BY k ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position, k = 0 AND total < {LATE} AS dead FROM ll),
+lk AS (SELECT k, CASE WHEN k = 0 AND rn <= {LATE} THEN 'buffered' WHEN rn % 400 = 0 THEN 'gapped' WHEN last_id <= position THEN 'discarded' ELSE 'applied' END AS status FROM lp WHERE kept),
+lh AS (SELECT k, any_value(dead) AS dead, count(*) FILTER (rn % 400 = 399 AND (k <> 0 OR rn > {TAKEN})) AS useful, count(*) FILTER (rn % 400 = 399 AND (k <> 0 OR rn > {LATE})) AS useless,
+    count(*) FILTER (rn % 400 = 0 AND (k <> 0 OR rn > {LATE})) AS met, max(rn) FILTER (kept) AS seen, max(last_id) AS sent FROM lp GROUP BY k),
+lc AS (SELECT k, status, count(*) AS n FROM lk GROUP BY ALL
+    UNION ALL SELECT k, 'snapshot', 1 + useful + useless FROM lh WHERE NOT dead UNION ALL SELECT k, 'refetch', met + useful - useless FROM lh WHERE NOT dead UNION ALL SELECT k, 'anchored', 1 + met FROM lh WHERE NOT dead),
+lb AS (SELECT * FROM (SELECT k, side, price, arg_max(qty, rn) AS qty FROM lp JOIN lh USING (k) WHERE rn <= seen AND NOT lh.dead AND last_id > position GROUP BY ALL) WHERE qty <> 0),
+lw AS (SELECT k, max(CASE WHEN rn <= seen AND NOT lh.dead THEN last_id ELSE 0 END) AS local_id FROM lp JOIN lh USING (k) GROUP BY k)"""
+
 
 def _histogram(values: str, bounds: tuple[int, ...], keys: str) -> str:
     rows = ", ".join(f"({i}, {b})" for i, b in enumerate(bounds)) + f", ({len(bounds)}, NULL)"
@@ -75,7 +90,7 @@ ORACLES: dict[str, str] = {
     "seq_contiguity_audit": f"WITH {_LATCHED} SELECT symbol, count(*) AS n, count(*) FILTER (first_id = position + 1) AS exact, count(*) FILTER (first_id > position + 1) AS holes, count(*) FILTER (first_id < position + 1) AS overlaps, max(first_id - position - 1) AS widest FROM cl GROUP BY symbol",
     "book_after_snapshot": f"WITH {_SNAP} SELECT * FROM ab",
     "snapshot_bounds": f"WITH {_SNAP}, {_TOP} SELECT symbol, min(CASE WHEN side = 'B' THEN price END) AS bid_floor, max(CASE WHEN side = 'A' THEN price END) AS ask_ceil FROM tp GROUP BY symbol",
-    "snapshot_duplicates": f"WITH {_LEVELS} SELECT symbol, side, price, count(*) AS copies FROM lv WHERE arrival < {CUT} AND qty <> 0 GROUP BY ALL HAVING count(*) > 1",
+    "snapshot_duplicates": f"WITH {_LEVELS} SELECT symbol, side, price, count(*) AS copies FROM lv WHERE arrival < {_CUT} AND qty <> 0 GROUP BY ALL HAVING count(*) > 1",
     "level_validate": f"WITH {_LEVELS} SELECT arrival, price - 3 <= 0 OR qty - 2 < 0 AS invalid FROM lv",
     "compare_full": f"WITH {_SNAP} SELECT * FROM (SELECT symbol, side, price, coalesce(ab.qty, 0) AS local, coalesce(sn.qty, 0) AS remote FROM ab FULL JOIN sn USING (symbol, side, price)) WHERE local <> remote",
     "compare_bounded": f"""WITH {_SNAP}, {_TOP}, bo AS (SELECT symbol, min(CASE WHEN side = 'B' THEN price END) AS f, max(CASE WHEN side = 'A' THEN price END) AS c FROM tp GROUP BY symbol),
@@ -151,9 +166,21 @@ ORACLES: dict[str, str] = {
     "hourly_rotation": "SELECT strftime(make_timestamp(epoch_us(ts) + 5), '%Y-%m-%dT%H') AS hour, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1",
     "drop_oldest_burst": f"WITH {_LEVELS} SELECT symbol, arrival FROM lv QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY arrival DESC) <= {CAPACITY}",
     "drop_oldest_counts": f"WITH {_LEVELS} SELECT symbol, least(count(*), {CAPACITY}) AS kept, greatest(count(*) - {CAPACITY}, 0) AS dropped FROM lv GROUP BY symbol",
+    "drop_newest_markers": f"""WITH {_LEVELS}, b AS (SELECT arrival, arrival // 1000 AS burst, price, row_number() OVER (PARTITION BY arrival // 1000 ORDER BY arrival) AS r, count(*) OVER (PARTITION BY arrival // 1000) AS n FROM lv)
+        SELECT burst, arrival, arrival * 10 AS received_at, CASE WHEN r <= {CAPACITY} THEN price END AS price, CASE WHEN r > {CAPACITY} THEN n - {CAPACITY} END AS dropped FROM b WHERE r <= {CAPACITY + 1}""",
     "snapshot_serve_order": f"WITH {_LEVELS} SELECT symbol, arrival, row_number() OVER (PARTITION BY symbol ORDER BY arrival) AS serve FROM lv",
     "tracker_status_counts": f"WITH {_SNAP} SELECT CAST(symbol AS VARCHAR) AS symbol, CASE class WHEN 'contiguous' THEN 'applied' WHEN 'stale' THEN 'discarded' ELSE class END AS status, count(*) AS n FROM la GROUP BY ALL",
     "tracker_book": f"WITH {_SNAP} SELECT CAST(symbol AS VARCHAR) AS symbol, side, price, qty FROM ab",
+    "tracker_resync": f"WITH {_LOSSY} SELECT concat('S', k, '-USDT') AS symbol, status, CAST(n AS BIGINT) AS n FROM lc WHERE n > 0",
+    "tracker_resync_book": f"WITH {_LOSSY} SELECT concat('S', k, '-USDT') AS symbol, side, price, qty FROM lb",
+    "tracker_counters": f"""WITH {_LOSSY}, fa(family, status) AS (VALUES ('applied', 'applied'), ('discarded', 'discarded'), ('buffered', 'buffered'), ('gapped', 'gapped'), ('refetches', 'refetch'), ('resyncs', 'anchored')),
+        bu AS (SELECT lh.k, coalesce(n, 0) AS n FROM lh LEFT JOIN lc ON lh.k = lc.k AND lc.status = 'buffered'),
+        va AS (SELECT lh.k, family, coalesce(n, 0) AS value FROM lh CROSS JOIN fa LEFT JOIN lc ON lh.k = lc.k AND lc.status = fa.status UNION ALL SELECT k, 'dropped', greatest(n - {BUFFER}, 0) FROM bu)
+        SELECT concat('S', k, '-USDT') AS symbol, NOT dead AS live, local_id AS last_id, CAST(CASE WHEN dead THEN least(bu.n, {BUFFER}) ELSE 0 END AS BIGINT) AS held, family, CAST(value AS BIGINT) AS value FROM va JOIN lh USING (k) JOIN lw USING (k) JOIN bu USING (k)""",
+    "tracker_check": f"""WITH {_LOSSY}, al AS (SELECT * FROM (SELECT k, side, price, arg_max(qty, rn) AS qty FROM lp WHERE last_id > position GROUP BY ALL) WHERE qty <> 0),
+        fu AS (SELECT k, count(*) AS compared, count(*) FILTER (coalesce(lb.qty, 0) <> coalesce(al.qty, 0)) AS diffs FROM lb FULL JOIN al USING (k, side, price) GROUP BY k)
+        SELECT concat('S', k, '-USDT') AS symbol, NOT dead AS live, local_id, sent AS snapshot_id, coalesce(compared, 0) AS compared, coalesce(diffs, 0) AS diffs, sent - local_id AS id_skew,
+        CASE WHEN dead THEN 'skipped' WHEN coalesce(diffs, 0) = 0 THEN 'ok' WHEN sent <> local_id THEN 'skewed' ELSE 'diverged' END AS verdict FROM lh JOIN lw USING (k) LEFT JOIN fu USING (k)""",
     "replay_dump": f"""WITH {_SNAP}, ps AS (SELECT symbol, count(*) FILTER (class = 'gapped') = 0 AS live, greatest(max(anchor), max(last_id) FILTER (class = 'contiguous')) AS last_id FROM la GROUP BY symbol),
         vw AS (SELECT symbol, {_COUNTS}, {_CROSSED} FROM ab GROUP BY symbol),
         li AS (SELECT symbol, 0 AS section, 0 AS spot, concat('symbol ', symbol, ' live=', live, ' last_id=', last_id, ' crossed=', coalesce(crossed, false), ' bids=', coalesce(bids, 0), ' asks=', coalesce(asks, 0)) AS line FROM ps LEFT JOIN vw USING (symbol)

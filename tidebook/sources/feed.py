@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators.sequence import numbered, running_position
+
 #: Fixed instruments of the derived feed.
 INSTRUMENTS = [(f"S{k}USDT", f"S{k}-USDT", 2, 0) for k in range(8)]
 
@@ -38,8 +40,7 @@ def levels(spark: SparkSession, sf_dir: str, uncrossed: bool = False) -> DataFra
 
 def dense_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same levels with ids that run on per symbol, overlaps, and a hole of ten updates in every 400."""
-    rn = F.row_number().over(Window.partitionBy("symbol").orderBy("arrival"))
-    rows = levels(spark, sf_dir, uncrossed=True).withColumn("rn", rn.cast("bigint")).where("rn % 400 < 390")
+    rows = numbered(levels(spark, sf_dir, uncrossed=True)).where("rn % 400 < 390")
     last = 2 * F.col("rn") + F.when(F.col("user_id") % 5 == 0, 5).otherwise(0)
     return rows.withColumns({"first_id": 2 * F.col("rn") - 1, "last_id": last}).drop("rn")
 
@@ -61,6 +62,55 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("arrival", (F.col("us") * 1000 + 5000).alias("received_at"), data.alias("data"))
 
 
+#: Rows of the busy symbol before its first snapshot comes, and rows that this one holds.
+LATE, TAKEN = 2600, 1000
+
+
+def lossy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense levels before any is lost, three quarters of them of one symbol; kept: whether the update arrives; fresh: whether it is not stale. At ``arrival`` * 64 there is room for snapshots."""
+    rows = levels(spark, sf_dir, uncrossed=True).withColumn("symbol", F.when(F.col("symbol") < 6, 0).otherwise(F.col("symbol")))
+    rows = numbered(rows)
+    last = 2 * F.col("rn") + F.when(F.col("user_id") % 5 == 0, 5).otherwise(0)
+    rows = running_position(rows.withColumns({"symbol": F.format_string("S%d-USDT", "symbol"), "arrival": F.col("arrival") * 64, "first_id": 2 * F.col("rn") - 1, "last_id": last, "kept": F.col("rn") % 400 < 390}))
+    return rows.withColumn("fresh", F.col("last_id") > F.col("position"))
+
+
+def lossy_events(rows: DataFrame) -> DataFrame:
+    """Rows for a tracker over lossy_rows: the updates that arrive, and snapshots.
+
+    At the end of each hole of lost updates one snapshot is recorded that ends
+    before it and is of no use, and one that covers it.  The busy symbol's first
+    snapshot comes after LATE rows, when its buffer has run over, holds TAKEN
+    rows, and is followed at once by those of the holes up to then.  The others
+    begin with an empty snapshot."""
+    none = F.expr("CAST(array() AS array<struct<price: bigint, qty: bigint>>)")
+    level = F.array(F.struct("price", "qty")).cast("array<struct<price: bigint, qty: bigint>>")
+    bid = F.col("side") == "B"
+    unset = F.lit(None).cast("bigint")
+    deltas = rows.where("kept").select("symbol", "arrival", F.lit("delta").alias("kind"), "first_id", "last_id", F.lit(False).alias("truncated"), F.when(bid, level).otherwise(none).alias("bids"), F.when(bid, none).otherwise(level).alias("asks"))
+    busy = F.col("symbol") == "S0-USDT"
+    late = rows.where(busy & (F.col("rn") == LATE)).select("symbol", F.col("arrival").alias("late_at"))
+    ends = rows.where("rn % 400 = 399").select("symbol", "rn", "arrival").join(late, "symbol", "left")
+    early = busy & (F.col("rn") <= LATE)
+    useful = ends.where(~(busy & (F.col("rn") <= TAKEN))).select("symbol", F.col("rn").alias("upto"), F.when(early, F.col("late_at") + 2 + F.expr("rn div 400")).otherwise(F.col("arrival") + 1).alias("arrival"))
+    useless = ends.where(~early).select("symbol", (F.col("rn") - 99).alias("upto"), "arrival")
+    first = late.select("symbol", F.lit(TAKEN).cast("bigint").alias("upto"), (F.col("late_at") + 1).alias("arrival"))
+    empty = rows.where(~busy).select("symbol").distinct().select("symbol", F.lit(0).cast("bigint").alias("upto"), F.lit(-1).cast("bigint").alias("arrival"))
+    taken = useful.unionByName(useless).unionByName(first).unionByName(empty).where("arrival IS NOT NULL")
+    # A level stands from its writing to the next of its price; snapshots are taken at some of the rows in between.
+    after = F.lead("rn").over(Window.partitionBy("symbol", "side", "price").orderBy("rn"))
+    total = rows.groupBy("symbol").agg(F.max("rn").alias("total"))
+    spans = rows.where("fresh").select("symbol", "side", "price", "qty", "rn", after.alias("after")).join(total, "symbol").withColumn("until", F.coalesce(F.col("after") - 1, "total"))
+    spans = spans.withColumn("hundred", F.explode(F.expr("sequence(rn div 100, until div 100)")))
+    held = taken.withColumn("hundred", F.expr("upto div 100")).join(spans, ["symbol", "hundred"]).where("rn <= upto AND upto <= until AND qty <> 0")
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("price", "qty")))
+    books = held.groupBy("symbol", "upto").agg(side("B").alias("bids"), side("A").alias("asks"))
+    tops = rows.select("symbol", F.col("rn").alias("upto"), F.greatest("position", "last_id").alias("last_id"))
+    snaps = taken.join(books, ["symbol", "upto"], "left").join(tops, ["symbol", "upto"], "left")
+    snapshots = snaps.select("symbol", "arrival", F.lit("snapshot").alias("kind"), unset.alias("first_id"), F.coalesce("last_id", F.lit(0).cast("bigint")).alias("last_id"), F.lit(False).alias("truncated"), F.coalesce("bids", none).alias("bids"), F.coalesce("asks", none).alias("asks"))
+    return deltas.unionByName(snapshots)
+
+
 #: Damage done to derived trades, updates and snapshot bodies, by the number of a row: what is replaced, and by what.
 TRADE_DAMAGE = (
     ("}", "}"), ('"m":true', '"m":"true"'), ('"m":true', '"m":null'), (',"m":true', ""), ('"E":', '"E":1.5,"f":'), ('"E":', '"E":"x","f":'), ('"E":', '"f":'), ('"p":"', '"p":7,"f":"'),
