@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidebook.operators.decode import decode, event_of, parse_depth, parse_instruments
 from tidebook.operators.tracker import track
 from tidebook.sources import recording, replay, transport
-from tidebook.streaming import fanout, sinks
+from tidebook.streaming import fanout, recorder, sinks
 
 #: name, base, quote, status, tick, step.
 LISTED = [("OAKELM", "OAK", "ELM", "TRADING", "0.0500", "0.002"), ("FIRASH", "FIR", "ASH", "TRADING", "0.5", "10"), ("YEWELM", "YEW", "ELM", "HALT", "1", "1")]
@@ -177,6 +178,56 @@ def test_transport_seams():
     assert str(e.value).count("x") == 512
 
 
+def test_connection_waits_and_begins_anew():
+    waits, shown = [], []
+    stages = iter([[b"a", b"b"], OSError("refused"), [], [b"c", b'{"e":"serverShutdown"}', b"never"], [b"d"], OSError("gone")])
+    left = [9]
+
+    def dial():
+        found = next(stages, None)
+        if found is None:
+            left[0] = 0
+            return []
+        if isinstance(found, OSError):
+            raise found
+        return found
+
+    wait = transport.Backoff(chance=lambda: 0.0)
+    link = transport.Connection(dial, clock=lambda: 7, sleep=waits.append, stopped=lambda: left[0] == 0, backoff=wait)
+    shown = list(link.frames())
+    assert shown == [(7, b"a"), (7, b"b"), (7, b"c"), (7, b"d")]
+    assert waits == [0.5, 1.0, 2.0, 0.5, 1.0] and link.reconnects == 6
+
+
+def test_recorder_never_waits_and_marks_what_it_lost(spark, tmp_path):
+    rec = recorder.Recorder(str(tmp_path), META, capacity=3)
+    taken = [rec.offer("frame", HOUR + k, str(k).encode()) for k in range(7)]
+    assert taken == [True] * 3 + [False] * 4 and rec.dropped == 4
+    rec.start()
+    while rec.written < 3:
+        time.sleep(0.01)
+    fetch = rec.tee(lambda symbol: (5, [(1, 2)], [], False), lambda: HOUR + 3_600_000_000_000)
+    assert fetch("OAK-ELM") == (5, [(1, 2)], [], False)
+    rec.close()
+    rec.close()
+    assert not rec.offer("frame", HOUR, b"")
+    rows = recording.read(spark, str(tmp_path)).orderBy("file_no", "idx").collect()
+    assert [(r["kind"], r["dropped"]) for r in rows] == [("metadata", None), ("drop", 4), *[("frame", None)] * 3, ("metadata", None), ("snapshot", None)]
+    for bad in (("", 1), (META, 0)):
+        with pytest.raises(ValueError, match="metadata|capacity"):
+            recorder.Recorder(str(tmp_path), *bad)
+
+
+def test_an_hour_in_parts_is_read_in_order(spark, tmp_path):
+    rows = [("frame", HOUR + k * 100_000_000_000, bytearray(str(k).encode())) for k in range(70)]
+    records = spark.createDataFrame(rows, "kind string, received_at bigint, payload binary").repartition(3)
+    recording.record(records, f"file://{tmp_path}", META, parts=4)
+    names = sorted(p.name for p in tmp_path.glob("*.msr.zst"))
+    assert len(names) == 8 and len({n[:13] for n in names}) == 2
+    got = recording.read(spark, str(tmp_path), kind="frame").orderBy("file_no", "idx").collect()
+    assert [r["received_at"] for r in got] == [r[1] for r in rows]
+
+
 def test_publisher_drops_the_oldest(spark, tmp_path):
     spark.range(5).selectExpr("id AS arrival").coalesce(1).write.parquet(str(tmp_path / "in"))
     events = spark.readStream.schema("arrival bigint").parquet(str(tmp_path / "in"))

@@ -7,7 +7,7 @@ and payload, little-endian.  Files are read one per partition.
 from __future__ import annotations
 
 import datetime as dt
-import glob
+import fnmatch
 import io
 import json
 import os
@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import zstandard
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -29,6 +30,7 @@ MAGIC, VERSION = b"MSREC\0", 1
 HEAD, RECORD = struct.Struct("<6sH"), struct.Struct("<BqI")
 KINDS = {1: "frame", 2: "snapshot", 3: "metadata", 4: "drop"}
 LONGEST = 16 << 20
+_HOUR = 3_600_000_000_000
 SUFFIX = ".msr.zst"
 
 SCHEMA = "file string, file_no bigint, idx bigint, kind string, received_at bigint, payload binary, dropped bigint"
@@ -38,19 +40,51 @@ class CorruptRecording(ValueError):
     """The file is not a recording, or ends or goes wrong inside a record."""
 
 
+class FileWriter:
+    """One file, written as records come: one thread and one stream, so equal records give equal bytes."""
+
+    def __init__(self, out: io.RawIOBase, level: int = 3) -> None:
+        self.numbers = {name: number for number, name in KINDS.items()}
+        self.out = zstandard.ZstdCompressor(level=level).stream_writer(out, closefd=True)
+        self.out.write(HEAD.pack(MAGIC, VERSION))
+
+    def write(self, kind: str, received_at: int, payload: bytes) -> None:
+        if len(payload) > LONGEST:
+            raise ValueError(f"a record of {len(payload)} bytes is too long")
+        self.out.write(RECORD.pack(self.numbers[kind], received_at, len(payload)) + payload)
+
+    def close(self) -> None:
+        self.out.close()
+
+
 def encode(records: Iterable[tuple[str, int, bytes]], level: int = 3) -> bytes:
-    """A whole file; one thread and one stream, so equal records give equal bytes."""
-    numbers = {name: number for number, name in KINDS.items()}
+    """A whole file in memory."""
     out = io.BytesIO()
-    with zstandard.ZstdCompressor(level=level).stream_writer(out, closefd=False) as z:
-        z.write(HEAD.pack(MAGIC, VERSION))
-        for kind, received_at, payload in records:
-            if len(payload) > LONGEST:
-                raise ValueError(f"a record of {len(payload)} bytes is too long")
-            z.write(RECORD.pack(numbers[kind], received_at, len(payload)) + payload)
+    out.close = lambda: None  # its bytes are wanted
+    writer = FileWriter(out, level)
+    for record in records:
+        writer.write(*record)
+    writer.close()
     return out.getvalue()
 
 
+def drop_marker(n: int) -> bytes:
+    """The payload that says how many records were lost."""
+    return struct.pack("<Q", n)
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def hour_name(received_at: int) -> str:
+    """The name of the hourly file that a record belongs to, in UTC."""
+    return dt.datetime.fromtimestamp(received_at // 1_000_000_000, dt.timezone.utc).strftime("%Y-%m-%dT%H")
+
+
 def decode(stream: io.BufferedIOBase) -> Iterator[tuple[str, int, bytes]]:
     """Records up to the end, which must lie between two of them."""
     reader = zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True)
@@ -97,12 +131,19 @@ class RecordingReader(DataSourceReader):
         self.path, self.mode, self.kind = options["path"], options.get("mode", "FAILFAST").upper(), options.get("kind")
 
     def partitions(self) -> list[InputPartition]:
-        at = self.path.removeprefix("file://")
-        found = sorted(glob.glob(os.path.join(at, f"*{SUFFIX}"))) if os.path.isdir(at) else sorted(glob.glob(at))
-        return [_File(p, k) for k, p in enumerate(found)]
+        files, at = filesystem(self.path)
+        found = files.get_file_info(at) if not any(c in at for c in "*?[") else None
+        if found is not None and found.type == fs.FileType.File:
+            names = [at]
+        else:
+            folder, pattern = (at, f"*{SUFFIX}") if found is not None else (os.path.dirname(at), os.path.basename(at))
+            listed = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            matching = (f.path for f in listed if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, pattern) and not f.base_name.startswith("."))
+            names = sorted(matching, key=lambda name: name.removesuffix(SUFFIX))  # an hour's first file has no number
+        return [_File(p, k) for k, p in enumerate(names)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        with filesystem(self.path)[0].open_input_stream(partition.path, compression=None) as f:
             rows = decode(f)
             idx = 0
             while True:
@@ -121,40 +162,51 @@ class RecordingReader(DataSourceReader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    paths: list[str]
+    """The files of a task: hour, receive time of the first record, path."""
+
+    files: list[tuple[str, int, str]]
 
 
 class RecordingWriter(DataSourceWriter):
-    """A file per task and UTC hour, of rows (kind, received_at, payload) in the order they come; metadata, where given, leads every file."""
+    """A file per task and UTC hour, of rows (kind, received_at, payload) in the order they come; metadata, where given, leads every file.
+
+    Records are written as they come, on any file system that pyarrow knows.
+    Files get their names once all tasks are done: those of an hour are
+    numbered by the receive time of their first record."""
 
     def __init__(self, options: dict) -> None:
-        self.folder, self.metadata = options["path"].removeprefix("file://"), options.get("metadata")
+        self.folder, self.metadata, self.parts = options["path"], options.get("metadata"), int(options.get("parts", 1))
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        hours: dict[str, list] = {}
+        files, folder = filesystem(self.folder)
+        files.create_dir(folder, recursive=True)
+        open_: dict[tuple[str, int], FileWriter] = {}
+        written = []
         for r in rows:
-            hour = dt.datetime.fromtimestamp(r["received_at"] // 1_000_000_000, dt.timezone.utc).strftime("%Y-%m-%dT%H")
-            hours.setdefault(hour, []).append((r["kind"], r["received_at"], bytes(r["payload"])))
-        os.makedirs(self.folder, exist_ok=True)
-        paths = []
-        for hour, records in hours.items():
-            lead = [("metadata", records[0][1], self.metadata.encode())] if self.metadata else []
-            path = os.path.join(self.folder, f".{hour}-{uuid.uuid4().hex}{SUFFIX}")
-            with open(path, "wb") as f:
-                f.write(encode([*lead, *records]))
-            paths.append(path)
-        return _Written(paths)
+            hour = hour_name(r["received_at"])
+            key = (hour, r["received_at"] % _HOUR * self.parts // _HOUR)
+            if key not in open_:
+                path = f"{folder}/.{hour}-{uuid.uuid4().hex}{SUFFIX}"
+                open_[key] = FileWriter(files.open_output_stream(path, compression=None))
+                written.append((hour, r["received_at"], path))
+                if self.metadata:
+                    open_[key].write("metadata", r["received_at"], self.metadata.encode())
+            open_[key].write(r["kind"], r["received_at"], bytes(r["payload"]))
+        for writer in open_.values():
+            writer.close()
+        return _Written(written)
 
     def commit(self, messages: list) -> None:
+        files, folder = filesystem(self.folder)
         seen: dict[str, int] = {}
-        for path in (p for m in messages if m for p in m.paths):
-            hour = os.path.basename(path)[1:14]
+        for hour, _, path in sorted(f for m in messages if m for f in m.files):
             n = seen[hour] = seen.get(hour, -1) + 1
-            os.replace(path, os.path.join(self.folder, f"{hour}{f'.{n:05d}' if n else ''}{SUFFIX}"))
+            files.move(path, f"{folder}/{hour}{f'.{n:05d}' if n else ''}{SUFFIX}")
 
     def abort(self, messages: list) -> None:
-        for path in (p for m in messages if m for p in m.paths):
-            os.remove(path)
+        files, _ = filesystem(self.folder)
+        for _, _, path in (f for m in messages if m for f in m.files):
+            files.delete_file(path)
 
 
 class RecordingSource(DataSource):
@@ -206,12 +258,15 @@ def snapshot_records(snapshots: DataFrame) -> DataFrame:
     return snapshots.select(F.lit("snapshot").alias("kind"), "received_at", body.cast("binary").alias("payload"))
 
 
-def record(records: DataFrame, folder: str, metadata: str) -> None:
+def record(records: DataFrame, folder: str, metadata: str, parts: int = 1) -> None:
     """Write records to hourly files in order of receive time; every file begins with the metadata.
 
-    Rows are dealt by hour, so an hour is one file whatever the partitions were."""
+    Rows are dealt by hour, or by each of ``parts`` equal parts of one, so that
+    a file is the same whatever the partitions were and a busy hour is shared
+    by several tasks.  Files of an hour, read by name, are in order."""
     if not metadata or len(metadata.encode()) > LONGEST:
         raise ValueError("a recording needs metadata of at most 16 MiB")
     register(records.sparkSession)
-    hours = records.withColumn("_hour", hour_of(F.col("received_at"))).repartition("_hour").sortWithinPartitions("_hour", "received_at").drop("_hour")
-    hours.write.format("msr").option("metadata", metadata).mode("append").save(folder)
+    part = F.expr(f"pmod(received_at, {_HOUR}L) * {max(1, parts)} div {_HOUR}L")
+    dealt = records.withColumns({"_hour": hour_of(F.col("received_at")), "_part": part}).repartition("_hour", "_part").sortWithinPartitions("_hour", "_part", "received_at")
+    dealt.drop("_hour", "_part").write.format("msr").option("metadata", metadata).option("parts", str(max(1, parts))).mode("append").save(folder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -74,6 +75,46 @@ def is_shutdown(frame: bytes) -> bool:
     return SHUTDOWN in frame
 
 
+@dataclass
+class Connection:
+    """A feed that is held up by reconnecting. dial() connects and yields frames until the connection ends or fails; which client does so is the caller's.
+
+    After a connection has delivered a frame the waits begin anew; a frame that
+    announces the server's end is not passed on and no wait follows it."""
+
+    dial: Callable[[], Iterable[bytes]]
+    clock: Callable[[], int] = time.time_ns
+    sleep: Callable[[float], None] = time.sleep
+    stopped: Callable[[], bool] = lambda: False
+    backoff: Backoff = field(default_factory=Backoff)
+    connects: int = 0
+
+    def frames(self) -> Iterator[tuple[int, bytes]]:
+        """Receive times and frames, over all connections, until stopped."""
+        while not self.stopped():
+            self.connects += 1
+            planned = False
+            try:
+                for frame in self.dial():
+                    if self.stopped():
+                        return
+                    if is_shutdown(frame):
+                        planned = True
+                        break
+                    self.backoff.delivered()
+                    yield self.clock(), frame
+            except (OSError, EOFError):
+                pass
+            if planned:
+                self.backoff.delivered()
+            elif not self.stopped():
+                self.sleep(self.backoff.wait())
+
+    @property
+    def reconnects(self) -> int:
+        return max(0, self.connects - 1)
+
+
 def depth_limit(limit: int) -> int:
     return limit if 0 < limit <= MOST_LEVELS else MOST_LEVELS
 
