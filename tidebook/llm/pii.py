@@ -143,22 +143,33 @@ def _scored(docs: DataFrame, met: DataFrame, p: Params) -> tuple[DataFrame, Data
     joint = _store.save(_disclosing(joint, texts, F.col("both"), p.generalise).select("entity", "term", "both", "with_entity"), "joint")
     if not joint.take(1):
         return None
-    stems = joint.select("entity", "with_entity", F.expr(_stem("term")).alias("term")).distinct()
-    needed = _store.small(joint.select("term").unionByName(stems.select("term")).distinct(), p.broadcast_rows)
-    spelled = F.expr(f"regexp_extract_all(lower({'coalesce(CAST(text AS STRING), "")'}), {_sql(WORD)}, 0)")
-    every = docs.select(*_keys(), F.explode(F.array_distinct(spelled)).alias("word")).select("k1", "k2", F.explode(F.expr(f"array(word, {_stem('word')})")).alias("term"))
-    alone = _store.save(every.join(needed, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("with_term")), "words")
-    words = _disclosing(joint.join(alone, "term"), texts, F.col("both"), p.generalise).select("entity", "term", "disclosure")
-    begun = met.select("k1", "k2", F.explode(F.array_distinct(F.expr(f"transform(words, word -> {_stem('word')})"))).alias("term"))
-    begun = held.join(begun.join(_store.small(stems.select("term").distinct()), "term", "left_semi"), ["k1", "k2"]).drop("with_entity").join(stems, ["entity", "term"])
-    begun = begun.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("with_entity").alias("with_entity"))
-    telling = _disclosing(begun.join(alone, "term"), texts, F.col("both"), p.generalise).select("entity", F.col("term").alias("stem"), F.lit(True).alias("telling"))
-    words = words.withColumn("stem", F.expr(_stem("term"))).join(telling, ["entity", "stem"], "left")
+    words = _disclosing(joint.join(_alone(docs, joint.select("term").distinct(), "word", p), "term"), texts, F.col("both"), p.generalise)
+    words = _store.save(words.select("entity", "term", "with_entity", "disclosure", F.expr(_stem("term")).alias("stem")), "words")
+    # Only words that are not removed need a class, so few first letters are counted.
+    stems = _store.save(words.where(F.col("disclosure") < p.remove).select("entity", "with_entity", "stem").distinct(), "stems")
+    if stems.take(1):
+        known = stems.withColumnRenamed("stem", "term")
+        begun = met.select("k1", "k2", F.explode(F.array_distinct(F.expr(f"transform(words, word -> {_stem('word')})"))).alias("term"))
+        begun = held.drop("with_entity").join(begun.join(_store.small(known.select("term").distinct()), "term", "left_semi"), ["k1", "k2"]).join(known, ["entity", "term"])
+        begun = begun.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("with_entity").alias("with_entity"))
+        begun = begun.join(_alone(docs, known.select("term").distinct(), _stem("word"), p), "term")
+        telling = _disclosing(begun, texts, F.col("both"), p.generalise).select("entity", F.col("term").alias("stem"), F.lit(True).alias("telling"))
+        words = words.join(telling, ["entity", "stem"], "left")
+    else:
+        words = words.withColumn("telling", F.lit(None).cast("boolean"))
     kind = F.when(F.col("term").rlike(r"^\p{N}+$"), F.lit("[number]")).otherwise(F.lit("[word]"))
     shown = F.when(F.col("disclosure") >= p.remove, F.lit("")).when(F.col("telling").isNull(), F.col("stem")).otherwise(kind)
     return _store.save(words.select("entity", "term", shown.alias("shown")), "disclosing"), held, said
 
 
+def _alone(docs: DataFrame, terms: DataFrame, of: str, p: Params) -> DataFrame:
+    """term, with_term: in how many distinct texts each of terms is ``of`` some word."""
+    spelled = F.regexp_extract_all(F.lower(_text()), F.lit(WORD), F.lit(0))
+    each = docs.select(*_keys(), F.explode(F.array_distinct(spelled)).alias("word"))
+    each = each.select("k1", "k2", F.expr(of).alias("term")).join(_store.small(_store.save(terms, "needed"), p.broadcast_rows), "term", "left_semi")
+    return _store.save(each.distinct().groupBy("term").agg(F.count("*").alias("with_term")), "alone")
+
+
 def _disclosed(docs: DataFrame, p: Params) -> DataFrame | None:
     """Rows (k1, k2, more): for texts that hold an entity, the spans of the words that disclose it, none of which meets a base span."""
     found = find_entities(docs.select(F.col("text").cast("string").alias("text"))).where("size(base) > 0")
