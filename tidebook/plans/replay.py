@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tidebook import tables
 from tidebook.operators import book
 from tidebook.operators.decode import decode
 from tidebook.operators.tracker import track
@@ -34,11 +35,12 @@ def run(spark: SparkSession, path: str, repeat: int = 1, mode: str = "FAILFAST")
     Frames that cannot be decoded are counted and left out.  A symbol of which
     only trades were recorded has no book."""
     opened = replay.open_replay(spark, path, mode)
-    frames, errors = decode(opened.frames, opened.instruments).agg(F.count("*"), F.count("decode_error")).first()
+    decoded = tables.written(decode(opened.frames, opened.instruments).drop("data"), "decoded")
+    frames, errors = decoded.agg(F.count("*"), F.count("decode_error")).first()
+    events = replay.tracker_rows(decoded, opened.snapshots).where("kind <> 'trade'")
     dumps = set()
     for _ in range(max(1, repeat)):
-        events = replay.tracker_events(opened)
-        rows = track(events.where("kind <> 'trade'"), levels=True)
+        rows = tables.written(track(events, levels=True), "tracked")
         dumps.add(sinks.dump(book.tracked_view(rows), rows.where("side IS NOT NULL")))
         if len(dumps) > 1:
             raise Diverged(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,25 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("arrival", (F.col("us") * 1000 + 5000).alias("received_at"), data.alias("data"))
 
 
+def metadata() -> str:
+    """Instrument metadata of the derived feed, as a venue would send it."""
+    filters = lambda p, q: [{"filterType": "PRICE_FILTER", "tickSize": f"{10**-p:.{p}f}"}, {"filterType": "LOT_SIZE", "stepSize": f"{10**-q:.{q}f}"}]
+    return json.dumps({"symbols": [{"symbol": raw, "status": "TRADING", "baseAsset": symbol.split("-")[0], "quoteAsset": symbol.split("-")[1], "filters": filters(p, q)} for raw, symbol, p, q in INSTRUMENTS]})
+
+
+def whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, received_at, payload: a recording of the feed without holes: an empty snapshot of each symbol, then a frame for each update."""
+    rows = numbered(levels(spark, sf_dir, uncrossed=True))
+    money = F.format_string("%d.%02d000000", F.expr("price div 100"), F.col("price") % 100)
+    pair = F.format_string('[["%s","%d.00000000"]]', money, "qty")
+    bid = F.col("side") == "B"
+    text = F.format_string('{"stream":"x","data":{"e":"depthUpdate","E":%d,"s":"S%dUSDT","U":%d,"u":%d,"b":%s,"a":%s}}', F.col("arrival") + 1, "symbol", 2 * F.col("rn") - 1, 2 * F.col("rn"), F.when(bid, pair).otherwise("[]"), F.when(bid, "[]").otherwise(pair))
+    frames = rows.select(F.lit("frame").alias("kind"), F.lit(1_700_000_000_000_000_000).cast("bigint").alias("at"), F.col("arrival"), text.cast("binary").alias("payload"))
+    empty = spark.createDataFrame([(f"S{k}-USDT",) for k in range(8)], "symbol string").select(F.to_json(F.struct(F.col("symbol").alias("Symbol"), F.lit(0).alias("LastID"), F.array().cast("array<int>").alias("Bids"), F.array().cast("array<int>").alias("Asks"), F.lit(False).alias("Truncated"))).cast("binary").alias("payload"))
+    snapshots = empty.select(F.lit("snapshot").alias("kind"), F.lit(1_700_000_000_000_000_000).cast("bigint").alias("at"), F.lit(-1).cast("bigint").alias("arrival"), "payload")
+    return snapshots.unionByName(frames).select("kind", (F.col("at") + (F.col("arrival") + 1) * 1000).alias("received_at"), "payload")
+
+
 #: Rows of the busy symbol before its first snapshot comes, and rows that this one holds.
 LATE, TAKEN = 2600, 1000
 

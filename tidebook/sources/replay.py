@@ -58,12 +58,17 @@ def symbols(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("symbol").agg(F.count("*").alias("snapshots")).orderBy("symbol")
 
 
-def tracker_events(replay: Replay) -> DataFrame:
+def tracker_rows(decoded: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Input rows of the tracker: decoded updates and trades, and all snapshots ahead of them in recorded order."""
-    good = decode(replay.frames, replay.instruments).where("decode_error IS NULL")
     columns = ["symbol", "arrival", "kind", "first_id", "last_id", "truncated", "bids", "asks"]
-    first = replay.snapshots.withColumns({"kind": F.lit("snapshot"), "first_id": F.lit(None).cast("bigint"), "arrival": F.col("arrival") - (1 << 60)})
-    return good.withColumn("truncated", F.lit(None).cast("boolean")).select(*columns).unionByName(first.select(*columns))
+    good = decoded.where("decode_error IS NULL").withColumn("truncated", F.lit(None).cast("boolean"))
+    first = snapshots.withColumns({"kind": F.lit("snapshot"), "first_id": F.lit(None).cast("bigint"), "arrival": F.col("arrival") - (1 << 60)})
+    return good.select(*columns).unionByName(first.select(*columns))
+
+
+def tracker_events(replay: Replay) -> DataFrame:
+    """tracker_rows of a replay."""
+    return tracker_rows(decode(replay.frames, replay.instruments), replay.snapshots)
 
 
 def paced(frames: DataFrame, speed: float) -> DataFrame:
