@@ -127,7 +127,9 @@ def _scored(docs: DataFrame, met: DataFrame, p: Params) -> tuple[DataFrame, Data
     """Rows (entity, term, shown) of words that disclose an entity, and the entities and words of the texts of met, as far as they have support.
 
     Words are those of whole texts, in the joint counts as in the single ones."""
-    texts = float(docs.select(*_keys()).distinct().count())
+    again = _store.save(docs.select(*_keys()).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), "copied-texts")
+    texts = float(docs.count() - (again.agg(F.sum(F.col("n") - 1)).first()[0] or 0))
+    again = again.select("k1", "k2")
     # Word and entity meet in no more texts than hold the entity.
     each = met.select("k1", "k2", F.explode("entities").alias("entity"))
     entities = _counted(each, "entity", p.support, "with_entity", "entities")
@@ -143,7 +145,7 @@ def _scored(docs: DataFrame, met: DataFrame, p: Params) -> tuple[DataFrame, Data
     joint = _store.save(_disclosing(joint, texts, F.col("both"), p.generalise).select("entity", "term", "both", "with_entity"), "joint")
     if not joint.take(1):
         return None
-    words = _disclosing(joint.join(_alone(docs, joint.select("term").distinct(), "word", p), "term"), texts, F.col("both"), p.generalise)
+    words = _disclosing(joint.join(_alone(docs, joint.select("term").distinct(), "word", again, p), "term"), texts, F.col("both"), p.generalise)
     words = _store.save(words.select("entity", "term", "with_entity", "disclosure", F.expr(_stem("term")).alias("stem")), "words")
     # Only words that are not removed need a class, so few first letters are counted.
     stems = _store.save(words.where(F.col("disclosure") < p.remove).select("entity", "with_entity", "stem").distinct(), "stems")
@@ -152,7 +154,7 @@ def _scored(docs: DataFrame, met: DataFrame, p: Params) -> tuple[DataFrame, Data
         begun = met.select("k1", "k2", F.explode(F.array_distinct(F.expr(f"transform(words, word -> {_stem('word')})"))).alias("term"))
         begun = held.drop("with_entity").join(begun.join(_store.small(known.select("term").distinct()), "term", "left_semi"), ["k1", "k2"]).join(known, ["entity", "term"])
         begun = begun.groupBy("entity", "term").agg(F.count("*").alias("both"), F.min("with_entity").alias("with_entity"))
-        begun = begun.join(_alone(docs, known.select("term").distinct(), _stem("word"), p), "term")
+        begun = begun.join(_alone(docs, known.select("term").distinct(), _stem("word"), again, p), "term")
         telling = _disclosing(begun, texts, F.col("both"), p.generalise).select("entity", F.col("term").alias("stem"), F.lit(True).alias("telling"))
         words = words.join(telling, ["entity", "stem"], "left")
     else:
@@ -162,12 +164,19 @@ def _scored(docs: DataFrame, met: DataFrame, p: Params) -> tuple[DataFrame, Data
     return _store.save(words.select("entity", "term", shown.alias("shown")), "disclosing"), held, said
 
 
-def _alone(docs: DataFrame, terms: DataFrame, of: str, p: Params) -> DataFrame:
-    """term, with_term: in how many distinct texts each of terms is ``of`` some word."""
-    spelled = F.regexp_extract_all(F.lower(_text()), F.lit(WORD), F.lit(0))
-    each = docs.select(*_keys(), F.explode(F.array_distinct(spelled)).alias("word"))
-    each = each.select("k1", "k2", F.expr(of).alias("term")).join(_store.small(_store.save(terms, "needed"), p.broadcast_rows), "term", "left_semi")
-    return _store.save(each.distinct().groupBy("term").agg(F.count("*").alias("with_term")), "alone")
+def _alone(docs: DataFrame, terms: DataFrame, of: str, again: DataFrame, p: Params) -> DataFrame:
+    """term, with_term: in how many distinct texts each of terms is ``of`` some word.
+
+    again (k1, k2): the texts with copies. All others count by the row, which is
+    combined before the shuffle; where those with copies are too many to be
+    broadcast, every text is told apart."""
+    few = _store.small(again, p.broadcast_rows)
+    keyed = docs.select(*_keys(), _text().alias("text"))
+    if few is not again:
+        keyed = keyed.join(few.withColumn("copied", F.lit(True)), ["k1", "k2"], "left").select(F.when(F.col("copied"), F.col("k1")).alias("k1"), F.when(F.col("copied"), F.col("k2")).alias("k2"), "text")
+    each = keyed.select("k1", "k2", F.explode(F.expr(f"array_distinct(transform(array_distinct(regexp_extract_all(lower(text), {_sql(WORD)}, 0)), word -> {of}))")).alias("term"))
+    each = each.join(_store.small(_store.save(terms, "needed"), p.broadcast_rows), "term", "left_semi").groupBy("term", "k1", "k2").agg(F.count("*").alias("n"))
+    return _store.save(each.groupBy("term").agg(F.sum(F.when(F.col("k1").isNull(), F.col("n")).otherwise(1)).alias("with_term")), "alone")
 
 
 def _disclosed(docs: DataFrame, p: Params) -> DataFrame | None:
