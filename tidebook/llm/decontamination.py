@@ -7,6 +7,10 @@ prefix that full containment needs).  Rarity comes from counting the
 benchmark's shingles over all documents.  A probe's position in its window
 bounds where the window starts and ends in the document; what lies within the
 document is compared word by word.
+
+Windows up to a bound are held by every task.  More of them are joined by a
+shuffle: documents are read three times, however large the benchmark is, and a
+bitmap of the shingles that are looked for keeps most of theirs out of it.
 """
 
 from __future__ import annotations
@@ -26,12 +30,13 @@ RUNS = "array<struct<first: long, last: long>>"
 
 @dataclass(frozen=True)
 class Params:
-    """window, shingle: words. block_windows: benchmark windows held in a task's memory at once;
-    a larger benchmark is searched for in several passes over the documents."""
+    """window, shingle: words. block_windows: benchmark windows held in a task's memory at most; those of
+    a larger benchmark are joined by a shuffle. bitmap_bits: logarithm of the size of its bitmap."""
 
     window: int = 10
     shingle: int = 5
     block_windows: int = 100_000
+    bitmap_bits: int = 27
 
 
 def _words(column: pa.Array):
@@ -162,30 +167,122 @@ def _counts(docs: DataFrame, block, p: Params) -> np.ndarray:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, p: Params | None = None) -> DataFrame:
     """docs with n_words, hit_runs (disjoint runs of hit words: first, last) and hit_items (sorted item ids) added.
 
-    Null and empty texts have no words; of equally rare shingles of a window the
-    first is probed.  Items without an id or without words
+    Null and empty texts have no words, very long ones are searched whole; of
+    equally rare shingles of a window the first is probed.  Repeated rows get
+    equal results.  Items without an id or without words
     are ignored; equal item ids name one item.  Columns of docs pass through;
     those with the three added names are replaced.  Rows are kept one for one."""
     p = p or Params()
     spark = docs.sparkSession
     _store.shared_dir(spark)
-    windows = _store.save(windows_of(benchmark, p).groupBy("words", "n", "hashes").agg(F.sort_array(F.collect_set("item_id")).alias("items")), "windows")
+    windows = windows_of(benchmark, p).groupBy("words", "n", "hashes").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    windows = _store.save(windows.withColumn("w", F.monotonically_increasing_id()), "windows")
     added = ["n_words", "hit_runs", "hit_items"]
-    out = docs.drop(*added).withColumns({"n_words": F.lit(None).cast("long"), "hit_runs": F.array().cast(RUNS), "hit_items": F.array().cast("array<long>")})
-    blocks = max(1, -(-windows.count() // p.block_windows))
-    for number in range(blocks):
-        rows = windows.where(F.expr(f"pmod(xxhash64(hashes), {blocks}) = {number}")).collect()  # at most about block_windows rows
-        block = _Block(rows, p) if rows else None
-        if block is not None:
-            counted = spark.sparkContext.broadcast(block)
-            block.restrict(_counts(docs, counted, p))
-            counted.unpersist()
-        out = _marked(out, spark.sparkContext.broadcast(block))
-        if number + 1 < blocks:
-            out = _store.save(out, "decontamination")
+    out = docs.drop(*added)
+    empty = {"hit_runs": F.array().cast(RUNS), "hit_items": F.array().cast("array<long>")}
+    if windows.count() > p.block_windows:
+        few = _store.small(_joined_hits(docs, windows, p))
+        out = out.withColumns({"_k1": _key(0), "_k2": _key(1)}).join(few.toDF("_k1", "_k2", "_runs", "_items"), ["_k1", "_k2"], "left")
+        out = out.withColumns({"n_words": F.lit(None).cast("long"), "hit_runs": F.coalesce("_runs", empty["hit_runs"]), "hit_items": F.coalesce("_items", empty["hit_items"])}).drop("_k1", "_k2", "_runs", "_items")
+        return _marked(out, spark.sparkContext.broadcast(None))
+    out = out.withColumns({"n_words": F.lit(None).cast("long")} | empty)
+    rows = windows.collect()  # at most block_windows rows
+    block = _Block(rows, p) if rows else None
+    if block is not None:
+        counted = spark.sparkContext.broadcast(block)
+        block.restrict(_counts(docs, counted, p))
+        counted.unpersist()
+    return _marked(out, spark.sparkContext.broadcast(block))
+
+
+def _key(seed: int):
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(text, F.lit(1)) if seed else F.xxhash64(text)
+
+
+def _bitmap(tokens: DataFrame, p: Params) -> np.ndarray:
+    """A bit for the first bits of each token; 2**(bitmap_bits - 6) words reach the driver at most."""
+    at = F.shiftrightunsigned("token", 64 - p.bitmap_bits)
+    words = tokens.select(F.shiftright(at, 6).alias("at"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(token, {64 - p.bitmap_bits}) & 63 AS INT))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (p.bitmap_bits - 6), dtype=np.uint64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def _hits(runs: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    at = runs >> np.uint64(64 - bits)
+    return np.flatnonzero(bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+
+
+def _probes(docs: DataFrame, held, sizes: list[int], p: Params, context: bool) -> DataFrame:
+    """Shingles of docs that the bitmap lets through: token and their number in a batch; or, with context, text, token, first word of the context and its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.slices(batch):
+                buf, starts, ends, hashes, at = _words(part.column(part.schema.get_field_index("text")))
+                for k in sizes:
+                    values = _text.shingle_hashes(hashes, k)
+                    pos = _hits(values, held.value, p.bitmap_bits)
+                    text = np.searchsorted(at, pos, "right") - 1
+                    inside = pos + k <= at[text + 1]
+                    pos, text = pos[inside], text[inside]
+                    if not len(pos):
+                        continue
+                    if not context:
+                        token, n = np.unique(values[pos].view(np.int64), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64))], ["token", "n"])
+                        continue
+                    lo, hi = np.maximum(at[text], pos - p.window + k), np.minimum(at[text + 1], pos + p.window)
+                    for first in range(0, len(pos), 4096):
+                        cut = slice(first, first + 4096)
+                        words = [[_text.LOWER[buf[s:e]].tobytes() for s, e in zip(starts[f:t], ends[f:t], strict=True)] for f, t in zip(lo[cut], hi[cut], strict=True)]
+                        keys = [part.column(c).take(pa.array(text[cut])) for c in (0, 1)]
+                        columns = [*keys, pa.array(values[pos[cut]].view(np.int64)), pa.array(pos[cut] - at[text[cut]]), pa.array(lo[cut] - at[text[cut]]), pa.array(words, pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "token", "pos", "start", "context"])
+
+    rows = docs.select(_key(0).alias("k1"), _key(1).alias("k2"), F.col("text").cast("string").alias("text")) if context else docs.select(F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "k1 long, k2 long, token long, pos long, start long, context array<string>" if context else "token long, n long")
+
+
+def _shingles(windows: DataFrame, p: Params) -> DataFrame:
+    """w, token, place, k: the shingles of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for w, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = np.frombuffer(raw, dtype=np.uint64)
+                k = min(p.shingle, len(h))
+                out += [(w, t, i, k) for i, t in enumerate(_text.shingle_hashes(h, k).view(np.int64).tolist())]
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["w", "token", "place", "k"])
+
+    return windows.select("w", "hashes").mapInArrow(run, "w long, token long, place long, k long")
+
+
+def _joined_hits(docs: DataFrame, windows: DataFrame, p: Params) -> DataFrame:
+    """k1, k2, runs, items of the texts that hold a window."""
+    spark = docs.sparkSession
+    shingles = _store.save(_shingles(windows, p), "window-shingles")
+    sizes = sorted(r["k"] for r in shingles.select("k").distinct().collect())  # as many as words in a shingle at most
+    held = spark.sparkContext.broadcast(_bitmap(shingles.select("token").distinct(), p))
+    counts = _probes(docs, held, sizes, p, False).groupBy("token").agg(F.sum("n").alias("n")).join(shingles.select("token").distinct(), "token", "left_semi")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "token", "k")).alias("r")
+    prefix = _store.save(shingles.join(_store.save(counts, "shingle-counts"), "token", "left").groupBy("w").agg(rarest).select("w", "r.token", "r.place"), "prefixes")
+    held.unpersist()
+    held = spark.sparkContext.broadcast(_bitmap(prefix.select("token").distinct(), p))
+    probe = prefix.join(windows.select("w", "n", F.col("words").cast("string").alias("words")), "w")
+    found = _probes(docs, held, sizes, p, True).join(_store.small(_store.save(probe, "probes")), "token")
+    first = F.col("pos") - F.col("place")
+    own = F.array_join(F.slice("context", F.greatest(first - F.col("start") + 1, F.lit(1)).cast("int"), F.col("n")), " ")
+    found = found.where((first >= F.col("start")) & (first - F.col("start") + F.col("n") <= F.size("context"))).where(own == F.col("words"))
+    found = _store.save(found.select("k1", "k2", first.alias("first"), (first + F.col("n") - 1).alias("last"), "w").distinct(), "window-hits")
+    runs = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    items = found.select("k1", "k2", "w").distinct().join(windows.select("w", F.explode("items").alias("item")), "w").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return _store.save(runs.join(items, ["k1", "k2"]), "contaminated")
+
+
 def _marked(docs: DataFrame, held) -> DataFrame:
     names = docs.columns
     text, runs_at, items_at = names.index("text"), names.index("hit_runs"), names.index("hit_items")
