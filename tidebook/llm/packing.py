@@ -66,8 +66,28 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _LETTER, _MARK = _tables()
 
 
+#: Texts whose ids show whether a tokenizer goes word by word and does not tell cases apart.
+PROBES = ("The quick Brown fox, jumps! over; the lazy dog.", "ÉTÉ à l'école naïve façade? Straße: über", "one  two\tthree\nfour", "word, word. word: WORD|x *y #z $5 100% a&b", "UPPER lower MiXeD aaa bbb's ccc'll")
+
+
+def goes_by_words(tokenizer) -> bool:
+    """Whether ids of a text are those of its lower-case words and of the marks behind them, one after the other."""
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    vocabulary = tokenizer.get_vocab()
+    if not any(t.endswith("</w>") for t in vocabulary) or any(c.isspace() for t in vocabulary for c in t):
+        return False
+    for probe in PROBES:
+        apart = []
+        for word in probe.split():
+            letters = word.rstrip(".,;:!?|*#$%&")
+            apart += ids(letters.lower()) + ids(word[len(letters) :]) if letters.isalpha() else ids(word.lower())
+        if ids(probe) != apart:
+            return False
+    return True
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, word by word; of a tokenizer that does not go by words, text by text.
 
     The vocabulary's tokens never span white space, and in a word of letters
     with marks behind them it splits before the marks and nowhere else.  So a
@@ -80,7 +100,7 @@ class WordEncoder:
 
     def __init__(self, name: str, most: int) -> None:
         self.tokenizer, self.most = _tokenizer(name), most
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary, self.by_words = self.tokenizer.get_vocab(), goes_by_words(self.tokenizer)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
@@ -148,7 +168,7 @@ class WordEncoder:
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (bytes and offsets), and the offsets of each text's ids."""
         n, raw = len(at) - 1, buf.tobytes()
-        if b"<|" in raw:  # special tokens are told apart by case
+        if not self.by_words or b"<|" in raw:  # special tokens are told apart by case
             each = [self._ids(raw[at[i] : at[i + 1]].decode()) for i in range(n)]
             return np.concatenate([*each, np.zeros(0, "<u4")]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
         starts, ends, plain, spans_at = self._spans(buf, at)
