@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tidebook.llm import _store
 
 
+#: Bits of a key by which its splitters are found: at most_ranges, 32 of them share these.
+TOP_BITS = 11
+
+
 @dataclass(frozen=True)
 class Params:
     """shards: count. rows_per_range, least_ranges, most_ranges: how finely keys are cut.
@@ -29,10 +33,10 @@ class Params:
     shards: int = 24
     rows_per_range: int = 50_000
     least_ranges: int = 512
-    most_ranges: int = 4096
+    most_ranges: int = 65_536
     samples: int = 16
     overfull: float = 4.0
-    rounds: int = 2
+    rounds: int = 4
     whole: float = 0.02
     many_rows: int = 1000
 
@@ -61,17 +65,18 @@ def _drawn(rows: DataFrame, rate: Column, seed: int) -> list:
 
 
 def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
-    """rows with the number of splitters below their key, found among those that share the key's first byte."""
-    by_top: dict[int, list] = {k: [] for k in range(256)}
+    """rows with the number of splitters below their key, found among those that share the key's first bits."""
+    tops = 1 << TOP_BITS
+    by_top: dict[int, list] = {k: [] for k in range(tops)}
     for h, t in cuts:
-        by_top[(h >> 56) + 128].append({"h": h, "t": t})
+        by_top[(h >> (64 - TOP_BITS)) + tops // 2].append({"h": h, "t": t})
     table, base = [], 0
-    for top in range(256):
+    for top in range(tops):
         table.append({"top": top, "base": base, "cuts": by_top[top]})
         base += len(by_top[top])
     small = _literal(rows.sparkSession, table, "top: int, base: int, cuts: array<struct<h: bigint, t: bigint>>")
     below = F.expr("base + size(filter(cuts, c -> c.h < h OR (c.h = h AND c.t < t)))")
-    return rows.join(F.broadcast(small), F.expr("CAST(shiftright(h, 56) AS INT) + 128") == F.col("top")).withColumn("range", below).drop("top", "base", "cuts")
+    return rows.join(F.broadcast(small), F.expr(f"CAST(shiftright(h, {64 - TOP_BITS}) AS INT) + {tops // 2}") == F.col("top")).withColumn("range", below).drop("top", "base", "cuts")
 
 
 def shard_by_bytes(docs: DataFrame, p: Params | None = None) -> DataFrame:
@@ -79,8 +84,10 @@ def shard_by_bytes(docs: DataFrame, p: Params | None = None) -> DataFrame:
 
     A size is the text's bytes and 8; null counts as empty.  Shards follow the
     order of (text hash, id hash) and differ from equal size by no more than
-    the row or small group of equal texts at their ends.  Repeated rows are
-    placed as often as they occur, a null doc_id like any other.  Only doc_id
+    the row or small group of equal texts at their ends.  Rows of equal keys go
+    by doc_id, then by their place.  A very long text is a row of its size, and
+    only its size and hashes are moved.  Repeated rows are placed as often as
+    they occur, a null doc_id like any other.  Only doc_id
     and text are read; an empty table gives no rows."""
     p = p or Params()
     spark = docs.sparkSession
