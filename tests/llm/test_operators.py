@@ -142,6 +142,14 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
                 assert ids[at[k] : at[k + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_tokenizer_that_does_not_go_by_words_gets_whole_texts(spark, corpus, rows):
+    tokenizer = packing._tokenizer("byte_bpe_50k.json")
+    assert packing.goes_by_words(packing._tokenizer("word_bpe_49k.json")) and not packing.goes_by_words(tokenizer)
+    texts = ["", "Two  spaces\nand CASE", " leading", "é ünï 日本"]
+    ids, at = packing.WordEncoder("byte_bpe_50k.json", 20).encode(*_text.text_bytes(pa.array(texts, pa.string())))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert packing.best_fit(np.array([6, 5, 4, 3, 2]), 10) == [[0, 2], [1, 3, 4]]
     assert packing.best_fit(np.zeros(0, np.int64), 10) == []

@@ -130,7 +130,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, p: Params | None
 
     A null html is an empty payload, a null url is left out.  A page without an
     id is always a response and never revisited; rows that repeat the smallest
-    page_id of their payload are all responses.  Other columns are not read.
+    page_id of their payload are all responses.  A payload of any length is one
+    record, held whole by the task that writes it.  Other columns are not read.
     An empty table writes no archive.  folder is any URI that pyarrow's
     filesystems open on executors; by default one in the shared folder."""
     p = p or Params()
