@@ -107,3 +107,9 @@ def test_size_decimals_and_times(spark):
     assert all(r["got"] == r["want"] for r in got)
     row = spark.sql("SELECT 0L AS zero, 1700000000123L AS ms").select(S.nanos(F.col("ms")), S.nanos(F.col("zero")), S.known_time(S.nanos(F.col("zero")))).first()
     assert tuple(row) == (1700000000123000000, 0, None)
+
+
+def test_names_and_the_symbol_of_an_event(spark):
+    rows = spark.createDataFrame([("B", True, "delta", None, "X-Y"), ("A", False, "trade", "P-Q", None), ("?", None, "odd", None, None)], "side string, is_buy boolean, kind string, a string, b string")
+    got = rows.select(S.side_name(F.col("side")), S.trade_side(F.col("is_buy")), S.kind_name(F.col("kind")), S.any_symbol(F.col("a"), F.col("b"))).collect()
+    assert [tuple(r) for r in got] == [("bid", "buy", "book_delta", "X-Y"), ("ask", "sell", "trade", "P-Q"), ("unknown", "unknown", "unknown", None)]

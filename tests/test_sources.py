@@ -228,6 +228,30 @@ def test_an_hour_in_parts_is_read_in_order(spark, tmp_path):
     assert [r["received_at"] for r in got] == [r[1] for r in rows]
 
 
+def test_frames_are_emitted_when_they_are_due(spark):
+    frames = spark.createDataFrame([(2, 1_500, "c"), (0, 1_000, "a"), (1, 1_200, "b")], "arrival bigint, received_at bigint, data string")
+    now, waits = [0], []
+
+    def sleep(seconds):
+        waits.append(round(seconds * 1e9))
+        now[0] += round(seconds * 1e9)
+
+    assert list(replay.emit(frames, 2.0, lambda: now[0], sleep)) == [(1_000, "a"), (1_200, "b"), (1_500, "c")] and waits == [100, 150]
+    assert len(list(replay.emit(frames, 0, lambda: now[0], sleep))) == 3 and len(waits) == 2
+
+
+def test_a_query_settles_and_stops_or_runs_out_of_time(spark, tmp_path):
+    spark.range(20).coalesce(2).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    seen = []
+    query = source.writeStream.foreachBatch(lambda b, _: seen.extend(r[0] for r in b.collect())).option("checkpointLocation", str(tmp_path / "a")).start()
+    fanout.settle(query, 60)
+    assert sorted(seen) == list(range(20)) and not query.isActive
+    stuck = source.writeStream.foreachBatch(lambda b, _: time.sleep(5)).option("checkpointLocation", str(tmp_path / "b")).start()
+    with pytest.raises(fanout.NotSettled):
+        fanout.settle(stuck, 0.5)
+
+
 def test_publisher_drops_the_oldest(spark, tmp_path):
     spark.range(5).selectExpr("id AS arrival").coalesce(1).write.parquet(str(tmp_path / "in"))
     events = spark.readStream.schema("arrival bigint").parquet(str(tmp_path / "in"))

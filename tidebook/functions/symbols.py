@@ -65,3 +65,18 @@ def any_symbol(*symbols: Column) -> Column:
 def bad_level(levels: Column) -> Column:
     """Whether any level of ARRAY<STRUCT<price, qty>> has a price of 0 or less or a negative quantity."""
     return F.exists(levels, lambda x: (x["price"] <= 0) | (x["qty"] < 0))
+
+
+def side_name(side: Column) -> Column:
+    """The name of a book's side."""
+    return F.when(side == "B", "bid").when(side == "A", "ask").otherwise("unknown")
+
+
+def trade_side(is_buy: Column) -> Column:
+    """The side of the one who took a trade."""
+    return F.when(is_buy, "buy").when(~is_buy, "sell").otherwise("unknown")
+
+
+def kind_name(kind: Column) -> Column:
+    """The name of an event's kind for logs; anything unknown is named so."""
+    return F.when(kind.isin("trade", "snapshot"), kind).when(kind == "delta", "book_delta").otherwise("unknown")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -77,3 +79,15 @@ def paced(frames: DataFrame, speed: float) -> DataFrame:
     if speed <= 0:
         return frames.withColumn("due", F.lit(0).cast("bigint"))
     return frames.join(F.broadcast(start)).withColumn("due", F.floor((F.col("received_at") - F.col("_start")) / speed).cast("bigint")).drop("_start")
+
+
+def emit(frames: DataFrame, speed: float, clock: Callable[[], int] = time.monotonic_ns, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[int, str]]:
+    """Receive times and frames in order of arrival, each when it is due at that speed (at once for a speed of 0 or less): a replay that looks like a live feed.
+
+    Rows come to the driver a partition at a time, as a live client's would."""
+    began = clock()
+    for row in paced(frames, speed).orderBy("arrival").select("received_at", "data", "due").toLocalIterator():
+        ahead = row["due"] - (clock() - began)
+        if ahead > 0:
+            sleep(ahead / 1e9)
+        yield row["received_at"], row["data"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,6 +27,26 @@ def dropped(events: DataFrame, capacity: int, keys: tuple[str, ...]) -> DataFram
     return n.select(*keys, F.least("n", F.lit(capacity).cast("bigint")).alias("kept"), F.greatest(F.col("n") - capacity, F.lit(0).cast("bigint")).alias("dropped"))
 
 
+class NotSettled(TimeoutError):
+    """A query still had rows to take when the time was up."""
+
+
+def settle(query: StreamingQuery, limit: float = 30.0, pause: float = 0.05, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Wait until the query has taken all that is there, for ``limit`` seconds at most, and stop it; what it failed of is raised."""
+    end = clock() + limit
+    while query.isActive:
+        status = query.status
+        if not status["isDataAvailable"] and not status["isTriggerActive"] and query.lastProgress:
+            break
+        if clock() >= end:
+            query.stop()
+            raise NotSettled(f"not settled within {limit} seconds")
+        sleep(pause)
+    if query.exception() is not None:
+        raise query.exception()
+    query.stop()
+
+
 @dataclass
 class Publisher:
     """Subscribers are added before the start, under distinct names, with a positive capacity."""
@@ -52,12 +73,21 @@ class Publisher:
         for name, (capacity, consume) in self.subscribers.items():
 
             def deliver(batch: DataFrame, number: int, name: str = name, capacity: int = capacity, consume: Consume = consume) -> None:
-                self.lost[name] += max(0, batch.count() - capacity)
-                consume(keep_newest(batch, capacity), number)
+                batch.persist()  # counted, and then delivered
+                try:
+                    lost = max(0, batch.count() - capacity)
+                    consume(keep_newest(batch, capacity), number)
+                finally:
+                    batch.unpersist()
+                self.lost[name] += lost
 
             query = events.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{checkpoints}/{name}").trigger(availableNow=True)
             self.running.append(query.start())
 
+    def depths(self) -> dict[str, int]:
+        """Rows of the burst that each subscriber has last been handed: what has waited for it."""
+        return {q.name or name: int((q.lastProgress or {}).get("numInputRows", 0)) for name, q in zip(self.subscribers, self.running, strict=False)}
+
     def close(self) -> None:
         """Wait until all that was available has been delivered; closing again does nothing."""
         while self.running:
