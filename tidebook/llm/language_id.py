@@ -25,8 +25,9 @@ class Params:
     """dims: hashed n-grams. centroids: per language. sample, sample_total: distinct texts per language and in all
     that k-means sees at most, but one of each language always (document frequencies and limits come from all texts).
     reject: cosine below which a text is always rejected. tail: share of the training texts of a centroid and length
-    that may fall below the learnt limit. trust: number of texts from which such a limit counts as much as that of the
-    next shorter texts."""
+    that may fall below the learnt quantile. margin: share of that quantile from which on a text is near enough, so that
+    what lies just beyond the training texts stays. trust: number of texts from which a length's quantile counts as much
+    as that of the next shorter texts."""
 
     dims: int = 4096
     centroids: int = 4
@@ -35,6 +36,7 @@ class Params:
     iterations: int = 12
     reject: float = 0.05
     tail: float = 0.001
+    margin: float = 0.7
     trust: int = 100
     seed: int = 3
 
@@ -149,7 +151,7 @@ def _nearest(counts: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _limits(docs: DataFrame, model: Model, p: Params) -> np.ndarray:
-    """The cosine that all but ``tail`` of the texts reach, by centroid and length; LENGTHS * BINS numbers a centroid reach the driver at most.
+    """The limit below which texts are rejected, ``margin`` of the cosine that all but ``tail`` of the texts reach, by centroid and length; LENGTHS * BINS numbers a centroid reach the driver at most.
 
     Where there are few texts of a length, the limit of the next shorter ones tells more."""
     held, shape = docs.sparkSession.sparkContext.broadcast(model), (len(model.centroids), LENGTHS, BINS)
@@ -171,7 +173,7 @@ def _limits(docs: DataFrame, model: Model, p: Params) -> np.ndarray:
         up = total[centroid, length].cumsum()
         own = np.searchsorted(up, p.tail * up[-1], "right") / BINS if up[-1] else before
         out[centroid, length] = max(p.reject, before + (own - before) * up[-1] / (up[-1] + p.trust))
-    return out
+    return np.maximum(p.reject, p.margin * out)
 
 
 def _clusters(x: np.ndarray, p: Params) -> np.ndarray:
