@@ -44,6 +44,6 @@ def test_flagship_plan_has_map_side_combine_and_two_exchanges(spark, sf_dir):
 
 @pytest.mark.parametrize("name", ["check_verdict", "replay_dump", "compare_full", "book_after_snapshot", "hist_quantile_ns"])
 def test_anchored_queries_scan_few_tables(spark, sf_dir, name):
-    """What a query derives from the feed is written once; no window runs over a whole symbol's rows."""
+    """What a query derives from the feed is written once and then read a few times."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 4 - (name in ("check_verdict", "replay_dump"))

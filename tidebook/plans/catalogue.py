@@ -116,8 +116,7 @@ def _latched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense feed with anchor (the last id of each symbol's snapshot), early (the rows the snapshot holds) and class, written once."""
     rows = tables.written(feed.dense_levels(spark, sf_dir).withColumn("early", F.col("arrival") < _cut(spark, sf_dir)), "feed")
     anchors = rows.where("early").groupBy("symbol").agg(F.max("last_id").alias("anchor"))
-    classified = tables.written(sequence.classify(rows.join(anchors, "symbol"), F.col("anchor")), "classified")
-    return sequence.latch(classified)
+    return tables.written(sequence.latch(sequence.classify(rows.join(anchors, "symbol"), F.col("anchor"))), "latched")
 
 
 def _books(latched: DataFrame) -> DataFrame:
