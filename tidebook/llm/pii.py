@@ -175,8 +175,11 @@ def _alone(docs: DataFrame, terms: DataFrame, of: str, again: DataFrame, p: Para
     if few is not again:
         keyed = keyed.join(few.withColumn("copied", F.lit(True)), ["k1", "k2"], "left").select(F.when(F.col("copied"), F.col("k1")).alias("k1"), F.when(F.col("copied"), F.col("k2")).alias("k2"), "text")
     each = keyed.select("k1", "k2", F.explode(F.expr(f"array_distinct(transform(array_distinct(regexp_extract_all(lower(text), {_sql(WORD)}, 0)), word -> {of}))")).alias("term"))
-    each = each.join(_store.small(_store.save(terms, "needed"), p.broadcast_rows), "term", "left_semi").groupBy("term", "k1", "k2").agg(F.count("*").alias("n"))
-    return _store.save(each.groupBy("term").agg(F.sum(F.when(F.col("k1").isNull(), F.col("n")).otherwise(1)).alias("with_term")), "alone")
+    needed = _store.small(_store.save(terms, "needed"), p.broadcast_rows)
+    if of == "word":  # there are few first letters, so all of these are counted and their share in the work stays what it is
+        each = each.join(needed, "term", "left_semi")
+    counted = each.groupBy("term", "k1", "k2").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("k1").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
+    return _store.save(counted if of == "word" else counted.join(needed, "term", "left_semi"), "alone")
 
 
 def _disclosed(docs: DataFrame, p: Params) -> DataFrame | None:
