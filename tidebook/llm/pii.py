@@ -179,7 +179,7 @@ def _alone(docs: DataFrame, terms: DataFrame, of: str, again: DataFrame, p: Para
     if of == "word":  # there are few first letters, so all of these are counted and their share in the work stays what it is
         each = each.join(needed, "term", "left_semi")
     counted = each.groupBy("term", "k1", "k2").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum(F.when(F.col("k1").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
-    return _store.save(counted if of == "word" else counted.join(needed, "term", "left_semi"), "alone")
+    return _store.save(counted if of == "word" else counted.join(needed, "term"), "alone")  # a semi-join would be pushed below the count
 
 
 def _disclosed(docs: DataFrame, p: Params) -> DataFrame | None:
